@@ -184,9 +184,10 @@ def train(docs: DataFrame, learn: Column, **bounds) -> tuple[list[str], BiGRU]:
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def label(docs: DataFrame, names: list[str], model: BiGRU) -> DataFrame:
-    """``docs`` and lang_pred and score, the largest of the document's probabilities."""
-    docs = docs.drop("lang_pred", "score")
+def label(docs: DataFrame, names: list[str], model: BiGRU, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all, if None) and lang_pred and score, the largest of the document's probabilities."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
+    docs = docs.select(*dict.fromkeys([*carry, "text"]))
     shared = docs.sparkSession.sparkContext.broadcast((names, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +204,12 @@ def label(docs: DataFrame, names: list[str], model: BiGRU) -> DataFrame:
             doc = np.repeat(np.arange(block.num_rows), np.diff(words.of))
             n = np.bincount(doc, weight, block.num_rows)
             p = np.stack([np.bincount(doc, pooled[words.code, k], block.num_rows) for k in range(model.classes)], 1) / np.maximum(n, 1)[:, None]
-            ascii_letter = np.bincount(doc, np.add.reduceat(tb.LOWER[words.low] < 0x80, words.starts)[: len(doc)] if len(doc) else None, block.num_rows) > 0 if len(doc) else np.zeros(block.num_rows, bool)
-            known = [bool(names) and bool(a or (k and any(map(str.isalpha, block.column("text")[i].as_py())))) for i, (a, k) in enumerate(zip(ascii_letter, n))]
+            plain = np.bincount(doc, words.low[words.starts] < 0x80, block.num_rows) > 0  # a word that begins with a to z
+            known = [bool(names) and bool(a or (k and any(map(str.isalpha, block.column("text")[i].as_py())))) for i, (a, k) in enumerate(zip(plain, n))]
             best = p.argmax(1)
             out = [names[b] if ok else UNKNOWN for b, ok in zip(best, known)]
             score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(out), pa.array(score)], [*block.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), pa.array(out, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
-    kinds = docs.schema.add("lang_pred", "string").add("score", "double")
+    kinds = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(run, kinds)

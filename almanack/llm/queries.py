@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almanack.llm import exactdedup, packing, sharding, shared, tokenfile, warc
+from almanack.llm import exactdedup, langid, packing, sharding, shared, tokenfile, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -77,3 +78,19 @@ FROM b
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(load(spark, sf_dir, "documents"), 16)
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = load(spark, sf_dir, "documents").select("doc_id", "text"), toxicity.bucket() % 5
+    weights = toxicity.train(docs, load(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.score(docs, weights, carry=["doc_id"])
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = load(spark, sf_dir, "documents"), langid.bucket() % 4
+    names, model = langid.train(docs, fold != 2)
+    found = langid.label(docs, names, model, carry=["doc_id"])
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")

@@ -10,8 +10,8 @@ the smallest hash of doc_id; they are fitted in one task in that order.
 
 Edge cases: null or empty text has the score of the bias alone; labels that are
 null, or that name no document, are not learnt from; equal texts have equal
-scores; an empty table gives no rows; without labels all scores are just below
-0.5, so nothing is called toxic.
+scores; an empty table gives no rows; without labels all scores are just
+below 0.5, so nothing is called toxic.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from almanack.llm import textbytes as tb
 
 BITS, PER_LABEL = 20, 6000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 0.5, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 3.0, 0.0, 8
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +54,7 @@ class FTRL:
     def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.shift = 0.0
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -72,6 +73,37 @@ class FTRL:
         return p
 
 
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> FTRL:
+    """A model of ``rows`` (places, label).
+
+    Rare labels leave scores low, so the bias is moved: each half of the rows is
+    scored by a model of the other half, and 0.5 goes where it separates them
+    best (F1; the middle of the best range).
+    """
+
+    def pass_over(some: list[tuple[np.ndarray, int]]) -> FTRL:
+        model = FTRL(bits)
+        for epoch in range(epochs):
+            for i in np.random.default_rng(epoch).permutation(len(some)):
+                model.learn(*some[i])
+        return model
+
+    margin, label = [], []
+    for half in (0, 1):
+        w = pass_over(rows[half::2]).weights()
+        margin += [w[places].sum() + w[-1] for places, _ in rows[1 - half :: 2]]
+        label += [y for _, y in rows[1 - half :: 2]]
+    model = pass_over(rows)
+    y = np.array(label)
+    if 0 < y.sum() < len(y):
+        order = np.argsort(-np.array(margin), kind="stable")
+        x, hits = np.array(margin)[order], np.cumsum(y[order])
+        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+        best = int(f1.argmax())
+        model.shift = -float(x[best] + x[min(best + 1, len(x) - 1)]) / 2
+    return model
+
+
 def bucket(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
@@ -88,15 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
     """Places and values of the weights that aren't zero; the last is the bias."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, model = [], FTRL()
+        rows = []
         for block in tb.blocks(batches):
             place, doc = distinct(*features(block.column("text")))
             cuts = np.searchsorted(doc, np.arange(block.num_rows + 1))
             rows += [(place[a:b].astype(np.int32), t) for a, b, t in zip(cuts[:-1], cuts[1:], block.column("toxic").to_pylist())]
-        for epoch in range(epochs):
-            for i in np.random.default_rng(epoch).permutation(len(rows)):
-                model.learn(*rows[i])
+        model = fit(rows, epochs=epochs)
         w = model.weights()
+        w[-1] += model.shift
         at = np.flatnonzero(w)
         at = at if len(at) and at[-1] == len(w) - 1 else np.append(at, len(w) - 1)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
@@ -108,9 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
     return found["place"].to_numpy(), found["weight"].to_numpy()
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` and score, the probability of label 1."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all, if None) and score, the probability of label 1."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c != "score"]
+    docs = docs.select(*dict.fromkeys([*carry, "text"]))
     shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int64), weights[1].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +155,6 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             some = w[place] != 0
             place, doc = distinct(place[some], doc[some])
             x = bias + np.bincount(doc, w[place], block.num_rows)
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], [*block.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], [*carry, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, docs.select(*carry).schema.add("score", "double"))
