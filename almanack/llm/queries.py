@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import exactdedup, langid, packing, sharding, shared, tokenfile, toxicity, warc
+from almanack.llm import decontam, exactdedup, langid, packing, sharding, shared, tokenfile, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -94,3 +94,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, model = langid.train(docs, fold != 2)
     found = langid.label(docs, names, model, carry=["doc_id"])
     return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontam.mark(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return marked.drop("spans")
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS phrase
+      FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS r(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT k FROM p),
+o AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS phrase
+      FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS r(i)),
+m AS (SELECT doc_id, item_id, o.i, o.k FROM o JOIN p ON o.phrase = p.phrase AND o.k = p.k),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT doc_id, i, k FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
