@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, exactdedup, langid, packing, sharding, shared, tokenfile, toxicity, warc
+from almanack.llm import decontam, exactdedup, langid, neardup, packing, sharding, shared, substrings, tokenfile, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -118,3 +118,13 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(load(spark, sf_dir, "documents"))
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
