@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from almanack.functions import text
 
-EVENT = T._parse_datatype_string(
+_DDL = (
     "event_id string, seq long, title string, description string, date date, start_time string, end_time string,"
     "location struct<name:string,address:string,neighborhood:string,lat:double,lng:double>, categories array<string>,"
     "source string, source_url string, image_url string, extra_images array<string>, price string, scraped_at timestamp,"
@@ -20,12 +20,15 @@ EVENT = T._parse_datatype_string(
 )
 
 
-def conform(df: DataFrame, seq: str | None = None) -> DataFrame:
+def event() -> T.StructType:
+    """The schema; it needs a session."""
+    return T.StructType.fromDDL(_DDL)
+
+
+def conform(df: DataFrame) -> DataFrame:
     """``df`` in the event schema: missing columns are null, or empty where rows are merged; ids, prices and sources are filled in; images are capped at nine."""
-    have = set(df.columns)
-    out = df.select(*((F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT.fields))
-    if seq and "seq" not in have:
-        out = out.withColumn("seq", F.lit(None).cast("long"))
+    have, schema = set(df.columns), event()
+    out = df.select(*((F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields))
     return out.withColumns(
         {
             "event_id": F.coalesce("event_id", text.short_id(F.coalesce("source", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce(F.col("date").cast("string"), F.lit("")))),
@@ -34,6 +37,6 @@ def conform(df: DataFrame, seq: str | None = None) -> DataFrame:
             "contributing_sources": F.coalesce("contributing_sources", F.array_compact(F.array("source"))),
             "contributing_accounts": F.coalesce("contributing_accounts", F.array_compact(F.array("account"))),
             "extra_images": F.slice(F.coalesce("extra_images", F.array().cast("array<string>")), 1, 9),
-            "organizer_refs": F.array_distinct(F.coalesce("organizer_refs", F.array().cast(EVENT["organizer_refs"].dataType))),
+            "organizer_refs": F.array_distinct(F.coalesce("organizer_refs", F.array().cast(schema["organizer_refs"].dataType))),
         }
     )
