@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanack.llm import textbytes as tb
 
@@ -187,38 +188,65 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
 
 
 COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>"
+_SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all, if None) and ``COLUMNS``; spans are those of hit words, in bytes of the text."""
+def _share(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(Phrases(block, window)) for block in _blocks(benchmark)]
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    return [sc.broadcast(Phrases(block, window)) for block in _blocks(benchmark)]
+
+
+def _hits(shared: list, words: tb.Words, n: int) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Which words are hit by a phrase of any block, the document of each word, and the items of each document."""
+    hit, found = np.zeros(len(words.code), bool), [set() for _ in range(n)]
+    for one in shared:
+        phrases = one.value
+        more, pairs = phrases.hits(words)
+        hit |= more
+        for pair in pairs.tolist():
+            found[pair // len(phrases.names)].add(phrases.names[pair % len(phrases.names)])
+    return hit, np.repeat(np.arange(n), np.diff(words.of)), found
+
+
+def _contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
+    """A twentieth of the words or more."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all, if None) and ``COLUMNS``, which replace columns of those names; spans are those of hit words, in bytes of the text."""
+    shared, names = _share(docs, benchmark, window), [c.split()[0] for c in COLUMNS.split(", ")]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
     docs = docs.select(*dict.fromkeys([*carry, "text"]))
     none = hashlib.sha256(b"").hexdigest()
-    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches):
             n, words = block.num_rows, tb.Words(block.column("text"))
-            hit, found = np.zeros(len(words.code), bool), [set() for _ in range(n)]
-            for one in shared:
-                phrases = one.value
-                more, pairs = phrases.hits(words)
-                hit |= more
-                for pair in pairs.tolist():
-                    found[pair // len(phrases.names)].add(phrases.names[pair % len(phrases.names)])
-            doc = np.repeat(np.arange(n), np.diff(words.of))
+            hit, doc, found = _hits(shared, words, n)
             n_words, n_hit = np.diff(words.of), np.bincount(doc, hit, n).astype(np.int64)
             joined = np.concatenate([[False], hit[:-1] & (doc[1:] == doc[:-1])]) if len(hit) else hit
             first = np.flatnonzero(hit & ~joined)
             last = np.flatnonzero(hit & ~np.append(joined[1:] & hit[1:], False)) if len(hit) else first
-            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(words.starts[first] - words.off[doc[first]]), pa.array(words.ends[last] - words.off[doc[first]])], fields=list(span)))
+            ends = pa.StructArray.from_arrays([pa.array(words.starts[first] - words.off[doc[first]]), pa.array(words.ends[last] - words.off[doc[first]])], fields=list(_SPAN))
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(n + 1)), pa.int32()), ends)
             digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() if f else none for f in found]
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n_words)), spans], [*carry, *names])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array(_contaminated(n_words, n_hit)), spans], [*carry, *names])
 
     kinds = docs.select(*carry).schema
-    for field in docs.sparkSession.createDataFrame([], COLUMNS).schema:
+    for field in T.StructType.fromDDL(COLUMNS):
         kinds = kinds.add(field)
     return docs.mapInArrow(run, kinds)
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, whatever its columns."""
+    shared = _share(docs, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.blocks(batches):
+            words = tb.Words(block.column("text"))
+            hit, doc, _ = _hits(shared, words, block.num_rows)
+            yield block.filter(pa.array(~_contaminated(np.diff(words.of), np.bincount(doc, hit, block.num_rows))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -159,17 +159,22 @@ def groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return local.repartition(parts, "h").mapInArrow(_finish(budget), "text_sha256 string, keep_id long, group_size long, n_top long")
 
 
-def mark(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """``docs`` and keep_id, group_size, kept, text_sha256."""
-    taken = {"keep_id", "group_size", "kept", "text_sha256", "n_top"} & set(docs.columns)
-    named = docs.drop(*taken).withColumn("text_sha256", F.sha2(normalised(), 256))
-    found = named.join(groups(docs, budget), "text_sha256")
+def _decided(named: DataFrame, found: DataFrame) -> DataFrame:
+    """``named`` (doc_id, text_sha256 and more) with its groups and kept."""
+    both = named.join(found, "text_sha256")
     top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     several = top & (F.col("n_top") > 1)
     first = F.row_number().over(Window.partitionBy("text_sha256").orderBy("doc_id")) == 1
-    return found.filter(~several).withColumn("kept", top).unionByName(found.filter(several).withColumn("kept", first)).drop("n_top")
+    return both.filter(~several).withColumn("kept", top).unionByName(both.filter(several).withColumn("kept", first)).drop("n_top")
+
+
+def mark(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """``docs`` and keep_id, group_size, kept, text_sha256, which replace columns of those names."""
+    taken = {"keep_id", "group_size", "kept", "text_sha256", "n_top"} & set(docs.columns)
+    return _decided(docs.drop(*taken).withColumn("text_sha256", F.sha2(normalised(), 256)), groups(docs, budget))
 
 
 def keep(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` that stay."""
-    return mark(docs, budget).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that stay, whatever its columns."""
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.sha2(normalised(), 256).alias("text_sha256"))
+    return _decided(named, groups(docs, budget)).filter("kept").select("row.*")

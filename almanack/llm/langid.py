@@ -22,14 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanack.llm import shared as shared_rows
 from almanack.llm import textbytes as tb
 
 PER_LANGUAGE, LANGUAGES, LONGEST = 400, 64, 48
 HIDDEN, STEPS, BATCH, RATE = 12, 500, 384, 0.02
 UNKNOWN = "und"
+#: Below this score no language stands out, and a filter rejects the document.
+LEAST = 0.3
 _c = np.arange(256)
 LETTERS = ((_c >= 0x61) & (_c <= 0x7A)) | (_c >= 0x80)
 
@@ -174,8 +177,7 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, lan
     """The bounded training sample: text, lang."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     largest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("nth", nth).filter(F.col("nth") <= per_language).join(F.broadcast(largest.select("lang")), "lang", "left_semi")
+    chosen = shared_rows.least_by_hash(known, "lang", "doc_id", per_language).join(F.broadcast(largest.select("lang")), "lang", "left_semi")
     return docs.filter(learn).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
@@ -184,32 +186,46 @@ def train(docs: DataFrame, learn: Column, **bounds) -> tuple[list[str], BiGRU]:
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
+def _predict(block: pa.RecordBatch, names: list[str], model: BiGRU) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text of a block."""
+    n = block.num_rows
+    words, owner, runs = _segments(block.column("text"))
+    pooled = np.zeros((len(words.distinct), model.classes))
+    order = np.argsort(np.diff(tb.flat(runs)[1]))
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        np.add.at(pooled, owner[some], model.pooled(*padded(runs.take(pa.array(some)))))
+    weight = np.diff(tb.flat(words.distinct)[1])[words.code]
+    doc = np.repeat(np.arange(n), np.diff(words.of))
+    size = np.bincount(doc, weight, n)
+    p = np.stack([np.bincount(doc, pooled[words.code, k], n) for k in range(model.classes)], 1) / np.maximum(size, 1)[:, None]
+    plain = np.bincount(doc, words.low[words.starts] < 0x80, n) > 0  # a word that begins with a to z
+    known = [bool(names) and bool(a or (k and any(map(str.isalpha, block.column("text")[i].as_py())))) for i, (a, k) in enumerate(zip(plain, size))]
+    return [names[b] if ok else UNKNOWN for b, ok in zip(p.argmax(1), known)], np.where(known, np.clip(p.max(1), 0, 1), 0.0)
+
+
 def label(docs: DataFrame, names: list[str], model: BiGRU, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (all, if None) and lang_pred and score, the largest of the document's probabilities."""
+    """The columns ``carry`` of ``docs`` (all, if None) and lang_pred and score, the largest of the document's probabilities; they replace columns of those names."""
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     docs = docs.select(*dict.fromkeys([*carry, "text"]))
     shared = docs.sparkSession.sparkContext.broadcast((names, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, model = shared.value
         for block in tb.blocks(batches):
-            words, owner, runs = _segments(block.column("text"))
-            pooled = np.zeros((len(words.distinct), model.classes))
-            length = np.diff(tb.flat(runs)[1])
-            order = np.argsort(length)
-            for at in range(0, len(order), 4096):
-                some = order[at : at + 4096]
-                np.add.at(pooled, owner[some], model.pooled(*padded(runs.take(pa.array(some)))))
-            weight = np.diff(tb.flat(words.distinct)[1])[words.code]
-            doc = np.repeat(np.arange(block.num_rows), np.diff(words.of))
-            n = np.bincount(doc, weight, block.num_rows)
-            p = np.stack([np.bincount(doc, pooled[words.code, k], block.num_rows) for k in range(model.classes)], 1) / np.maximum(n, 1)[:, None]
-            plain = np.bincount(doc, words.low[words.starts] < 0x80, block.num_rows) > 0  # a word that begins with a to z
-            known = [bool(names) and bool(a or (k and any(map(str.isalpha, block.column("text")[i].as_py())))) for i, (a, k) in enumerate(zip(plain, n))]
-            best = p.argmax(1)
-            out = [names[b] if ok else UNKNOWN for b, ok in zip(best, known)]
-            score = np.where(known, np.clip(p.max(1), 0, 1), 0.0)
+            out, score = _predict(block, *shared.value)
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in carry), pa.array(out, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
     kinds = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(run, kinds)
+
+
+def keep(docs: DataFrame, names: list[str], model: BiGRU, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` with a language of at least that score, whatever its columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((names, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.blocks(batches):
+            out, score = _predict(block, *shared.value)
+            yield block.filter(pa.array((np.array(out) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

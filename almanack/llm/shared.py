@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -52,3 +53,12 @@ def ship(spark: SparkSession) -> None:
         kept = Path(tempfile.mkdtemp(prefix="almanack-"))
         sc.addPyFile(shutil.make_archive(str(kept / "almanack_package"), "zip", Path(at, "tree")))
     sc._almanack_shipped = True
+
+
+def least_by_hash(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
+    """The ``n`` rows of each group with the least hash of the key; each of 64 salts keeps ``n`` first, so no task gets a group."""
+    h = F.xxhash64(key)
+    first = F.row_number().over(Window.partitionBy(by, "__salt").orderBy(h, key))
+    last = F.row_number().over(Window.partitionBy(by).orderBy(h, key))
+    some = df.withColumn("__salt", F.pmod(F.hash(key), F.lit(salts))).withColumn("__nth", first).filter(F.col("__nth") <= n)
+    return some.withColumn("__nth", last).filter(F.col("__nth") <= n).drop("__nth", "__salt")

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanack.llm import shared as shared_rows
 from almanack.llm import textbytes as tb
 
 BITS, PER_LABEL = 20, 6000
@@ -111,8 +112,7 @@ def bucket(key: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL) -> DataFrame:
     """doc_id, text, toxic of the bounded training sample."""
     marked = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("nth", nth).filter(F.col("nth") <= per_label).drop("nth")
+    chosen = shared_rows.least_by_hash(marked, "toxic", "doc_id", per_label)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x per_label rows at most
 
 
