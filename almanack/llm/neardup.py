@@ -14,10 +14,11 @@ Joining: equal texts are one node.  Nodes that agree in all ``ROWS`` coordinates
 of one of ``BANDS`` bands share a bucket.  Each bucket compares all its nodes
 with its least node, by the exact similarity of their texts, and components are
 taken of the links.  Then, in buckets that have nodes of more components than
-one, the nodes outside the bucket's largest component are compared with all of
-the bucket's nodes of other components.  So no pair of a bucket is left out, and
-a large class costs as many comparisons as it has nodes.  A pair of similarity
-0.8 misses all buckets with probability (1 - 0.8^5)^28, 0.00002.
+one, the nodes outside the bucket's largest component meet all of its nodes of
+other components, in blocks of ``BLOCK`` by ``BLOCK`` over an inverted index; a
+block gives back only links that join components.  So no pair of a bucket is
+left out, and no list of pairs is made.  A pair of similarity 0.8 misses all
+buckets with probability (1 - 0.8^5)^28, 0.00002.
 
 Edge cases: null text counts as empty; texts without words are alike only if
 equal; a text of under five words is one run; a null doc_id belongs to its
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from almanack.llm import shared
 from almanack.llm import textbytes as tb
 
-WORDS, SIMILAR, ROWS, BANDS = 5, 0.8, 5, 28
+WORDS, SIMILAR, ROWS, BANDS, BLOCK = 5, 0.8, 5, 28, 500
 K = ROWS * BANDS
 _TO_UNIT = 2.0**-53
 
@@ -110,12 +111,12 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def node(text: str = "text"):
-    """What equal texts, A-Z lower-cased, have in common: 128 bits."""
-    return F.unhex(F.md5(F.encode(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "utf-8")))
+    """What equal texts have in common: 128 bits."""
+    return F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")))
 
 
 def buckets(texts: DataFrame, counted: bool) -> DataFrame:
-    """(key, node) once each, of keys that more than one node has; a table."""
+    """(key, node, hub) once each, of keys that more than one node has; hub is the least of them. A table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -134,17 +135,14 @@ def buckets(texts: DataFrame, counted: bool) -> DataFrame:
             owner = pa.array(np.repeat(np.array(fresh, np.int64)[some], keys.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), block.column("node").take(owner)], ["key", "node"])
 
-    rows = shared.table(texts.mapInArrow(run, "key long, node binary").distinct(), "neardup-bands")
-    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1").drop("n")
-    return shared.table(rows.join(several, "key"), "neardup-buckets")
+    rows = shared.table(texts.mapInArrow(run, "key long, node binary"), "neardup-bands")
+    several = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").drop("top")
+    return shared.table(rows.join(several, "key").distinct(), "neardup-buckets")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, counted: bool, similar: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least the similarity; a table."""
-    pairs = shared.table(pairs.distinct(), "neardup-pairs")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = shared.table(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]), "neardup-texts")
-    both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose texts (one row for each node) have at least the similarity; a table."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in tb.blocks(batches, "text_a"):
@@ -179,21 +177,68 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def meet(mixed: DataFrame, texts: DataFrame, counted: bool, similar: float) -> DataFrame:
+    """Links between components, from all pairs of a bucket of which at least one node is outside the bucket's main component.
+
+    ``mixed``: key, node, root, main. A table.
+    """
+    is_rest = F.col("root") != F.col("main")
+    many = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.sum(is_rest.cast("int")) / BLOCK)).cast("int").alias("chunks"))
+    rows = mixed.join(many, "key").join(texts, "node").withColumn("h", F.xxhash64("node"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    left = rows.filter(is_rest).select("key", F.pmod("h", F.col("chunks")).cast("int").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(True).alias("rest"), "node", "root", "text")
+    right = rows.select("key", F.explode(upto("chunks")).alias("i"), F.pmod("h", F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("rest"), "node", "root", "text")
+
+    def cell(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        parts = [elements(b.column("text"), counted) for b in tb.blocks(iter(table.combine_chunks().to_batches()))]
+        h, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        size = np.concatenate([np.diff(p[2]) for p in parts])
+        offs = np.concatenate([[0], np.cumsum(size)])
+        total = np.bincount(np.repeat(np.arange(n), size), w, n)
+        rest = table.column("rest").to_numpy()
+        name, root = table.column("node").to_pylist(), table.column("root").to_pylist()
+        parent = {r: r for r in root}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        owner = np.repeat(np.arange(n), size)
+        member = ~rest[owner]
+        order = np.argsort(h[member], kind="stable")
+        keys, own, weight = h[member][order], owner[member][order], w[member][order]
+        found = []
+        for x in np.flatnonzero(rest):
+            mine, mw = h[offs[x] : offs[x + 1]], w[offs[x] : offs[x + 1]]
+            low = np.searchsorted(keys, mine)
+            k = np.searchsorted(keys, mine, "right") - low
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low, k)
+            common = np.bincount(own[at], np.minimum(weight[at], np.repeat(mw, k)), n)
+            whole = total[x] + total - common
+            for y in np.flatnonzero((common > 0) & (common >= similar * whole - 1e-9)):
+                p, q = find(root[x]), find(root[y])
+                if p != q:
+                    parent[p] = q
+                    found.append((name[x], name[y]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return shared.table(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(cell, "a binary, b binary"), "neardup-met")
+
+
 def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
     """doc_id, node (of its text), class_id (the least doc_id of its class), class_size."""
     texts = docs.select(node().alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bands = buckets(texts, counted)
-    links = verified(bands.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), texts, counted, similar)
-    roots = components(links)
-    of = bands.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    some = shared.table(texts.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "neardup-texts")
+    pairs = bands.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(pairs, some, counted, similar)
+    of = shared.table(bands.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "neardup-roots")
     sizes = of.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
-    of = shared.table(of.join(mixed, "key"), "neardup-mixed")
-    rest = of.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = rest.join(of.select("key", F.col("node").alias("y"), F.col("root").alias("y_root")), "key").filter("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    hubs = bands.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    more = verified(pairs.distinct().join(hubs.distinct(), ["a", "b"], "left_anti"), texts, counted, similar)
-    roots = components(links.union(more))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
+    roots = components(links.union(meet(of.join(main, "key"), some, counted, similar)))
     named = docs.select("doc_id", node().alias("node")).join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     named = shared.table(named, "neardup-named")
     whole = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
