@@ -102,33 +102,41 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order and ranks of all suffixes; ``end`` has for each place the end of its string, and ends all differ."""
+    """Order and ranks of all suffixes; ``end`` has for each place the end of its string, and ends all differ.
+
+    Larsson-Sadakane refinement: suffixes are sorted by seven bytes; then those
+    that still share a rank are sorted by the rank of what follows, so the depth
+    doubles each time, and ranks once alone are final. A rank is the first place
+    of its group. Ends stand below all suffixes, in their own order.
+    """
     n = len(data)
     at = np.arange(n)
-    left = end - at
-    first = words8(data)
-    short = left < 8
-    first[short] &= ~((np.uint64(1) << ((8 - left[short]) * 8).astype(np.uint64)) - np.uint64(1))
-    order = np.lexsort((np.where(short, left * (n + 1) + end, 8 * (n + 1)), first))
+    left = np.minimum(end - at, 8).astype(np.uint64)
+    key = words8(data)
+    key &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1))))
+    key = (key & ~np.uint64(0xFF)) | np.minimum(left, np.uint64(7))
+    order = np.argsort(key)
+    sorted_key = key[order]
     new = np.ones(n, bool)
-    new[1:] = (first[order][1:] != first[order][:-1]) | short[order][1:] | short[order][:-1]
+    new[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n, np.int64)
-    start = np.maximum.accumulate(np.where(new, at, 0))
-    rank[order] = start
-    h = 8
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    open_, h = at, 7
     while True:
-        single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
+        single = new[open_] & np.append(new, True)[open_ + 1]
+        open_ = open_[~single]
         if not len(open_):
             return order, rank
         suffix = order[open_]
         beyond = suffix + h
-        second = np.where(beyond < end[suffix], rank[np.minimum(beyond, n - 1)] + n + 1, end[suffix])  # ends stand below all suffixes
-        again = np.lexsort((second, rank[suffix]))
-        suffix, second = suffix[again], second[again]
+        inside = beyond < end[suffix]
+        second = np.where(inside, rank[np.minimum(beyond, n - 1)] + n + 1, end[suffix])
         group = rank[suffix]
+        both = group * (2 * n + 2) + second
+        again = np.argsort(both)
+        suffix, both, group = suffix[again], both[again], group[again]
         split = np.ones(len(suffix), bool)
-        split[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
+        split[1:] = both[1:] != both[:-1]
         order[open_] = suffix
         new[open_] = split
         rank[suffix] = open_[np.maximum.accumulate(np.where(split, np.arange(len(split)), 0))]
@@ -325,14 +333,14 @@ def shard(rows: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], ["key", "digest", "spans"])
 
         def solve(group: tuple, members: dict) -> Iterator[tuple]:
-            """What stands twice repeats whole; if that is not all there is, the group goes to a chunk."""
+            """What stands twice repeats whole; if that is not true of all members, the group goes to a chunk."""
             key, i, j = group
             if i == j:
                 whole = [times > 1 for _, times in members.values()]
                 for ((_, s), (d, _)), settled in zip(members.items(), whole):
                     if settled:
                         emit(key, d, [(0, len(s) - length + 1)])
-                if len(members) > 1 or not whole[0]:
+                if not all(whole):
                     yield from ((key, s, d) for (_, s), (d, _) in members.items())
                 return
             sides = [[(s, d) for (b, s), (d, _) in members.items() if b == k] for k in (i, j)]
