@@ -34,7 +34,7 @@ def future(df: DataFrame, today: Column) -> DataFrame:
 
 def far_future(df: DataFrame, today: Column, trusted: list[str], days: int = 180) -> DataFrame:
     """Dates over ``days`` ahead stay only for trusted sources or if the year is written in the first 600 characters."""
-    written = F.concat_ws(" ", "title", F.substring(F.coalesce("description", F.lit("")), 1, 600)).rlike(F.concat(F.lit(r"\b"), F.year("date").cast("string"), F.lit(r"\b")))
+    written = F.regexp_like(F.concat_ws(" ", "title", F.substring(F.coalesce("description", F.lit("")), 1, 600)), F.concat(F.lit(r"\b"), F.year("date").cast("string"), F.lit(r"\b")))
     return df.filter((F.datediff("date", today) <= days) | F.col("source").isin(trusted) | ((F.col("source") != "instagram") & written))
 
 

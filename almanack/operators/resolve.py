@@ -105,7 +105,7 @@ def hamming_pairs(df: DataFrame, key: str, block: list[str], hashes: str, most:
 def sign_hash(vector: Column) -> Column:
     """A 64-bit hash with a bit for each of 64 values: 1 if it is above the mean of them (an average hash)."""
     mean = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(vector)
-    bits = F.transform(vector, lambda x, i: F.when(x.cast("double") > mean, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(vector, lambda x, i: F.when(x.cast("double") > mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
 
 

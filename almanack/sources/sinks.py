@@ -18,8 +18,9 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def _escape(c: Column) -> Column:
-    for a, b in (("\\\\", "\\\\\\\\"), (";", "\\\;"), (",", "\\\\,"), ("\n", "\\\\n")):
-        c = F.regexp_replace(c, a, b)
+    """Backslash, semicolon, comma and line end as calendar files write them."""
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def first_seen(df: DataFrame, key: str, time: str = "ts", hours: int = 24 * 365) -> DataFrame:
-    """For each batch and key: key, first_seen (the least time ever met), n (rows so far). A key is forgotten ``hours`` after its last row."""
+def first_seen(df: DataFrame, key: str, time: str = "ts", hours: int | None = None) -> DataFrame:
+    """For each batch and key: key, first_seen (the least time ever met), n (rows so far). A key is forgotten ``hours`` after its last row, if that is given (for streams without an end: time-outs keep a query alive)."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -22,11 +22,12 @@ def first_seen(df: DataFrame, key: str, time: str = "ts", hours: int = 24 * 365)
             first = low.value if first is None else min(first, low.value)
             n += len(frame)
         state.update((first, n))
-        state.setTimeoutDuration(hours * 3_600_000)
+        if hours is not None:
+            state.setTimeoutDuration(hours * 3_600_000)
         yield pd.DataFrame({key: [k[0]], "first_seen": [pd.Timestamp(first)], "n": [n]})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_seen timestamp, n long", "first long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_seen timestamp, n long", "first long, n long", "append", GroupStateTimeout.NoTimeout if hours is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def strikes(df: DataFrame, key: str, outcome: str, transient: list[str], dead_at: int = 3, time: str = "ts") -> DataFrame:
