@@ -4,9 +4,11 @@ Whole windows are cut straight from a text.  What is left of it, under one
 window, is cut into pieces of at most ``PIECE`` ids; a few hundred of them at a
 time are dealt to m windows: partial partitions, each with a sum for every
 window, are merged two by two, largest imbalance first, the fullest window of
-one with the emptiest of the other.  If a window gets more than its capacity, m
-rises by one and the pieces are dealt again.  The last ids of a task that can't
-fill windows become sequences of a power of two, which need no padding.
+one with the emptiest of the other.  Some pieces are ground to halves, quarters
+and so on, since small ones even the windows out.  If a window gets more than
+its capacity, more pieces are ground, and if that is of no use, m rises by one
+and the pieces are dealt again.  The last ids of a task that can't fill windows
+become sequences of a power of two, which need no padding.
 
 Each task packs the texts it reads: there is no shuffle, memory is bounded by
 ``GROUP`` windows, and a task that is run again gives the same rows.
@@ -31,7 +33,7 @@ from almanack.llm import textbytes as tb
 from almanack.llm.tokens import encoder
 
 #: Ids in a piece of a remainder at most; windows dealt at a time; ids of a window left free on average.
-PIECE, GROUP, SLACK = 256, 128, 2
+PIECE, GROUP, SLACK = 256, 128, 4
 
 
 def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
@@ -76,6 +78,24 @@ def deal(sizes: np.ndarray, capacity: int, m: int) -> tuple[np.ndarray, int]:
         m += 1
 
 
+def grind(pieces: list[tuple], n: int) -> list[tuple]:
+    """The pieces, the ``n`` largest of them cut into a half, a quarter and so on, down to a few ids."""
+    chosen = set(np.argsort(-_sizes(pieces), kind="stable")[:n].tolist())
+    out = []
+    for i, (doc, start, ids, total) in enumerate(pieces):
+        if i in chosen:
+            while len(ids) >= 8:
+                half = len(ids) - len(ids) // 2
+                out.append((doc, start, ids[:half], total))
+                start, ids = start + half, ids[half:]
+        out.append((doc, start, ids, total))
+    return out
+
+
+def _sizes(pieces: list[tuple]) -> np.ndarray:
+    return np.array([len(p[2]) for p in pieces], np.int64)
+
+
 class Packer:
     """Pieces in, rows (doc, start, ids, doc_tokens, sequence, offset) out."""
 
@@ -110,16 +130,20 @@ class Packer:
             self.ids_waiting = sum(len(p[2]) for p in self.waiting)
 
     def _windows(self, pieces: list[tuple], m: int) -> None:
-        part, m = deal(np.array([len(p[2]) for p in pieces], np.int64), self.window, m)
+        fine = grind(pieces, m // 2)
+        part = differencing(_sizes(fine), m)
+        if np.bincount(part, _sizes(fine), m).max(initial=0) > self.window:
+            fine = grind(pieces, m)
+            part, m = deal(_sizes(fine), self.window, m)
         first, filled = self._open(m), np.zeros(m, np.int64)
-        for p, k in zip(pieces, part):
+        for p, k in zip(fine, part):
             self.rows.append((*p, first + int(k), int(filled[k])))
             filled[k] += len(p[2])
 
     def finish(self) -> None:
         """The last windows, and sequences of a power of two for the ids that fill none."""
         m = self.ids_waiting // self.window
-        spare = self.ids_waiting - m * (self.window - SLACK) if m else self.ids_waiting
+        spare = max(0, self.ids_waiting - m * (self.window - SLACK))
         sizes = [1 << b for b in range(spare.bit_length() - 1, -1, -1) if spare >> b & 1]
         sizes = [s for x in sizes for s in [min(x, self.window)] * -(-x // self.window)]
         for size in sizes:

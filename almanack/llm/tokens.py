@@ -33,6 +33,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space = Tokenizer.from_file(path), keep_space
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each token of a byte-level vocabulary, in which a character stands for a byte.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._reset()
 
     def _reset(self) -> None:
@@ -68,6 +72,40 @@ class Encoder:
             run = tuple(x[order] for x in both)
         self.runs.append(run)
 
+    def _joinable(self, pieces: pa.Array) -> np.ndarray:
+        """Pieces that may stand one after the other: each begins with a space and a solid character, where nothing is joined."""
+        data, off = tb.flat(pieces)
+        out = np.zeros(len(pieces), bool)
+        if self.keep_space:
+            two = np.flatnonzero(np.diff(off) >= 2)
+            out[two] = (data[off[two]] == 0x20) & _SOLID[data[off[two] + 1]]
+        return out
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        filled = self.offs[self.n]
+        while filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[filled : filled + len(ids)] = ids
+        self.offs[self.n + 1 : self.n + 1 + len(sizes)] = filled + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _add(self, pieces: pa.Array) -> None:
+        self._store(*self._encoded(pieces.cast(pa.large_string()).to_pylist()))
+
+    def _add_joined(self, pieces: pa.Array) -> None:
+        """Encode runs of 128 pieces as one text each; the byte lengths of the tokens tell where each piece ends."""
+        data, off = tb.flat(pieces)
+        cuts = [*off[:-1:128].tolist(), int(off[-1])]
+        raw = data.tobytes()
+        ids, _ = self._encoded([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])])
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), off[1:]) + 1
+        self._store(ids, np.diff(np.concatenate([[0], ends])))
+
     def _lookup(self, distinct: pa.Array) -> np.ndarray:
         """The entry of each piece; unknown pieces are encoded. 128 bits of hash tell pieces apart."""
         if self.n + len(distinct) > CACHE_PIECES:
@@ -80,16 +118,11 @@ class Encoder:
         first = self.n
         while self.n + len(new) + 1 > len(self.offs):
             self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
-        for at in range(0, len(new), 4096):
-            part = distinct.take(pa.array(new[at : at + 4096])).cast(pa.large_string()).to_pylist()
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            filled, total = self.offs[self.n], int(sizes.sum())
-            while filled + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[filled : filled + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-            self.offs[self.n + 1 : self.n + 1 + len(part)] = filled + np.cumsum(sizes)
-            self.n += len(part)
+        joined = self._joinable(distinct)[new]
+        new = np.concatenate([new[joined], new[~joined]])
+        for some, add in ((new[: joined.sum()], self._add_joined), (new[joined.sum() :], self._add)):
+            for at in range(0, len(some), 1 << 14):
+                add(distinct.take(pa.array(some[at : at + (1 << 14)])))
         entry[new] = np.arange(first, self.n)
         self._remember(h[new], g[new], entry[new])
         return entry
