@@ -146,7 +146,8 @@ def read(paths: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: record_id and the structs response (or revisit), request and metadata; the last two may be null."""
+    """One row per capture: record_id and the structs response (or revisit), request and metadata; the last two may be null. The records are settled in a table first, as three sides read them."""
+    records = shared.table(records, "warc-records")
     whole = F.struct(*records.columns)
 
     def side(kinds: tuple[str, ...], key: str, name: str) -> DataFrame:
