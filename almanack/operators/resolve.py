@@ -47,18 +47,23 @@ def image_key(url: Column, day: Column) -> Column:
 def similar_pairs(df: DataFrame, key: str, block: list[str], tokens: str, least: float = 0.55, shared: int = 2) -> DataFrame:
     """Pairs (a < b) of a block with at least ``shared`` common words and a Jaccard similarity of ``least``.
 
-    The common words are counted by an equi-join on (block, word), so only rows
-    that share a word meet.  Rows with equal word sets are joined once, by a
-    representative, and come back as links to it.
+    Prefix filtering, which is exact: with a set's n words ordered from the
+    rarest of the block on, two sets of that similarity share one of their first
+    n - ceil(least x n) + 1 words.  So rows meet by an equi-join on (block, rare
+    word), and frequent words bring nobody together.  Rows with equal word sets
+    are joined once, by a representative, and come back as links to it.
     """
     sized = df.select(F.col(key).alias("k"), *block, F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
     reps = sized.groupBy(*block, "t").agg(F.min("k").alias("k"))
     copies = sized.join(reps.withColumnRenamed("k", "a"), [*block, "t"]).filter("k > a").select("a", F.col("k").alias("b"), F.size("t").alias("common"), F.lit(1.0).alias("similarity")).filter(F.col("common") >= shared)
-    words = reps.select("k", *block, F.size("t").alias("n"), F.explode("t").alias("w"))
-    left, right = words.select(*block, "w", F.col("k").alias("a"), F.col("n").alias("na")), words.select(*block, "w", F.col("k").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, [*block, "w"]).filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").cast("int").alias("common"))
-    near = met.withColumn("similarity", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).filter((F.col("common") >= shared) & (F.col("similarity") >= least))
-    return copies.unionByName(near.select("a", "b", "common", "similarity"))
+    words = reps.select("k", *block, F.explode("t").alias("w"))
+    often = words.groupBy(*block, "w").agg(F.count("*").alias("c"))
+    ranked = words.join(often, [*block, "w"]).groupBy("k", *block).agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("r"))
+    n = F.size("r")
+    first = ranked.select("k", *block, F.transform("r", lambda x: x["w"]).alias("t"), F.explode(F.slice(F.col("r"), 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("x")).select("k", *block, "t", F.col("x.w").alias("w"))
+    left, right = first.select(*block, "w", F.col("k").alias("a"), F.col("t").alias("ta")), first.select(*block, "w", F.col("k").alias("b"), F.col("t").alias("tb"))
+    near = left.join(right, [*block, "w"]).filter("a < b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("similarity", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")))
+    return copies.unionByName(near.filter((F.col("common") >= shared) & (F.col("similarity") >= least)).select("a", "b", "common", "similarity").distinct())
 
 
 def greedy_clusters(df: DataFrame, key: str, block: list[str], tokens: str, order: str, least: float = 0.55, shared: int = 2) -> DataFrame:
@@ -94,8 +99,8 @@ def hamming_pairs(df: DataFrame, key: str, block: list[str], hashes: str, most:
     so an equi-join on (block, band) finds all pairs.
     """
     n = most + 1
-    width = -(-64 // n)
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(hashes), i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("v")) for i in range(n)))
+    cuts = [i * 64 // n for i in range(n + 1)]
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(hashes), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))))
     rows = df.select(F.col(key).alias("k"), *block, F.col(hashes).alias("h"), F.explode(bands).alias("band"))
     a, b = rows.select(*block, "band", F.col("k").alias("a"), F.col("h").alias("ha")), rows.select(*block, "band", F.col("k").alias("b"), F.col("h").alias("hb"))
     met = a.join(b, [*block, "band"]).filter("a < b").select("a", "b", scores.hamming(F.col("ha"), F.col("hb")).alias("distance"))

@@ -28,6 +28,17 @@ def community_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(_edges(spark, sf_dir))
 
 
+@query(f"""
+WITH {_EDGES}, u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)
+SELECT DISTINCT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT DISTINCT b, 1 FROM u WHERE a <= 3 AND b > 3
+""")
+def bfs_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the first three suppliers (the feature: seeds)."""
+    e = _edges(spark, sf_dir)
+    seeds = load(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
+    return graph.reach(e.union(e.select("b", "a")).distinct(), seeds, 1)
+
+
 @query(f"""
 WITH {_EDGES}, u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 d1 AS (SELECT DISTINCT b AS node FROM u WHERE a <= 3 AND b > 3),

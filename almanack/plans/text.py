@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates, scores
 from almanack.functions import text as tx
-from almanack.operators import admission, enrich, stats, taste
+from almanack.operators import admission, enrich, resolve, stats, taste
 from almanack.plans.registry import query
 from almanack.sources.tables import load
 
@@ -111,15 +111,13 @@ _TOK = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(low
 @query(f"""
 WITH b AS (SELECT item_id, {_TOK.format(c='text')} AS t FROM benchmark)
 SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.t, y.t)) AS common
-FROM b x JOIN b y ON x.item_id < y.item_id AND len(list_intersect(x.t, y.t)) >= 2
- AND len(list_intersect(x.t, y.t)) >= 0.2 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))
+FROM b x JOIN b y ON x.item_id < y.item_id AND len(list_intersect(x.t, y.t)) >= 1
+ AND len(list_intersect(x.t, y.t)) >= 0.05 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))
 """)
 def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of items whose word sets are alike, by an equi-join on words."""
-    from almanack.operators import resolve
-
     rows = resolve.tokens_of(load(spark, sf_dir, "benchmark"), "text").withColumn("block", F.lit(0))
-    return resolve.similar_pairs(rows, "item_id", ["block"], "tokens", 0.2, 2).select("a", "b", F.col("common").cast("long").alias("common"))
+    return resolve.similar_pairs(rows, "item_id", ["block"], "tokens", 0.05, 1).select("a", "b", F.col("common").cast("long").alias("common"))
 
 
 _TERMS = "(SELECT item_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: length(w) > 2)) AS term FROM benchmark)"
