@@ -46,11 +46,17 @@ def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonld.tokens(rows, "event_id", "v", ["k"])
 
 
-@query()
+@query("""
+WITH s AS (SELECT user_id, CAST(ts AS DATE) AS d, strftime(ts, '%H:%M') AS t, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS part, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events),
+o AS (SELECT user_id, d, count(DISTINCT t) FILTER (t >= '06:00') AS likely, min(t) FILTER (t >= '06:00') AS one FROM s GROUP BY 1, 2)
+SELECT s.user_id || '-' || s.d AS key, part, s.d AS date, CASE WHEN n < 3 AND likely = 1 THEN one ELSE t END AS start_time FROM s JOIN o ON o.user_id = s.user_id AND o.d = s.d WHERE n >= 3 OR part = 0
+""")
 def roundup_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with several dated sections become several rows; date phrases have no counterpart in SQL, tests hold the cases."""
-    rows = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return documents.roundup(rows, "key", "text", F.lit("2024-01-17").cast("date"))
+    """Captions (here composed of a user's day) with three or more dated sections become a row for each; others one row."""
+    e = load(spark, sf_dir, "events")
+    line = F.concat("event_type", F.lit(" at Blue Hall, "), F.date_format("ts", "MMMM d h:mma"))
+    captions = e.groupBy(F.concat_ws("-", "user_id", F.to_date("ts")).alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("caption"))
+    return documents.roundup(captions, "key", "caption", F.lit("2024-01-17").cast("date")).select("key", F.col("part").cast("long").alias("part"), "date", "start_time")
 
 
 @query("""

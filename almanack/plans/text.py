@@ -173,9 +173,15 @@ def hard_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", admission.blocked(plain, ["license", "copyright"], ["disgusting", "stupid"], [], []).alias("blocked"), admission.glued_handle(F.col("text")).alias("glued"))
 
 
-@query()
+def _fragment_sql() -> str:
+    how = {"prefix": "starts_with(t, '{}')", "suffix": "ends_with(t, '{}')", "contains": "contains(t, '{}')", "regex": "regexp_matches(t, '{}')"}
+    cases = ", ".join(f"CASE WHEN {how[kind].format(pattern.replace(chr(39), chr(39) * 2))} THEN '{name}' END" for name, kind, pattern in admission.FRAGMENTS)
+    return f"SELECT conv_id, turn, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS rule_ids FROM (SELECT conv_id, turn, lower(trim(split_part(coalesce(text, ''), chr(10), 1))) AS t FROM conversations)"
+
+
+@query(_fragment_sql())
 def caption_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the rules by which a turn looks torn off; the rule table is the contract, tests hold each rule."""
+    """Ids of the rules by which a turn looks torn off."""
     rows = load(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.array_join(admission.fragment_rules(F.substring_index("text", "\n", 1), admission.FRAGMENTS), ",").alias("rule_ids"))
 
