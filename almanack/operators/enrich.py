@@ -30,7 +30,7 @@ def neighborhood(explicit: Column, venue: Column, content: Column, venues: list[
 
 def longest_match(df: DataFrame, key: str, content: str, table: DataFrame, needle: str, value: str) -> DataFrame:
     """key and the value of the longest needle in the text (ties: first by name); rows without one are absent. The needles, a hand-kept list, go to all rows as one array."""
-    bag = table.agg(F.sort_array(F.collect_list(F.struct((-F.length(needle)).alias("o"), F.col(needle).alias("n"), F.col(value).alias("v")))).alias("bag"))
+    bag = relational.hand_kept(table).agg(F.sort_array(F.collect_list(F.struct((-F.length(needle)).alias("o"), F.col(needle).alias("n"), F.col(value).alias("v")))).alias("bag"))
     hit = F.try_element_at(F.filter("bag", lambda r: F.contains(F.col(content), r["n"])), F.lit(1))
     return df.crossJoin(F.broadcast(bag)).select(key, hit["v"].alias(value), hit["n"].alias(needle)).filter(F.col(value).isNotNull())  # one row on the right
 

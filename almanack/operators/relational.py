@@ -17,6 +17,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
+def hand_kept(rules: DataFrame) -> DataFrame:
+    """``rules``, if they are few enough to go to all rows; more are refused, never cut off."""
+    if rules.limit(RULES + 1).count() > RULES:
+        raise ValueError(f"over {RULES} rules: use an equi-join on extracted tokens")
+    return rules
+
+
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
     """One row for each key: the first in the order, which must be total."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -34,9 +41,7 @@ def contains_max(df: DataFrame, key: str, text: str, rules: DataFrame, needle: s
     The rules, a hand-kept list, go to the rows as one array, so no pair of rows
     and rules is ever made; more than ``RULES`` of them are refused.
     """
-    if rules.limit(RULES + 1).count() > RULES:
-        raise ValueError(f"over {RULES} rules: use an equi-join on extracted tokens")
-    bag = rules.agg(F.collect_list(F.struct(F.col(needle).alias("n"), F.col(weight).alias("w"))).alias("__rules"))
+    bag = hand_kept(rules).agg(F.collect_list(F.struct(F.col(needle).alias("n"), F.col(weight).alias("w"))).alias("__rules"))
     hits = F.aggregate("__rules", F.lit(0).cast("long"), lambda acc, r: F.when(F.contains(F.col(text), r["n"]), F.greatest(acc, r["w"].cast("long"))).otherwise(acc))
     return df.crossJoin(F.broadcast(bag)).withColumn(name, hits).drop("__rules")  # one row on the right
 

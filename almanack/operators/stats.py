@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanack.operators import relational
+
 
 def share(part: Column, whole: Column) -> Column:
     """In whole thousandths, rounded down; 0 of nothing."""
@@ -39,6 +41,7 @@ def ranked_feed(top: DataFrame, personal: Column, topic: str, source: str, serie
 
 def must_surface(rows: DataFrame, fields: list[str], rules: DataFrame) -> DataFrame:
     """name, hits, ok for each rule (name, needle, least): how many rows have its needle in the fields together. ``rules`` is a hand-kept list."""
-    text = F.lower(F.concat_ws(" ", *fields))
-    counted = rows.select(text.alias("t")).join(F.broadcast(rules.limit(10_000)), F.contains("t", F.col("needle"))).groupBy("name").agg(F.count("*").alias("hits"))
+    bag = relational.hand_kept(rules).agg(F.collect_list(F.struct("name", "needle")).alias("bag"))
+    met = F.filter("bag", lambda r: F.contains("t", r["needle"]))
+    counted = rows.select(F.lower(F.concat_ws(" ", *fields)).alias("t")).crossJoin(F.broadcast(bag)).select(F.explode(met).alias("r")).groupBy("r.name").agg(F.count("*").alias("hits"))  # one row on the right
     return rules.join(counted, "name", "left").select("name", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) >= F.col("least")).alias("ok"))
