@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import rules
+from almanack.sources import tables
 
 
 def _step(rank: Column, steps: list[int]) -> Column:
@@ -43,11 +44,20 @@ def mix(df: DataFrame, lane: str, score: str, key: str, total: int, shares: dict
     return df.withColumn("__own", (rank <= quota)).orderBy(F.desc("__own"), F.desc(score), key).limit(total).drop("__own")
 
 
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` and each row's place from 0 in the order, which must be total: rows are sorted by ranges over all tasks, and each task counts on from those before it."""
+    placed = tables.settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked").withColumn("__task", F.shiftright("__at", 33))
+    counts = placed.groupBy("__task").agg(F.count("*").alias("n"), F.min("__at").alias("first"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(counts.select("__task", (before - F.col("first")).alias("__base"))), "__task").withColumn(name, F.col("__at") + F.col("__base")).drop("__at", "__task", "__base")
+
+
 def cohort(df: DataFrame, order: list, slot: int, head: int, size: int) -> DataFrame:
     """The first ``head`` rows, and ``size`` of the others in turn by the slot."""
-    ranked = df.withColumn("__rn", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()) - head)
+    ranked = global_rank(df, order, "__rn")
+    rest = ranked.agg((F.count("*") - head).alias("__n"))
     turn = F.pmod(F.col("__rn") - head - slot * size, F.greatest(F.col("__n"), F.lit(1))) < size
-    return ranked.filter((F.col("__rn") < head) | turn).drop("__rn", "__n")
+    return ranked.crossJoin(F.broadcast(rest)).filter((F.col("__rn") < head) | turn).drop("__rn", "__n")  # one row on the right
 
 
 def primary_topic(categories: Column, title: Column) -> Column:

@@ -96,7 +96,7 @@ SELECT user_id, n FROM r WHERE rn < 5 OR ((rn - 5 - 3 * 10) % greatest(rest, 1)
 def rotating_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five fixed heads and the fourth ten of the others in turn."""
     accounts = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return rank.cohort(accounts, [F.desc("n"), "user_id"], slot=3, head=5, size=10)
+    return rank.cohort(accounts, [F.desc("n"), F.asc("user_id")], slot=3, head=5, size=10)
 
 
 @query("""

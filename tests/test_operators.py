@@ -76,8 +76,8 @@ def test_guarantee_mix_cohort(spark):
     assert [(r.k, r.score) for r in top] == [(20, 889 + 5)]
     mixed = rank.mix(df, "t", "score", "k", 10, {"a": 0.7, "m": 0.3}).groupBy("t").count().collect()
     assert {r.t: r["count"] for r in mixed} == {"a": 7, "m": 3}
-    first = {r.k for r in rank.cohort(df, ["k"], 0, 2, 5).collect()}
-    second = {r.k for r in rank.cohort(df, ["k"], 1, 2, 5).collect()}
+    first = {r.k for r in rank.cohort(df, [F.asc("k")], 0, 2, 5).collect()}
+    second = {r.k for r in rank.cohort(df, [F.asc("k")], 1, 2, 5).collect()}
     assert first == {0, 1, 2, 3, 4, 5, 6} and second == {0, 1, 7, 8, 9, 10, 11}
 
 
