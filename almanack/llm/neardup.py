@@ -241,7 +241,7 @@ def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) ->
     roots = components(links.union(meet(of.join(main, "key"), some, counted, similar)))
     named = docs.select("doc_id", node().alias("node")).join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     named = shared.table(named, "neardup-named")
-    whole = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    whole = shared.table(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "neardup-classes")  # so that the join below can split a large class
     return named.join(whole, "root").select("doc_id", "node", "class_id", "class_size")
 
 
