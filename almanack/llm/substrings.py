@@ -39,21 +39,28 @@ LENGTH, GRAM, HOT, CHUNK = 200, 96, 4096, 2 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: A random 64-bit value for each byte.
+_OF_BYTE = tb.mix(np.arange(1, 257, dtype=np.uint64) * _M)
+
+
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of the ``gram`` bytes from each place, by doubling; places without so many have no meaning."""
-    h, n, out, have = tb.mix(data.astype(np.uint64) + np.uint64(1)), 1, None, 0
-    while True:
-        if gram & n:
-            if out is None:
-                out, have = h.copy(), n
-            else:
-                out[: len(out) - have] = out[: len(out) - have] * _M + h[have:]
-                out, have = out ^ (out >> np.uint64(29)), have + n
-        if 2 * n > gram:
-            return tb.mix(out)
-        h[: len(h) - n] = h[: len(h) - n] * (_M + np.uint64(2 * n)) + h[n:]
-        h ^= h >> np.uint64(31)
-        n *= 2
+    """A polynomial hash of the ``gram`` bytes from each place, by doubling; places without so many have no meaning."""
+    h, n, base, out, have = _OF_BYTE[data], 1, _M, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if gram & n:
+                if out is None:
+                    out, have = h.copy(), n
+                else:
+                    out[: max(0, len(out) - have)] *= base
+                    out[: max(0, len(out) - have)] += h[have:]
+                    have += n
+            if 2 * n > gram:
+                return tb.mix(out)
+            later = h[n:].copy()
+            h[: len(later)] *= base
+            h[: len(later)] += later
+            base, n = base * base, 2 * n
 
 
 def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -110,17 +117,18 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     of its group. Ends stand below all suffixes, in their own order.
     """
     n = len(data)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)  # a chunk is a few megabytes
+    end = end.astype(np.int32)
     left = np.minimum(end - at, 8).astype(np.uint64)
     key = words8(data)
     key &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1))))
     key = (key & ~np.uint64(0xFF)) | np.minimum(left, np.uint64(7))
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
     open_, h = at, 7
     while True:
         single = new[open_] & np.append(new, True)[open_ + 1]
@@ -130,21 +138,21 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
         suffix = order[open_]
         beyond = suffix + h
         inside = beyond < end[suffix]
-        second = np.where(inside, rank[np.minimum(beyond, n - 1)] + n + 1, end[suffix])
+        second = np.where(inside, rank[np.minimum(beyond, n - 1)] + (n + 1), end[suffix])
         group = rank[suffix]
-        both = group * (2 * n + 2) + second
+        both = group.astype(np.int64) * (2 * n + 2) + second
         again = np.argsort(both)
-        suffix, both, group = suffix[again], both[again], group[again]
+        suffix, both = suffix[again], both[again]
         split = np.ones(len(suffix), bool)
         split[1:] = both[1:] != both[:-1]
         order[open_] = suffix
         new[open_] = split
-        rank[suffix] = open_[np.maximum.accumulate(np.where(split, np.arange(len(split)), 0))]
+        rank[suffix] = open_[np.maximum.accumulate(np.where(split, np.arange(len(split), dtype=np.int32), np.int32(0)))]
         h *= 2
 
 
-def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the order.
+def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = 1) -> np.ndarray:
+    """Common prefix of each suffix of ``least`` bytes or more with the one before it in the order; 0 for shorter ones.
 
     The strings are walked side by side, one place at a time: from a place to
     the next the common prefix shrinks by one at most.
@@ -153,8 +161,8 @@ def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarr
     lcp, size = np.zeros(n, np.int64), end[begin] - begin
     have = np.zeros(len(begin), np.int64)
     live = np.arange(len(begin))
-    for step in range(int(size.max(initial=0))):
-        live = live[size[live] > step]
+    for step in range(int(size.max(initial=0)) - least + 1):
+        live = live[size[live] - step >= least]
         p = begin[live] + step
         r = rank[p]
         q = order[r - 1]
@@ -193,7 +201,7 @@ class Chunk:
         self.data, self.length = np.frombuffer(b"".join(segments), np.uint8), length
         self.end = np.repeat(self.off[1:], size)
         self.order, self.rank = suffix_array(self.data, self.end)
-        lcp = kasai(self.data, self.order, self.rank, self.off[:-1], self.end)
+        lcp = kasai(self.data, self.order, self.rank, self.off[:-1], self.end, length)
         long = lcp >= length
         hit = long | np.append(long[1:], False)
         self.repeated = np.zeros(len(self.data), bool)
