@@ -32,10 +32,10 @@ def future(df: DataFrame, today: Column) -> DataFrame:
     return df.filter(keeps | (F.col("date") >= today)).withColumn("date", F.when(keeps & (F.col("date") < today), today).otherwise(F.col("date")))
 
 
-def far_future(df: DataFrame, today: Column, trusted: list[str], days: int = 180) -> DataFrame:
-    """Dates over ``days`` ahead stay only for trusted sources or if the year is written in the first 600 characters."""
+def far_future(df: DataFrame, today: Column, trusted: list[str], days: int = 180, captions: str = "social") -> DataFrame:
+    """Dates over ``days`` ahead stay only for trusted sources or, but for the source of captions, if the year is written in the first 600 characters."""
     written = F.regexp_like(F.concat_ws(" ", "title", F.substring(F.coalesce("description", F.lit("")), 1, 600)), F.concat(F.lit(r"\b"), F.year("date").cast("string"), F.lit(r"\b")))
-    return df.filter((F.datediff("date", today) <= days) | F.col("source").isin(trusted) | ((F.col("source") != "instagram") & written))
+    return df.filter((F.datediff("date", today) <= days) | F.col("source").isin(trusted) | ((F.col("source") != captions) & written))
 
 
 def blocked(title_and_text: Column, phrases: list[str], words: list[str], other_places: list[str], home: list[str]) -> Column:
