@@ -58,8 +58,8 @@ class WaveletMatrix:
         return high - low
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes; separators (0) all differ, so no comparison goes beyond ``depth`` symbols."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes, without ties, as a walk from row to row relies on it; separators (0) all differ, so no comparison goes beyond a run."""
     n, at = len(text), np.arange(len(text))
     ends = text == 0
     rank = np.where(ends, np.cumsum(ends) - 1, text.astype(np.int64) + int(ends.sum()))
@@ -73,15 +73,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = step
         h *= 2
-        if h > depth or (n and step[-1] == n - 1):
+        if not n or step[-1] == n - 1:
             return order
 
 
 class FMIndex:
     """Backward search and location over a text of symbols 1 to ``top`` in runs closed by 0."""
 
-    def __init__(self, text: np.ndarray, top: int, longest: int):
-        order = suffix_array(text, longest + 1)
+    def __init__(self, text: np.ndarray, top: int):
+        order = suffix_array(text)
         before = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.bwt, self.wavelet = before, WaveletMatrix(before, top)
@@ -134,7 +134,7 @@ class Phrases:
             some = [p for p in found if len(p) == size]
             owners = [sorted(at[x] for x in found[p]) for p in some]
             self.groups.append((np.array(some, np.int64), np.concatenate([[0], np.cumsum([len(o) for o in owners])]), np.array([x for o in owners for x in o], np.int64)))
-        self.shortest, self.longest = (self.groups[0][0].shape[1], self.groups[-1][0].shape[1]) if self.groups else (0, 0)
+        self.shortest = self.groups[0][0].shape[1] if self.groups else 0
 
     def hits(self, words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
         """Which words are hit, and the pairs (document, item) as document * items + item."""
@@ -156,7 +156,7 @@ class Phrases:
         word_at = np.arange(offs[-1]) - np.repeat(offs[:-1], size + 1) + np.repeat(begin, size + 1)
         text = symbol[np.minimum(word_at, len(symbol) - 1)]
         text[offs[1:] - 1] = 0
-        index = FMIndex(text, len(self.vocabulary), self.longest)
+        index = FMIndex(text, len(self.vocabulary))
         cover, pairs = np.zeros(len(words.code) + 1, np.int64), [np.zeros(0, np.int64)]
         for phrases, first, owners in self.groups:
             low, high = index.search(phrases)

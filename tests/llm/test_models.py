@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from almanack.llm import decontam, langid, toxicity
+from almanack.llm import textbytes as tb
 
 DOCS = "doc_id long, text string, lang string, score string"
 
@@ -133,6 +135,33 @@ def test_fm_index_ranks():
     assert w.rank(c, at).tolist() == [int((s[:i] == x).sum()) for x, i in zip(c, at)]
 
 
+def test_edited_copies_are_located():
+    """Copies share the words before a phrase and all of it but the last word, at all eight alignments."""
+    phrase = [f"p{i}" for i in range(13)]
+    for shift in range(8):
+        for tails in itertools.permutations(["p12", "q", "r"]):
+            before = [f"w{i}" for i in range(7)]
+            texts = [" ".join([f"w{j % 7}" for j in range(shift)] * (i == 0) + before + phrase[:12] + [tail] + after.split()) for i, (tail, after) in enumerate(zip(tails, ["w1 w2", "w3 q", "r w4"]))]
+            one = decontam.Phrases([("x", " ".join(phrase)), ("words", " ".join([*before, "q", "r"]))])
+            words = tb.Words(pa.array(texts, pa.large_string()))
+            hit, pairs = one.hits(words)
+            held = [i for i, tail in enumerate(tails) if tail == "p12"]
+            assert [(int(p) // len(one.names), one.names[p % len(one.names)]) for p in pairs] == [(i, "x") for i in held]
+            at = words.of[held[0]] + shift * (held[0] == 0) + 7
+            assert np.flatnonzero(hit).tolist() == list(range(at, at + 13))
+
+
+def test_suffixes_are_sorted_to_the_end_of_their_runs():
+    rng = np.random.default_rng(2)
+    run = rng.integers(1, 4, 60)
+    text = np.concatenate([run, [0], run[5:], [1, 0], run[:40], [2, 0], run, [0]])
+    nth = np.cumsum(text == 0)
+    key = lambda i: [(int(s), int(n) if s == 0 else 0) for s, n in zip(text[i:], nth[i:])]
+    assert decontam.suffix_array(text).tolist() == sorted(range(len(text)), key=key)
+    index = decontam.FMIndex(text, 3)
+    assert sorted(index.locate(np.arange(len(text))).tolist()) == list(range(len(text)))
+
+
 def test_labels_bucket(spark):
     got = spark.createDataFrame([(12,)], "doc_id long").select(toxicity.bucket(), F.lit(1)).first()[0]
     assert got == zlib.crc32(b"12")
