@@ -22,8 +22,10 @@ buckets with probability (1 - 0.8^5)^28, 0.00002.
 
 Edge cases: null text counts as empty; texts without words are alike only if
 equal; a text of under five words is one run; a null doc_id belongs to its
-text's class; a class without any doc_id has a null class_id; an empty table
-gives no rows.
+text's class; a class without any doc_id, and all but one of the classes whose
+least doc_id is the same repeated id, have a class_id of their own, a negative
+hash (for ids that are strings, the hash of a text), so that no two classes share
+one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,8 +230,8 @@ def meet(mixed: DataFrame, texts: DataFrame, counted: bool, similar: float) -> D
     return shared.table(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(cell, "a binary, b binary"), "neardup-met")
 
 
-def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, node (of its text), class_id (the least doc_id of its class), class_size."""
+def rooted(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, node (of its text), root (of its class, which it alone identifies); a table."""
     texts = docs.select(node().alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bands = buckets(texts, counted)
     some = shared.table(texts.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "neardup-texts")
@@ -240,14 +242,24 @@ def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) ->
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
     roots = components(links.union(meet(of.join(main, "key"), some, counted, similar)))
     named = docs.select("doc_id", node().alias("node")).join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    named = shared.table(named, "neardup-named")
-    whole = shared.table(named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "neardup-classes")  # so that the join below can split a large class
+    return shared.table(named, "neardup-named")
+
+
+def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, node (of its text), class_id (the least doc_id of its class, or its own name where that does not tell it apart), class_size."""
+    named = rooted(docs, counted, similar)
+    whole = named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
+    whole = shared.table(whole, "neardup-least")
+    again = whole.filter("least IS NOT NULL").groupBy("least").agg(F.min("root").alias("holder"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    own = F.concat(F.lit("class-"), F.lower(F.hex("root"))) if whole.schema["least"].dataType.simpleString() == "string" else F.xxhash64("root").bitwiseOR(F.lit(-(1 << 63)))
+    is_own = F.col("least").isNull() | (F.col("root") != F.col("holder"))
+    whole = shared.table(whole.join(again, "least", "left").select("root", F.when(is_own, own).otherwise(F.col("least")).alias("class_id"), "class_size"), "neardup-classes")  # so that the join below can split a large class
     return named.join(whole, "root").select("doc_id", "node", "class_id", "class_size")
 
 
 def keep(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` without the near-duplicates of a smaller doc_id; of each class one row stays."""
-    found = classes(docs.select("doc_id", "text"), counted, similar)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
+    """The rows of ``docs`` without the near-duplicates of a smaller doc_id; of each class one row stays, also where ids are null or repeated."""
+    found = rooted(docs.select("doc_id", "text"), counted, similar)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
     a, b = docs.withColumn("__node", node()).alias("a"), first.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.class_id")) & (F.col("a.__node") == F.col("b.node"))).dropDuplicates(["doc_id", "__node"]).select(*(F.col(f"a.{c}") for c in docs.columns))
+    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__node") == F.col("b.node"))).dropDuplicates(["doc_id", "__node"]).select(*(F.col(f"a.{c}") for c in docs.columns))

@@ -65,6 +65,19 @@ def test_keep_has_one_row_of_each_class(spark):
     assert kept.count() == nd.classes(docs).select("node", "class_id").join(nd.classes(docs).select("node"), "node").select("class_id").distinct().count()
 
 
+def test_keep_tells_classes_apart_without_ids(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = text("b") + " more"
+    rows = [(None, text(f"n{j}x"), "en", None) for j in range(20)] + [(None, text("n3x") + " more", "en", None), (7, text("a"), "en", None), (7, text("b"), "en", None), (9, near, "en", None), (None, text("a"), "en", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    named = nd.classes(docs).select("class_id", "class_size").distinct().collect()
+    assert len(named) == len({r.class_id for r in named}) == 22 and sum(r.class_size for r in named) == len(rows)
+    kept = nd.keep(docs).collect()
+    assert sum(r.doc_id is None for r in kept) == 20
+    assert len({r.text.removesuffix(" more") for r in kept}) == len(kept) == 22
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(7, text("a")), (7, text("b"))]
+
+
 def test_empty_table(spark):
     assert nd.classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
