@@ -49,7 +49,7 @@ def similar_pairs(df: DataFrame, key: str, block: list[str], tokens: str, least:
 
     Prefix filtering, which is exact: with a set's n words ordered from the
     rarest of the block on, two sets of that similarity share one of their first
-    n - ceil(least x n) + 1 words.  So rows meet by an equi-join on (block, rare
+    n - max(ceil(least x n), shared) + 1 words.  So rows meet by an equi-join on (block, rare
     word), and frequent words bring nobody together.  Rows with equal word sets
     are joined once, by a representative, and come back as links to it.
     """
@@ -60,7 +60,7 @@ def similar_pairs(df: DataFrame, key: str, block: list[str], tokens: str, least:
     often = words.groupBy(*block, "w").agg(F.count("*").alias("c"))
     ranked = words.join(often, [*block, "w"]).groupBy("k", *block).agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("r"))
     n = F.size("r")
-    first = ranked.select("k", *block, F.transform("r", lambda x: x["w"]).alias("t"), F.explode(F.slice(F.col("r"), 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("x")).select("k", *block, "t", F.col("x.w").alias("w"))
+    first = ranked.select("k", *block, F.transform("r", lambda x: x["w"]).alias("t"), F.explode(F.slice(F.col("r"), 1, F.greatest(n - F.greatest(F.ceil(n * F.lit(least) - 1e-9).cast("int"), F.lit(shared)) + 1, F.lit(0)))).alias("x")).select("k", *block, "t", F.col("x.w").alias("w"))
     left, right = first.select(*block, "w", F.col("k").alias("a"), F.col("t").alias("ta")), first.select(*block, "w", F.col("k").alias("b"), F.col("t").alias("tb"))
     near = left.join(right, [*block, "w"]).filter("a < b").withColumn("common", F.size(F.array_intersect("ta", "tb"))).withColumn("similarity", F.col("common") / (F.size("ta") + F.size("tb") - F.col("common")))
     return copies.unionByName(near.filter((F.col("common") >= shared) & (F.col("similarity") >= least)).select("a", "b", "common", "similarity").distinct())

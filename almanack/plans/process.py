@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates, rules, scores, text
 from almanack.operators import admission, enrich, graph, rank, resolve
+from almanack.sources import tables
 from almanack.sources.schema import conform
 
 
@@ -58,18 +59,68 @@ def expand(df: DataFrame, weeks: int = 3) -> DataFrame:
     return out.withColumns({"recurring": F.coalesce("recurring", F.lit(False)) | F.col("__w").isNotNull(), "series_id": series, "event_id": F.when(F.col("__w").isNotNull(), text.short_id(F.col("source"), F.col("title"), F.col("date").cast("string"))).otherwise(F.col("event_id"))}).drop("__w")
 
 
+def across_sources(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of one venue and day: different sources that share two words of four letters or more.
+
+    Rows that share the same two words, of two sources or more, are all connected, so each is linked to the least of them.
+    """
+    long = F.array_sort(F.filter("__t", lambda w: F.length(w) >= 4))
+    first = rows.select("event_id", "source", "__v", "date", long.alias("w")).withColumn("x", F.explode("w"))
+    two = first.withColumn("y", F.explode(F.filter("w", lambda w: w > F.col("x")))).drop("w")
+    by = ["__v", "date", "x", "y"]
+    heads = two.groupBy(*by).agg(F.min("event_id").alias("a"), F.min("source").alias("s"), F.max("source").alias("t")).filter("s <> t").drop("s", "t")
+    return two.join(heads, by).select("a", F.col("event_id").alias("b")).filter("a <> b").distinct()
+
+
+def across_accounts(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of accounts' posts at one venue and day, where more than one account posts: half of the words and three of them."""
+    posts = rows.filter(F.col("account").isNotNull() & (F.length("__v") >= 3))
+    several = posts.groupBy("__v", "date").agg(F.min(F.lower("account")).alias("s"), F.max(F.lower("account")).alias("t")).filter("s <> t").select("__v", "date")
+    return resolve.similar_pairs(posts.join(several, ["__v", "date"], "left_semi"), "event_id", ["__v", "date"], "__t", 0.5, 3).select("a", "b")
+
+
+def series(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of one publisher's rows on different days that ``resolve.same_series`` holds for.
+
+    Rows of a publisher, day and word set are one node; a word set's nodes meet another set's by its first and last day,
+    which connects what all pairs of different days would.
+    """
+    host = F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
+    who = F.when(F.col("account").isNotNull(), F.concat(F.lit("account:"), F.lower("account"))).when(host != "", F.concat_ws(":", F.coalesce("source", F.lit("")), host))
+    rows = rows.filter("series_id IS NULL AND date IS NOT NULL").select("event_id", "date", who.alias("p"), F.array_sort("__t").alias("t")).filter(F.col("p").isNotNull() & (F.size("t") > 0))
+    nodes = rows.groupBy("p", "t", "date").agg(F.min("event_id").alias("n"))
+    sets = nodes.groupBy("p", "t").agg(F.min("n").alias("k"), F.min(F.struct("date", "n")).alias("lo"), F.max(F.struct("date", "n")).alias("hi"))
+    near = resolve.similar_pairs(sets, "k", ["p"], "t", 0.75, 1).select("a", "b").union(resolve.similar_pairs(sets, "k", ["p"], "t", 0.0, 4).select("a", "b")).distinct()
+    both = near.union(near.select("b", "a")).union(sets.select("k", "k"))
+    ends = sets.select(F.col("k").alias("a"), F.explode(F.array("lo", "hi")).alias("end"))
+    of = nodes.join(sets.select("p", "t", "k"), ["p", "t"]).select(F.col("k").alias("b"), "n", "date")
+    met = both.join(ends, "a").join(of, "b").filter(F.col("end.date") != F.col("date")).select(F.col("end.n").alias("a"), F.col("n").alias("b")).distinct()
+    linked = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "n")
+    members = rows.join(nodes.join(linked, "n", "left_semi"), ["p", "t", "date"]).select(F.col("n").alias("a"), F.col("event_id").alias("b")).filter("a <> b")
+    return met.union(members)
+
+
 def resolve_all(df: DataFrame, p: Preferences) -> DataFrame:
-    """Exact key, image and similar titles of one venue and day; the three link rows, components are merged at once."""
+    """Exact key, image, similar titles of one venue and day, the same across sources and accounts, and a publisher's series; these link rows, components are merged at once."""
     keyed = df.withColumns({"__k": F.when(~F.col("source").isin(p.exempt), text.exact_key(F.col("title"), F.col("date"))), "__i": resolve.image_key(F.col("image_url"), F.col("date")), "__v": text.venue_key(F.col("location.name")), "__t": text.title_tokens(F.col("title"))})
+    keyed = tables.settle(keyed.select("event_id", "source", "source_url", "account", "date", "series_id", "__k", "__i", "__v", "__t"), "keyed")
     links = None
     for k in ("__k", "__i"):
         heads = keyed.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("event_id").alias("a"))
         one = keyed.join(heads, k).select("a", F.col("event_id").alias("b")).filter("a <> b")
         links = one if links is None else links.unionByName(one)
-    near = resolve.similar_pairs(keyed.filter((F.col("__v") != "") & ~F.col("source").isin(p.exempt)), "event_id", ["__v", "date"], "__t")
-    roots = graph.components(links.unionByName(near.select("a", "b")))
+    free = keyed.filter(~F.col("source").isin(p.exempt))
+    placed = free.filter(F.col("__v") != "")
+    near = resolve.similar_pairs(placed, "event_id", ["__v", "date"], "__t").select("a", "b")
+    again = tables.settle(series(free), "series")
+    for more in (near, across_sources(placed), across_accounts(keyed), again):
+        links = links.unionByName(more)
+    roots = graph.components(tables.settle(links, "links"))
+    returns = again.select(F.explode(F.array("a", "b")).alias("event_id")).distinct().withColumn("__again", F.lit(True))
+    df = df.join(returns, "event_id", "left").withColumn("recurring", F.coalesce("recurring", F.lit(False)) | F.coalesce("__again", F.lit(False))).drop("__again")
     merged = df.join(roots.withColumnRenamed("node", "event_id"), "event_id", "left").withColumn("__root", F.coalesce("root", "event_id"))
-    return conform(resolve.merge(merged, "__root", "scraped_at", "seq", MERGE).drop("__root"))
+    whole = conform(resolve.merge(merged, "__root", "scraped_at", "seq", MERGE).drop("__root"))
+    return resolve.collapse_spam(whole, F.col("title"), F.col("source_url"), "date", "event_id", recurring=F.col("recurring"))
 
 
 def score(df: DataFrame, p: Preferences, today, now, now_minutes) -> DataFrame:

@@ -173,6 +173,27 @@ def test_whole_feed(spark):
     assert all(250 <= r.score <= 1000 for r in got)
 
 
+def test_feed_links_sources_accounts_and_series(spark):
+    long = "A long evening of live music and reading with friends at the hall, come along."
+    hall = ("Blue Hall", "1 Main St", None, None, None)
+    some = lambda seq, key, title, source, day, account=None, url=None: (seq, key, title, long, hall, source, D(2026, 7, day), "19:00", account, url)
+    rows = [
+        some(1, "a", "Charlie Puth Madison", "one", 4), some(2, "b", "Charlie Puth, Daniel Seavey, Ally Salort", "two", 4),
+        some(3, "c", "Orchid Piano Violin Trumpet", "post", 5, "x"), some(4, "d", "Orchid Piano Violin Cello", "post", 5, "y"),
+        some(5, "e", "Pottery Workshop Glazing", "web", 6, None, "https://h.example/1"), some(6, "f", "Pottery Workshop Glazing", "web", 9, None, "https://h.example/2"),
+        some(7, "g", "Pottery Workshop Glazing", "web", 9, None, "https://other.example/2"),
+    ]
+    schema = "seq long, event_id string, title string, description string, location struct<name:string,address:string,neighborhood:string,lat:double,lng:double>, source string, date date, start_time string, account string, source_url string"
+    day = F.lit("2026-07-01").cast("date")
+    prefs = process.Preferences()
+    got = process.resolve_all(process.admit(process.conform(spark.createDataFrame(rows, schema)), prefs, day), prefs).collect()
+    found = sorted((r.event_id, tuple(r.contributing_sources), tuple(r.contributing_accounts), r.recurring) for r in got)
+    assert found == [("a", ("one", "two"), (), False), ("c", ("post",), ("x", "y"), False), ("e", ("web",), (), True)]
+    spam = [some(i, f"s{i}", "Evening Gala Dinner", f"src{i}", 10 + i, None, None) for i in range(5)]
+    got = process.resolve_all(process.conform(spark.createDataFrame(spam, schema)), prefs).collect()
+    assert [r.event_id for r in got] == ["s0"]
+
+
 def test_exclusion(spark):
     df = spark.createDataFrame([("1", "x", "foo", "http://a", ("Foo NYC",)), ("2", "quiz night", "b", "http://b", ("Bar",)), ("3", "y", "c", "http://bad.com/1", ("Z",)), ("4", "ok", "d", "http://d", ("Q",))], "event_id string, title string, account string, source_url string, location struct<name:string>")
     gone = spark.createDataFrame([("account", "Foo"), ("hint", "quiz"), ("host", "bad.com")], "kind string, pattern string")
