@@ -30,6 +30,18 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("common").cast("long").alias("common"))
 
 
+@query(f"""
+WITH p AS (SELECT p_partkey, p_brand, p_size, {_TOKENS} AS t FROM part),
+r AS (SELECT p_brand, p_size, t, min(p_partkey) AS a FROM p GROUP BY 1, 2, 3)
+SELECT r.a, p.p_partkey AS b, len(p.t) AS common FROM p JOIN r ON p.p_brand = r.p_brand AND p.p_size = r.p_size AND p.t = r.t WHERE p.p_partkey > r.a AND len(p.t) >= 1
+""")
+def equal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand and size whose names have equal words, each linked to the least of them; with ``fuzzy_pairs`` these are all that are similar."""
+    rows = resolve.tokens_of(load(spark, sf_dir, "part"), "p_name").select("p_partkey", "p_brand", "p_size", F.array_sort("tokens").alias("t")).filter(F.size("t") > 0)
+    reps = rows.groupBy("p_brand", "p_size", "t").agg(F.min("p_partkey").alias("a"))
+    return rows.join(reps, ["p_brand", "p_size", "t"]).filter("p_partkey > a").select("a", F.col("p_partkey").alias("b"), F.size("t").cast("long").alias("common"))
+
+
 @query()
 def fuzzy_clusters_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters in each block, in order of the key; a model in plain Python is the oracle (tests)."""

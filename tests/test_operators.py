@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import rules
 from almanack.operators import admission, communities, graph, rank, relational, resolve, state, taste
-from almanack.plans import process
+from almanack.plans import process, registry
 from almanack.sources import connectors, documents, jsonld, sinks
 from almanack.streaming import stateful, windows
 
@@ -42,6 +42,12 @@ def test_similar_pairs_and_greedy(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_equal_words_are_linked(spark, tmp_path):
+    rows = [(1, "B", 1, "red blue steel"), (2, "B", 1, "steel blue red"), (3, "B", 2, "red blue steel"), (4, "B", 1, "the"), (5, "B", 1, "the")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in registry.QUERIES["equal_words"](spark, str(tmp_path)).collect()] == [(1, 2, 3)]
+
+
 def test_hamming_pairs(spark):
     rows = [(1, "b", 0), (2, "b", 0b11111), (3, "b", 0b111111), (4, "c", 0), (5, "b", -1)]
     got = {(r.a, r.b, r.distance) for r in resolve.hamming_pairs(spark.createDataFrame(rows, "k long, v string, h long"), "k", ["v"], "h").collect()}
