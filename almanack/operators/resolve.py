@@ -3,8 +3,8 @@
 Exact passes group by a key.  Pair passes join rows within a block on the
 distinct words that they share, so pairs without common words never meet, and
 keep what the similarity rule says.  Greedy passes keep the order-dependent
-semantics of a walk over each block; they are for blocks of bounded size (a
-venue's day), beyond which the pairs and their components are the way.
+semantics of a walk over each block; a block of over ``GREEDY_ROWS`` rows gets
+the same clusters by rounds over its pairs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import scores, text
+from almanack.sources import tables
 
 GREEDY_ROWS = 5000
 
@@ -66,16 +67,36 @@ def similar_pairs(df: DataFrame, key: str, block: list[str], tokens: str, least:
     return copies.unionByName(near.filter((F.col("common") >= shared) & (F.col("similarity") >= least)).select("a", "b", "common", "similarity").distinct())
 
 
+def _greedy_rounds(rows: DataFrame, least: float, shared: int) -> DataFrame:
+    """k and cluster as the walk gives them, for blocks of any size. ``rows``: k, o (the order), g (the block), t (sorted words).
+
+    Rows with equal words join the same head, so word sets are walked, by their
+    first rows.  A set is a head once no earlier similar set can be one; the sets
+    similar to a head are none.  Each round settles some, until no link is open.
+    """
+    sets = tables.settle(rows.groupBy("g", "t").agg(F.min(F.struct("o", "k")).alias("h")), "greedy-sets")
+    near = similar_pairs(sets, "h", ["g"], "t", max(0.0, least - 1e-9), shared)
+    links = tables.settle(near.filter(F.col("common") >= F.lit(least) * F.round(F.col("common") / F.col("similarity"))).select("a", "b"), "greedy-links")
+    open_, none = links, links.select("b").limit(0)
+    while not open_.isEmpty():
+        heads = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        covered = tables.settle(open_.join(heads, "a").select("b").distinct(), "greedy-covered")
+        none = none.unionByName(covered)
+        open_ = tables.settle(open_.join(covered, "b", "left_anti").join(covered.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "greedy-open")
+    joined = links.join(none.withColumnRenamed("b", "a"), "a", "left_anti").groupBy(F.col("b").alias("h")).agg(F.min("a").alias("head"))
+    found = sets.join(joined, "h", "left").select("g", "t", F.coalesce("head", "h").alias("head"), F.col("head").isNotNull().alias("moved"))
+    alone = (F.size("t") < max(shared, 1)) & ~F.col("moved")
+    return rows.join(found, ["g", "t"]).select("k", F.when(alone, F.col("k")).otherwise(F.col("head.k")).alias("cluster"))
+
+
 def greedy_clusters(df: DataFrame, key: str, block: list[str], tokens: str, order: str, least: float = 0.55, shared: int = 2) -> DataFrame:
     """key and cluster (the first row's key): rows in order join the first earlier cluster head that they resemble."""
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > GREEDY_ROWS:
-            raise ValueError(f"a block of {len(frame)} rows: use similar_pairs and components")
-        frame = frame.sort_values(order)
+        frame = frame.sort_values(["o", "k"])
         heads: list[tuple] = []
         found = []
-        for k, words in zip(frame[key], frame[tokens]):
+        for k, words in zip(frame["k"], frame["t"]):
             words = set(words)
             for head, other in heads:
                 both = len(words & other)
@@ -85,11 +106,15 @@ def greedy_clusters(df: DataFrame, key: str, block: list[str], tokens: str, orde
             else:
                 heads.append((k, words))
                 found.append((k, k))
-        return pd.DataFrame(found, columns=[key, "cluster"])
+        return pd.DataFrame(found, columns=["k", "cluster"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(*dict.fromkeys([key, *block, tokens, order]))
-    return rows.groupBy(*block).applyInPandas(walk, f"{key} {kind}, cluster {kind}")
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.to_json(F.struct(*block)).alias("g"), F.array_sort(F.array_distinct(tokens)).alias("t"))
+    large = tables.settle(rows.groupBy("g").count().filter(F.col("count") > GREEDY_ROWS).select("g"), "greedy-large")
+    out = rows.join(large, "g", "left_anti").groupBy("g").applyInPandas(walk, f"k {kind}, cluster {kind}")
+    if not large.isEmpty():
+        out = out.unionByName(_greedy_rounds(rows.join(large, "g", "left_semi"), least, shared))
+    return out.select(F.col("k").alias(key), "cluster")
 
 
 def hamming_pairs(df: DataFrame, key: str, block: list[str], hashes: str, most: int = 5) -> DataFrame:

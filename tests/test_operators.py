@@ -42,6 +42,22 @@ def test_similar_pairs_and_greedy(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_greedy_of_large_blocks_is_the_walk(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("vw") if i % 9 else None, rng.sample(["jazz", "night", "club", "bar", "yoga", "dance", "hall"], rng.choice([0, 1, 2, 3, 4]))) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, v string, t array<string>").repartition(4)
+    heads, want = {}, {}
+    for k, v, t in rows:
+        mine = heads.setdefault(v, [])
+        fits = (h for h, o in mine if len(o & set(t)) >= 2 and len(o & set(t)) >= 0.5 * len(o | set(t)))
+        want[k] = next(fits, k)
+        if want[k] == k:
+            mine.append((k, set(t)))
+    for most in (5000, 20):  # the second: all by rounds but the nulls
+        monkeypatch.setattr(resolve, "GREEDY_ROWS", most)
+        assert {r.k: r.cluster for r in resolve.greedy_clusters(df, "k", ["v"], "t", "k", 0.5, 2).collect()} == want
+
+
 def test_equal_words_are_linked(spark, tmp_path):
     rows = [(1, "B", 1, "red blue steel"), (2, "B", 1, "steel blue red"), (3, "B", 2, "red blue steel"), (4, "B", 1, "the"), (5, "B", 1, "the")]
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
