@@ -7,8 +7,9 @@ all its words.  The state starts anew at each word, so a word that a block of
 texts repeats is run once and weighted by its count: the result is that of
 running every word.
 
-Training sample: of each language at most ``PER_LANGUAGE`` documents, those with
-the smallest hash of doc_id, of at most ``LANGUAGES`` languages (the largest).
+Training sample: of every language at most ``PER_LANGUAGE`` documents, those with
+the smallest hash of doc_id; with over ``LANGUAGES`` languages fewer of each, one
+at least, so that the sample doesn't grow.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; words
 of over ``LONGEST`` bytes are read in runs of that length; rows without a
@@ -176,13 +177,14 @@ def bucket(key: str = "doc_id") -> Column:
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
     """The bounded training sample: text, lang."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    largest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    chosen = shared_rows.least_by_hash(known, "lang", "doc_id", per_language).join(F.broadcast(largest.select("lang")), "lang", "left_semi")
+    n = known.select("lang").distinct().count()
+    each = per_language if n <= languages else max(1, per_language * languages // n)
+    chosen = shared_rows.least_by_hash(known, "lang", "doc_id", each)
     return docs.filter(learn).join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
 def train(docs: DataFrame, learn: Column, **bounds) -> tuple[list[str], BiGRU]:
-    rows = sample(docs, learn, **bounds).orderBy("lang", "text").collect()  # per_language x languages at most
+    rows = sample(docs, learn, **bounds).orderBy("lang", "text").collect()  # per_language x languages, or one of each language, at most
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
@@ -192,8 +194,9 @@ def _predict(block: pa.RecordBatch, names: list[str], model: BiGRU) -> tuple[lis
     words, owner, runs = _segments(block.column("text"))
     pooled = np.zeros((len(words.distinct), model.classes))
     order = np.argsort(np.diff(tb.flat(runs)[1]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
+    step = 4096 if model.classes <= LANGUAGES else max(1, 4096 * LANGUAGES // model.classes)
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
         np.add.at(pooled, owner[some], model.pooled(*padded(runs.take(pa.array(some)))))
     weight = np.diff(tb.flat(words.distinct)[1])[words.code]
     doc = np.repeat(np.arange(n), np.diff(words.of))

@@ -165,3 +165,10 @@ def test_suffixes_are_sorted_to_the_end_of_their_runs():
 def test_labels_bucket(spark):
     got = spark.createDataFrame([(12,)], "doc_id long").select(toxicity.bucket(), F.lit(1)).first()[0]
     assert got == zlib.crc32(b"12")
+
+
+def test_every_language_is_learnt(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", f"l{i % 70}", "s") for i in range(700)], DOCS)
+    rows = langid.sample(docs, F.lit(True), per_language=4, languages=20).collect()
+    assert len({r.lang for r in rows}) == len(rows) == 70
+    assert len(langid.sample(docs, F.lit(True), per_language=4, languages=70).collect()) == 280
