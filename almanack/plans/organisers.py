@@ -24,7 +24,7 @@ c(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, c.root FROM c JO
 SELECT node, min(root) AS root FROM c GROUP BY node
 """)
 def community_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of suppliers that share a large order."""
+    """Connected components of suppliers; an edge joins only the least and the largest supplier of an order's lines of a quantity of 50 or more, as in the SQL."""
     return graph.components(_edges(spark, sf_dir))
 
 
@@ -33,7 +33,7 @@ WITH {_EDGES}, u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)
 SELECT DISTINCT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT DISTINCT b, 1 FROM u WHERE a <= 3 AND b > 3
 """)
 def bfs_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of the first three suppliers (the feature: seeds)."""
+    """Neighbours of the first three suppliers (the feature: seeds), over the edges of ``community_components``: those between an order's extremes only."""
     e = _edges(spark, sf_dir)
     seeds = load(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
     return graph.reach(e.union(e.select("b", "a")).distinct(), seeds, 1)
@@ -46,7 +46,7 @@ d2 AS (SELECT DISTINCT u.b AS node FROM u JOIN d1 ON u.a = d1.node WHERE u.b > 3
 SELECT DISTINCT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2
 """)
 def bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers within two steps of the first three (the feature: seeds)."""
+    """Suppliers within two steps of the first three (the feature: seeds), over the edges of ``community_components``: those between an order's extremes only."""
     e = _edges(spark, sf_dir)
     seeds = load(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
     return graph.reach(e.union(e.select("b", "a")).distinct(), seeds, 2)
