@@ -95,7 +95,7 @@ x AS (SELECT a.k AS a, b.k AS b, CAST(floor(len(list_intersect(a.cats, b.cats))
 SELECT a, b, similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM x WHERE similarity > 0) WHERE r <= 6
 """)
 def community_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six suppliers most like each one, among those that share a category."""
+    """The six suppliers most like each one, among those that share a category, by profiles of parts of size 1 and 2 only, as in the SQL; the original takes all parts and scores all pairs (open)."""
     s = load(spark, sf_dir, "supplier")
     rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").filter("p_size <= 2"), F.col("p_partkey") == F.col("l_partkey"))
     profiles = rows.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_sort(F.collect_set("p_type")).alias("categories")).join(s, "s_suppkey")
