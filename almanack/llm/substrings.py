@@ -100,14 +100,6 @@ def runs(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.
     return doc[first], at[first] - off[doc[first]], count, k[first], twice
 
 
-def words8(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a big-endian number; zeros after the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    w = padded[:-1] << np.uint64(8) | padded[1:]
-    w = w[:-2] << np.uint64(16) | w[2:]
-    return (w[:-4] << np.uint64(32) | w[4:])[: len(data)]
-
-
 def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order and ranks of all suffixes; ``end`` has for each place the end of its string, and ends all differ.
 
@@ -120,7 +112,7 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = np.arange(n, dtype=np.int32)  # a chunk is a few megabytes
     end = end.astype(np.int32)
     left = np.minimum(end - at, 8).astype(np.uint64)
-    key = words8(data)
+    key = tb.words8(data)
     key &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1))))
     key = (key & ~np.uint64(0xFF)) | np.minimum(left, np.uint64(7))
     order = np.argsort(key).astype(np.int32)
@@ -157,7 +149,7 @@ def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarr
     The strings are walked side by side, one place at a time: from a place to
     the next the common prefix shrinks by one at most.
     """
-    n, words = len(data), words8(data)
+    n, words = len(data), tb.words8(data)
     lcp, size = np.zeros(n, np.int64), end[begin] - begin
     have = np.zeros(len(begin), np.int64)
     live = np.arange(len(begin))
@@ -217,7 +209,7 @@ class Chunk:
         if not len(mine) or not len(theirs):
             return
         steps = [*range(0, self.length - 7, 8), *([self.length - 8] if self.length % 8 else [])]
-        a, b = words8(self.data), words8(other.data)
+        a, b = tb.words8(self.data), tb.words8(other.data)
 
         def below(i: np.ndarray, j: np.ndarray, or_equal: bool) -> np.ndarray:
             out, open_ = np.full(len(i), or_equal), np.arange(len(i))

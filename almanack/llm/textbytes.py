@@ -6,6 +6,7 @@ batch size; a single longer text makes a block of its own.  Nulls are empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,17 +84,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hash_strings(values: pa.Array, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit polynomial hash of each string, mixed with its length."""
+def words8(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a big-endian number; zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    w = padded[:-1] << np.uint64(8) | padded[1:]
+    w = w[:-2] << np.uint64(16) | w[2:]
+    return (w[:-4] << np.uint64(32) | w[4:])[: len(data)]
+
+
+#: Strings of over so many bytes are hashed by BLAKE2, one by one.
+LONG = 64
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: every eight bytes are mixed in turn, so no algebra of the bytes makes two strings meet."""
     data, off = flat(values)
     size = np.diff(off)
-    out = np.zeros(len(size), np.uint64)
-    if len(data):
-        power = np.cumprod(np.full(int(size.max()), base, np.uint64))
-        place = np.arange(len(data)) - np.repeat(off[:-1], size)
-        full = size > 0
-        out[full] = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], off[:-1][full])
-    return mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out = mix(size.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    if not len(data):
+        return out
+    chunk = words8(data)
+    short = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, LONG, 8):
+        short = short[size[short] > at]
+        left = np.minimum(size[short] - at, 8).astype(np.uint64)
+        own = chunk[off[short] + at] >> (np.uint64(64) - np.uint64(8) * left)
+        out[short] = mix(mix(out[short]) * np.uint64(0x9E3779B97F4A7C15) ^ own)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.frombuffer(hashlib.blake2b(data[off[i] : off[i + 1]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from almanack.llm import textbytes as tb
 
-#: Distinct pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 1_500_000
+#: Distinct pieces, and bytes of them, that a worker remembers before it starts anew.
+CACHE_PIECES, CACHE_BYTES = 1_500_000, 64 << 20
 _SPACES = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
 _c = np.arange(256)
 #: First bytes of characters that are no white space: printable ASCII, and lead bytes without any (C2, E1, E2 and E3 have some).
@@ -40,9 +40,10 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        #: Sorted runs of (hash, second hash, entry); entry i has ids[offs[i]:offs[i + 1]].
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Sorted runs of (hash, entry); entry i has ids[offs[i]:offs[i + 1]] and is the piece text[at[i]:at[i + 1]].
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids, self.offs, self.n = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.text, self.at = np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, np.int64)
 
     def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if not len(data):
@@ -55,17 +56,27 @@ class Encoder:
         cut[off[:-1][off[:-1] < len(data)]] = True
         return np.append(np.flatnonzero(cut), len(data))
 
-    def _find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 if it isn't known; pieces of one hash are told apart by their bytes."""
         entry = np.full(len(h), -1, np.int64)
-        for hs, gs, es in self.runs:
+        for hs, es in self.runs:
             at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
-            hit = (hs[at] == h) & (gs[at] == g)
+            hit = hs[at] == h
             entry[hit] = es[at[hit]]
+        some = np.flatnonzero(entry >= 0)
+        own, size = self.at[entry[some]], np.diff(off)[some]
+        same = self.at[entry[some] + 1] - own == size
+        some, own, size = some[same], own[same], size[same]
+        entry[np.setdiff1d(np.flatnonzero(entry >= 0), some, assume_unique=True)] = -1
+        ends = np.cumsum(size)
+        step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        differs = data[step + np.repeat(off[some], size)] != self.text[step + np.repeat(own, size)]
+        entry[some[np.unique(np.searchsorted(ends, np.flatnonzero(differs), "right"))]] = -1
         return entry
 
-    def _remember(self, h: np.ndarray, g: np.ndarray, entry: np.ndarray) -> None:
-        order = np.argsort(h)
-        run = (h[order], g[order], entry[order])
+    def _remember(self, h: np.ndarray, entry: np.ndarray) -> None:
+        order = np.argsort(h, kind="stable")
+        run = (h[order], entry[order])
         while self.runs and len(self.runs[-1][0]) < 2 * len(run[0]):
             both = [np.concatenate(x) for x in zip(self.runs.pop(), run)]
             order = np.argsort(both[0], kind="stable")
@@ -81,12 +92,17 @@ class Encoder:
             out[two] = (data[off[two]] == 0x20) & _SOLID[data[off[two] + 1]]
         return out
 
-    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        filled = self.offs[self.n]
+    def _store(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        data, off = tb.flat(pieces)
+        filled, written = self.offs[self.n], self.at[self.n]
         while filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while written + len(data) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.ids[filled : filled + len(ids)] = ids
+        self.text[written : written + len(data)] = data
         self.offs[self.n + 1 : self.n + 1 + len(sizes)] = filled + np.cumsum(sizes)
+        self.at[self.n + 1 : self.n + 1 + len(sizes)] = written + off[1:]
         self.n += len(sizes)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +111,7 @@ class Encoder:
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     def _add(self, pieces: pa.Array) -> None:
-        self._store(*self._encoded(pieces.cast(pa.large_string()).to_pylist()))
+        self._store(pieces, *self._encoded(pieces.cast(pa.large_string()).to_pylist()))
 
     def _add_joined(self, pieces: pa.Array) -> None:
         """Encode runs of 128 pieces as one text each; the byte lengths of the tokens tell where each piece ends."""
@@ -104,27 +120,28 @@ class Encoder:
         raw = data.tobytes()
         ids, _ = self._encoded([raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])])
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), off[1:]) + 1
-        self._store(ids, np.diff(np.concatenate([[0], ends])))
+        self._store(pieces, ids, np.diff(np.concatenate([[0], ends])))
 
     def _lookup(self, distinct: pa.Array) -> np.ndarray:
-        """The entry of each piece; unknown pieces are encoded. 128 bits of hash tell pieces apart."""
-        if self.n + len(distinct) > CACHE_PIECES:
+        """The entry of each piece; unknown pieces are encoded. A piece is known by its hash and its bytes."""
+        data, off = tb.flat(distinct)
+        if self.n + len(distinct) > CACHE_PIECES or self.at[self.n] + len(data) > CACHE_BYTES:
             self._reset()
-        h, g = tb.hash_strings(distinct), tb.hash_strings(distinct, 0xC2B2AE3D27D4EB4F)
-        entry = self._find(h, g)
+        h = tb.hash_strings(distinct)
+        entry = self._find(h, data, off)
         new = np.flatnonzero(entry < 0)
         if not len(new):
             return entry
         first = self.n
         while self.n + len(new) + 1 > len(self.offs):
-            self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
+            self.offs, self.at = np.concatenate([self.offs, np.zeros_like(self.offs)]), np.concatenate([self.at, np.zeros_like(self.at)])
         joined = self._joinable(distinct)[new]
         new = np.concatenate([new[joined], new[~joined]])
         for some, add in ((new[: joined.sum()], self._add_joined), (new[joined.sum() :], self._add)):
             for at in range(0, len(some), 1 << 14):
                 add(distinct.take(pa.array(some[at : at + (1 << 14)])))
         entry[new] = np.arange(first, self.n)
-        self._remember(h[new], g[new], entry[new])
+        self._remember(h[new], entry[new])
         return entry
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from almanack.llm import packing
+from almanack.llm import textbytes as tb
 from almanack.llm.tokens import Encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -27,6 +28,28 @@ def test_ids_are_those_of_whole_texts(path, keep):
         assert ids[off[-2] :].tolist() == [7]
 
 
+@pytest.mark.parametrize("path, keep", [(BYTES, True), (WORDS, False)])
+def test_pieces_that_polynomials_take_for_one(path, keep, monkeypatch):
+    """The Thue-Morse word of 1,024 letters and its complement, in two blocks; then all pieces with one hash."""
+    from tokenizers import Tokenizer
+
+    whole, coder = Tokenizer.from_file(path), Encoder(path, keep)
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    texts = [one, one.translate(str.maketrans("ab", "ba")), one]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [coder.encode(pa.array([t]))[0].tolist() for t in texts] == want
+    assert len(set(tb.hash_strings(pa.array(texts)).tolist())) == 2
+    monkeypatch.setattr(tb, "hash_strings", lambda values: np.zeros(len(values), np.uint64))
+    coder = Encoder(path, keep)
+    for t in ("a b c", "b c d", "c a", "d d abc ab"):
+        assert coder.encode(pa.array([t]))[0].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_hashes_tell_lengths_and_tails_apart():
+    some = ["", "\0", "\0\0", "a", "a\0", "a" * 8, "a" * 9, "b" + "a" * 8, "a" * 64, "a" * 65, "a" * 66, "x" * 16 + "y", "y" + "x" * 16]
+    assert len(set(tb.hash_strings(pa.array(some)).tolist())) == len(some)
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 257, 900)
