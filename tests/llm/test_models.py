@@ -18,7 +18,7 @@ def test_gradients_through_time():
     rng = np.random.default_rng(1)
     m = langid.BiGRU(3, 4)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    data, size, label = rng.integers(97, 102, (5, 6)).astype(np.uint8), np.array([6, 3, 1, 4, 5]), np.array([0, 1, 2, 1, 0])
+    data, size, label = rng.integers(97, 102, (6, 5)).astype(np.uint8), np.array([6, 5, 4, 3, 1]), np.array([0, 1, 2, 1, 0])
     _, g = m.gradients(data, size, label)
     for k in m.p:
         at = (98, 3) if k[0] == "x" else tuple(rng.integers(0, s) for s in m.p[k].shape)
@@ -55,10 +55,52 @@ def test_language_id(spark):
     assert langid.label(docs.limit(0), names, model).count() == 0
 
 
-def test_repeated_words_are_pooled_by_count():
-    m = langid.BiGRU(2, 4)
-    one, many = pa.record_batch({"text": ["abc de"]}), pa.record_batch({"text": ["abc de abc de", "abc de"]})
-    assert np.allclose(langid._predict(one, ["a", "b"], m)[1][0], langid._predict(many, ["a", "b"], m)[1])
+def one_by_one(model, text, window, context):
+    """A text's mean probabilities, one byte after the other in plain Python."""
+    cell = lambda d, h, c: (lambda x, u: (lambda z, r: (lambda new: new + z * (h - new))(np.tanh(x[2 * n :] + r * u[2 * n :])))(*np.split(1 / (1 + np.exp(-(x[: 2 * n] + u[: 2 * n]))), 2)))(model.p["x" + d][c], h @ model.p["u" + d] + model.p["q" + d])
+    n, found = model.hidden, []
+    for first in range(0, len(text), window):
+        last = min(first + window, len(text))
+        some = text[max(0, first - context) : last + context]
+        states = {}
+        for d, order in (("f", range(len(some))), ("b", range(len(some) - 1, -1, -1))):
+            h = np.zeros(n)
+            for i in order:
+                states[d, i] = h = cell(d, h, some[i])
+        for i in range(first - max(0, first - context), last - max(0, first - context)):
+            e = np.exp(states["f", i] @ model.p["vf"] + states["b", i] @ model.p["vb"] + model.p["c"])
+            found.append(e / e.sum())
+    return np.mean(found, 0)
+
+
+def test_every_byte_is_labelled_and_pooled(monkeypatch):
+    monkeypatch.setattr(langid, "WINDOW", 10)
+    monkeypatch.setattr(langid, "CONTEXT", 3)
+    monkeypatch.setattr(langid, "LANES", 4)
+    m = langid.BiGRU(3, 4, seed=2)
+    texts = [b"a, b 12", b"x" * 10, b"", b"the words of a text, of 47 bytes and some marks", "né à".encode(), b"y"]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = langid.pooled(m, np.frombuffer(b"".join(texts), np.uint8), off)
+    for t, p in zip(texts, got):
+        assert np.allclose(p, one_by_one(m, t, 10, 3) if t else 0, atol=1e-5)
+
+
+def test_pieces_reach_from_beginning_to_end():
+    assert langid.pieces(pa.array(["ABcdefgh", "", None, "ab"]), 3, 4) == [[b"abcd", b"efgh"], [], [], [b"ab"]]
+    assert langid.pieces(pa.array(["abcdefghijklmnop"]), 3, 4) == [[b"abcd", b"ghij", b"mnop"]]
+
+
+def test_repeated_rows_ties_and_long_texts(spark):
+    rows = [(7, "the and " * 5, "aa", "s")] * 3 + [(8, "que las " * 5, "bb", "s")] * 2 + [(9, "the and ing " * 90_000, "aa", "s"), (10, "que " * 9, "bb", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert langid.sample(docs, F.lit(True)).count() == 4
+    names, model = langid.train(docs, F.lit(True))
+    got = langid.label(docs, names, model, carry=["doc_id"]).collect()
+    assert len(got) == 7 and all(len({(r.lang_pred, r.score) for r in got if r.doc_id == i}) == 1 for i in (7, 8))
+    assert next(r.lang_pred for r in got if r.doc_id == 9) == "aa"
+    even = langid.BiGRU(2)
+    even.p = {k: v * 0 for k, v in even.p.items()}
+    assert {r.lang_pred for r in langid.label(docs, ["p", "q"], even, carry=["doc_id"]).collect()} == {"p"}
 
 
 def test_toxicity(spark):
