@@ -6,10 +6,13 @@ its own learning rate, and the L1 term leaves most weights at zero, so what is
 broadcast is a short list.
 
 Training sample: of each label at most ``PER_LABEL`` labelled texts, those with
-the smallest hash of doc_id; they are fitted in one task in that order.
+the smallest hash of doc_id.  Their texts become places where they are read; what
+is shuffled are these.  Three models are fitted side by side, each in a task: one
+of all rows, and one of either half, which the other half's scores are taken from.
 
 Edge cases: null or empty text has the score of the bias alone; labels that are
-null, or that name no document, are not learnt from; equal texts have equal
+null, or that name no document, are not learnt from; of rows that repeat a
+doc_id one is learnt from, with the larger of its labels; equal texts have equal
 scores; an empty table gives no rows; without labels all scores are just
 below 0.5, so nothing is called toxic.
 """
@@ -55,7 +58,6 @@ class FTRL:
     def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.shift = 0.0
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -75,36 +77,25 @@ class FTRL:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> FTRL:
-    """A model of ``rows`` (places, label).
-
-    Rare labels leave scores low, so the bias is moved: each half of the rows is
-    scored by a model of the other half, and 0.5 goes where it separates them
-    best (F1; the middle of the best range).
-    """
-
-    def pass_over(some: list[tuple[np.ndarray, int]]) -> FTRL:
-        model = FTRL(bits)
-        for epoch in range(epochs):
-            for i in np.random.default_rng(epoch).permutation(len(some)):
-                model.learn(*some[i])
-        return model
-
-    margin, label = [], []
-    for half in (0, 1):
-        w = pass_over(rows[half::2]).weights()
-        margin += [w[places].sum() + w[-1] for places, _ in rows[1 - half :: 2]]
-        label += [y for _, y in rows[1 - half :: 2]]
-    model = pass_over(rows)
-    y = np.array(label)
-    if 0 < y.sum() < len(y):
-        order = np.argsort(-np.array(margin), kind="stable")
-        x, hits = np.array(margin)[order], np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-        best = int(f1.argmax())
-        model.shift = -float(x[best] + x[min(best + 1, len(x) - 1)]) / 2
+    """A model of ``rows`` (places, label), in an order drawn anew for each epoch."""
+    model = FTRL(bits)
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            model.learn(*rows[i])
     return model
 
 
+def shift(margin: np.ndarray, label: np.ndarray) -> float:
+    """By how much the bias moves, as rare labels leave scores low: 0.5 goes where it separates ``margin`` best (F1; the middle of the best range)."""
+    if not 0 < label.sum() < len(label):
+        return 0.0
+    order = np.argsort(-margin, kind="stable")
+    x, hits = margin[order], np.cumsum(label[order])
+    f1 = 2 * hits / (np.arange(1, len(label) + 1) + label.sum())
+    best = int(f1.argmax())
+    return -float(x[best] + x[min(best + 1, len(x) - 1)]) / 2
+
+
 def bucket(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
@@ -116,27 +107,43 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = P
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x per_label rows at most
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the weights that aren't zero; the last is the bias."""
+def places(rows: DataFrame) -> DataFrame:
+    """doc_id, toxic and places of the sampled texts, one row for each doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
         for block in tb.blocks(batches):
             place, doc = distinct(*features(block.column("text")))
             cuts = np.searchsorted(doc, np.arange(block.num_rows + 1))
-            rows += [(place[a:b].astype(np.int32), t) for a, b, t in zip(cuts[:-1], cuts[1:], block.column("toxic").to_pylist())]
-        model = fit(rows, epochs=epochs)
-        w = model.weights()
-        w[-1] += model.shift
-        at = np.flatnonzero(w)
-        at = at if len(at) and at[-1] == len(w) - 1 else np.append(at, len(w) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], ["place", "weight"])
-
-    rows = sample(docs, labels, learn, per_label).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
-    found = rows.mapInArrow(run, "place long, weight double").toPandas()  # 2^BITS + 1 rows at most, most of them zero and left out
-    if not len(found):
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("toxic"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place, pa.int32()))], ["doc_id", "toxic", "places"])
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind('doc_id')}, toxic {kind('toxic')}, places array<int>").groupBy("doc_id", "toxic").agg(F.min("places").alias("places"))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PER_LABEL, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the weights that aren't zero; the last is the bias."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        rows = list(zip((np.array(p, np.int64) for p in table.column("places").to_pylist()), table.column("toxic").to_pylist()))
+        part = table.column("part")[0].as_py()
+        w = fit(rows if part == 2 else rows[part::2], epochs=epochs).weights()
+        if part == 2:
+            at = np.flatnonzero(w)
+            at = at if len(at) and at[-1] == len(w) - 1 else np.append(at, len(w) - 1)
+            return pa.table({"place": pa.array(at), "value": pa.array(w[at]), "toxic": pa.nulls(len(at), pa.int32())})
+        others = rows[1 - part :: 2]
+        return pa.table({"place": pa.nulls(len(others), pa.int64()), "value": pa.array([float(w[p].sum() + w[-1]) for p, _ in others], pa.float64()), "toxic": pa.array([y for _, y in others], pa.int32())})
+
+    rows = places(sample(docs, labels, learn, per_label)).select("doc_id", F.xxhash64("doc_id").alias("h"), F.col("toxic").cast("int").alias("toxic"), "places")
+    each = rows.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).repartitionByRange(3, "part")
+    found = each.groupBy("part").applyInArrow(run, "place long, value double, toxic int").toPandas()  # 2^BITS + 1 weights, most of them zero and left out, and a margin for each sampled row
+    weight, margin = found[found["place"].notna()].sort_values("place"), found[found["place"].isna()].sort_values(["value", "toxic"])
+    if not len(weight):
         return np.array([1 << BITS]), np.zeros(1)
-    return found["place"].to_numpy(), found["weight"].to_numpy()
+    at, value = weight["place"].to_numpy().astype(np.int64), weight["value"].to_numpy().copy()
+    value[-1] += shift(margin["value"].to_numpy(), margin["toxic"].to_numpy().astype(np.int64))
+    return at, value
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], carry: list[str] | None = None) -> DataFrame:

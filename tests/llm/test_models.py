@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -127,6 +128,35 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), w).count() == 0
 
 
+def test_ftrl_is_the_plain_recurrence():
+    """One coordinate after the other, in plain Python."""
+    rng = random.Random(4)
+    rows = [(np.array(sorted(rng.sample(range(16), rng.randint(0, 6))), np.int64), rng.randint(0, 1)) for _ in range(60)]
+    model = toxicity.FTRL(4, alpha=0.5, beta=1.0, l1=0.3, l2=0.1)
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        l1 = 0 if i == 16 else 0.3
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.1)
+
+    for at, y in rows:
+        model.learn(at, y)
+        some = {i: weight(i) for i in [*at.tolist(), 16]}
+        g = 1 / (1 + math.exp(-sum(some.values()))) - y
+        for i, w in some.items():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w
+            n[i] += g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(17)])
+
+
+def test_repeated_labels_and_rows(spark):
+    docs = spark.createDataFrame([(1, "a vile b", "en", "s")] * 3 + [(2, "a b c", "en", "s")] * 2, DOCS)
+    lab = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 0, 0), (2, 0, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.places(toxicity.sample(docs, lab, F.lit(True))).collect()
+    assert sorted((r.doc_id, r.toxic) for r in rows) == [(1, 1), (2, 0)]
+    assert toxicity.shift(np.array([3.0, 1.0, -1.0]), np.array([1, 1, 0])) == 0.0 and toxicity.shift(np.array([3.0, 1.0, -1.0]), np.array([1, 0, 0])) == -2.0
+
+
 def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
