@@ -8,9 +8,11 @@ phrases are searched backwards at once; occurrences are located by walking to a
 sampled position, and their words merge into spans to remove.
 
 A phrase is a window of ``window`` consecutive words of a benchmark text; a text
-of fewer words, but not none, is one phrase.  The benchmark is read in blocks of
-``BENCHMARK_BYTES``, each a broadcast of bounded size; a shard is indexed anew
-for each block, so nothing bounds the benchmark.
+of fewer words, but not none, is one phrase.  Tasks that read the benchmark write
+its phrases to files in the shared folder, in blocks of ``BENCHMARK_BYTES``; tasks
+that read documents hold ``HELD`` of them at most, and read the files once for
+``TOGETHER`` shards if there are more.  A shard is indexed anew for each block, so
+nothing bounds the benchmark and nothing of it passes through the driver.
 
 Edge cases: null text has no words; a null item_id is listed as an empty string;
 items that repeat a text, and rows that repeat an item, count as one each by
@@ -21,7 +23,11 @@ benchmark marks nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanack.llm import shared
 from almanack.llm import textbytes as tb
+from almanack.llm.shared import open_at
 
-WINDOW, SAMPLE, BENCHMARK_BYTES = 13, 8, 8 << 20
+WINDOW, SAMPLE, BENCHMARK_BYTES = 13, 8, 4 << 20
+HELD, TOGETHER = 4, 8
 
 
 class WaveletMatrix:
@@ -89,13 +98,13 @@ class FMIndex:
         self.sample_rank = np.cumsum(self.sampled) - 1
         self.samples = order[self.sampled]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with each phrase (a row of symbols)."""
-        low, high = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
-        live = np.arange(len(phrases))
-        a, b = np.zeros_like(low), np.full(len(phrases), len(self.bwt))
-        for j in range(phrases.shape[1] - 1, -1, -1):
-            c = phrases[live, j]
+    def search(self, symbols: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with each phrase: the ``size`` symbols from its start on."""
+        low, high = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        live = np.arange(len(start))
+        a, b = np.zeros_like(low), np.full(len(start), len(self.bwt))
+        for j in range(size - 1, -1, -1):
+            c = symbols[start[live] + j]
             base = self.first[c]
             a, b = base + self.wavelet.rank(c, a), base + self.wavelet.rank(c, b)
             on = a < b
@@ -117,24 +126,23 @@ class FMIndex:
 
 
 class Phrases:
-    """Phrases of a block of benchmark items over their words; ``owners`` lists the items of each phrase."""
+    """Phrases of a block of benchmark items as places in the items' words; ``owners`` lists the items of each phrase."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         words = tb.Words(pa.array([t for _, t in items], pa.large_string()))
-        self.vocabulary = words.distinct
-        found: dict[tuple, set] = {}
-        for (item, _), a, b in zip(items, words.of[:-1], words.of[1:]):
-            symbols = (words.code[a:b] + 1).tolist()
-            for i in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                found.setdefault(tuple(symbols[i : i + window]), set()).add(item)
+        self.vocabulary, self.symbols = words.distinct, words.code.astype(np.int32) + 1
+        found: dict[bytes, tuple[int, int, set]] = {}
+        for (item, _), a, b in zip(items, words.of[:-1].tolist(), words.of[1:].tolist()):
+            size = min(window, b - a)
+            for i in range(a, b - size + 1 if size else a):
+                found.setdefault(self.symbols[i : i + size].tobytes(), (size, i, set()))[2].add(item)
         self.names = sorted({item for item, _ in items})
         at = {name: i for i, name in enumerate(self.names)}
-        self.groups = []  # (phrases of one length, first owner of each, owners)
-        for size in sorted({len(p) for p in found}):
-            some = [p for p in found if len(p) == size]
-            owners = [sorted(at[x] for x in found[p]) for p in some]
-            self.groups.append((np.array(some, np.int64), np.concatenate([[0], np.cumsum([len(o) for o in owners])]), np.array([x for o in owners for x in o], np.int64)))
-        self.shortest = self.groups[0][0].shape[1] if self.groups else 0
+        self.groups = []  # (words of a phrase, their first places, first owner of each, owners)
+        for size in sorted({s for s, _, _ in found.values()}):
+            some = [(i, sorted(at[x] for x in owners)) for s, i, owners in found.values() if s == size]
+            self.groups.append((size, np.array([i for i, _ in some], np.int32), np.concatenate([[0], np.cumsum([len(o) for _, o in some])]), np.array([x for _, o in some for x in o], np.int32)))
+        self.shortest = self.groups[0][0] if self.groups else 0
 
     def hits(self, words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
         """Which words are hit, and the pairs (document, item) as document * items + item."""
@@ -158,56 +166,80 @@ class Phrases:
         text[offs[1:] - 1] = 0
         index = FMIndex(text, len(self.vocabulary))
         cover, pairs = np.zeros(len(words.code) + 1, np.int64), [np.zeros(0, np.int64)]
-        for phrases, first, owners in self.groups:
-            low, high = index.search(phrases)
+        for length, start, first, owners in self.groups:
+            low, high = index.search(self.symbols, start, length)
             n = high - low
-            which = np.repeat(np.arange(len(phrases)), n)
+            which = np.repeat(np.arange(len(start)), n)
             rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
             place = word_at[index.locate(rows)]
             np.add.at(cover, place, 1)
-            np.add.at(cover, place + phrases.shape[1], -1)
-            both = np.unique(doc[place] * len(phrases) + which)
-            d, p = both // len(phrases), both % len(phrases)
+            np.add.at(cover, place + length, -1)
+            both = np.unique(doc[place] * len(start) + which)
+            d, p = both // len(start), both % len(start)
             k = first[p + 1] - first[p]
             item = owners[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[p], k)]
             pairs.append(np.repeat(d, k) * len(self.names) + item)
         return np.cumsum(cover[:-1]) > 0, np.unique(np.concatenate(pairs))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").orderBy("item", "text")
-    for r in rows.toLocalIterator():
-        block.append((r.item, r.text))
-        size += len(r.text or "")
-        if size >= BENCHMARK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def phrase_files(benchmark: DataFrame, window: int = WINDOW) -> list[str]:
+    """The paths of the benchmark's blocks of phrases in the shared folder."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    whole = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
+    folder = shared.place(benchmark.sparkSession, "phrases")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = [], 0
+
+        def write() -> pa.RecordBatch:
+            path = f"{folder}/{uuid.uuid4().hex}.phrases"
+            fs, at = open_at(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as f:
+                f.write(pickle.dumps(Phrases(sorted(block, key=lambda x: (x[0], x[1] or "")), window), -1))
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                block.append((item, text))
+                size += len(text or "")
+                if size >= BENCHMARK_BYTES:
+                    yield write()
+                    block, size = [], 0
+        if block:
+            yield write()
+
+    blocks = max(1, -(-whole // BENCHMARK_BYTES))
+    return sorted(r.path for r in rows.coalesce(blocks).mapInArrow(run, "path string").collect())  # a path for each block
+
+
+@lru_cache(maxsize=HELD)
+def _phrases(path: str) -> Phrases:
+    fs, at = open_at(path)
+    with fs.open_input_file(at) as f:
+        return pickle.loads(f.read())
+
+
+def _found(paths: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tb.Words, np.ndarray, list[set]]]:
+    """Blocks of documents, their words, which of those are hit by a phrase of any block, and the items of each document."""
+    blocks = tb.blocks(batches)
+    while some := list(islice(blocks, 1 if len(paths) <= HELD else TOGETHER)):
+        words = [tb.Words(b.column("text")) for b in some]
+        hit, found = [np.zeros(len(w.code), bool) for w in words], [[set() for _ in range(b.num_rows)] for b in some]
+        for path in paths:
+            phrases = _phrases(path)
+            for i, w in enumerate(words):
+                more, pairs = phrases.hits(w)
+                hit[i] |= more
+                for pair in pairs.tolist():
+                    found[i][pair // len(phrases.names)].add(phrases.names[pair % len(phrases.names)])
+        yield from zip(some, words, hit, found)
 
 
 COLUMNS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>"
 _SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
 
-def _share(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(Phrases(block, window)) for block in _blocks(benchmark)]
-
-
-def _hits(shared: list, words: tb.Words, n: int) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """Which words are hit by a phrase of any block, the document of each word, and the items of each document."""
-    hit, found = np.zeros(len(words.code), bool), [set() for _ in range(n)]
-    for one in shared:
-        phrases = one.value
-        more, pairs = phrases.hits(words)
-        hit |= more
-        for pair in pairs.tolist():
-            found[pair // len(phrases.names)].add(phrases.names[pair % len(phrases.names)])
-    return hit, np.repeat(np.arange(n), np.diff(words.of)), found
-
-
 def _contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
     """A twentieth of the words or more."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -215,15 +247,15 @@ def _contaminated(n_words: np.ndarray, n_hit: np.ndarray) -> np.ndarray:
 
 def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, if None) and ``COLUMNS``, which replace columns of those names; spans are those of hit words, in bytes of the text."""
-    shared, names = _share(docs, benchmark, window), [c.split()[0] for c in COLUMNS.split(", ")]
+    paths, names = phrase_files(benchmark, window), [c.split()[0] for c in COLUMNS.split(", ")]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in names]
     docs = docs.select(*dict.fromkeys([*carry, "text"]))
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches):
-            n, words = block.num_rows, tb.Words(block.column("text"))
-            hit, doc, found = _hits(shared, words, n)
+        for block, words, hit, found in _found(paths, batches):
+            n = block.num_rows
+            doc = np.repeat(np.arange(n), np.diff(words.of))
             n_words, n_hit = np.diff(words.of), np.bincount(doc, hit, n).astype(np.int64)
             joined = np.concatenate([[False], hit[:-1] & (doc[1:] == doc[:-1])]) if len(hit) else hit
             first = np.flatnonzero(hit & ~joined)
@@ -241,12 +273,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
 
 def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, whatever its columns."""
-    shared = _share(docs, benchmark, window)
+    paths = phrase_files(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tb.blocks(batches):
-            words = tb.Words(block.column("text"))
-            hit, doc, _ = _hits(shared, words, block.num_rows)
+        for block, words, hit, _ in _found(paths, batches):
+            doc = np.repeat(np.arange(block.num_rows), np.diff(words.of))
             yield block.filter(pa.array(~_contaminated(np.diff(words.of), np.bincount(doc, hit, block.num_rows))))
 
     return docs.mapInArrow(run, docs.schema)

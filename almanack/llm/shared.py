@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path in it; for tasks."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a folder that is no longer read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,7 +20,8 @@ keys.  The stored fingerprint tells foreign keys from members.
 Files go to a folder that all machines see, through ``pyarrow.fs``, under a name
 of their own for each attempt; the manifest names those of the attempts that
 counted.  Edge cases: a null or empty text has its end id alone; rows with the
-same doc_id are told apart by their order (by text); null ids come first; an
+same doc_id are ordered by a hash of their text, so that tasks can share them, and
+told apart by their order within a file; null ids come first; an
 empty table gives no file; further columns are not read.
 """
 
@@ -31,22 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanack.llm import shared
 from almanack.llm import textbytes as tb
+from almanack.llm.shared import open_at
 from almanack.llm.tokens import encoder
 
 MAGIC = b"TOKSHRD1"
 #: Ids in a file at most, but for a longer document; bits of a level for each key.
 SHARD_IDS, BITS_PER_KEY = 16 << 20, 2
-
-
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+#: A level places over half of its keys, so only equal hashes get so far.
+LEVELS = 80
 
 
 def key_hash(key: np.ndarray, valid: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -73,6 +72,8 @@ class PerfectHash:
     def build(cls, h: np.ndarray) -> PerfectHash:
         sizes, maps = [], []
         while len(h):
+            if len(sizes) == LEVELS:
+                raise ValueError(f"{len(h)} keys have hashes of others")
             bits = max(8, BITS_PER_KEY * len(h))
             at = _level(h, len(sizes), bits)
             alone = np.bincount(at, minlength=bits) == 1
@@ -159,7 +160,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, keep
             valid = np.array([k is not None for k, _ in keys])
             blob = shard_bytes(np.array([k or 0 for k, _ in keys], np.int64), valid, np.array([j for _, j in keys], np.uint32), ids, off)
             path = f"{folder}/part-{part:06d}-{sub:04d}-{uuid.uuid4().hex}.tok"
-            fs, at = _open(path)
+            fs, at = open_at(path)
             fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(at) as f:
                 f.write(blob)
@@ -185,7 +186,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 2, keep
         if keys:
             yield flush()
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"), "text")
+    placed = placed.repartitionByRange("doc_id", "__h").sortWithinPartitions(F.asc_nulls_first("doc_id"), "__h", F.asc_nulls_first("text")).drop("__h")
     return shared.table(placed.mapInArrow(run, "part long, sub long, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
@@ -201,7 +203,7 @@ def read(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, at = _open(row["path"])
+                fs, at = open_at(row["path"])
                 with fs.open_input_file(at) as f:
                     shard = Shard(f)
                     place, size = shard.lookup(shard.key, shard.valid, shard.nth)

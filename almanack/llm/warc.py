@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from almanack.llm import shared
 from almanack.llm import textbytes as tb
-from almanack.llm.tokenfile import _open
+from almanack.llm.shared import open_at
 
 ROLL = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -76,7 +76,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             nonlocal out, size, sub
             path = f"{folder}/part-{part:06d}-{sub:04d}-{uuid.uuid4().hex}.warc.gz"
-            fs, at = _open(path)
+            fs, at = open_at(path)
             fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(at, compression=None) as f:
                 f.write(out.getvalue())
@@ -127,7 +127,7 @@ def read(paths: DataFrame, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                fs, at = _open(path)
+                fs, at = open_at(path)
                 part, size = [], 0
                 with fs.open_input_file(at) as f:
                     for record in records_of(f):
@@ -163,4 +163,6 @@ def digests(captures: DataFrame) -> DataFrame:
     page = F.col("metadata.fields")["page-id"].cast("long")
     rows = captures.select("capture_id", page.alias("page_id"), F.col("metadata.fields")["payload-length"].cast("long").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"))
     named = rows.filter("record_type = 'response'").groupBy(F.col("capture_id").alias("target")).agg(F.max("page_id").alias("refers_to"))
-    return rows.join(named, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    first, again = rows.filter("target IS NULL").withColumn("refers_to", F.lit(None).cast("long")), rows.filter("target IS NOT NULL").join(named, "target", "left")
+    return first.select(*columns).unionByName(again.select(*columns))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from almanack.llm import tokenfile
 
@@ -16,6 +17,11 @@ def test_perfect_hash_is_minimal():
     assert sorted(slots) == list(range(5000))
 
 
+def test_equal_hashes_are_refused():
+    with pytest.raises(ValueError):
+        tokenfile.PerfectHash.build(np.array([3, 3, 5], np.uint64))
+
+
 def test_shard_access():
     key, off = np.array([5, -3, 9, 0]), np.array([0, 3, 3, 7, 8])
     valid, nth = np.array([True, True, True, False]), np.zeros(4, np.uint32)
@@ -34,7 +40,8 @@ def test_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, start string").repartition(3)
     rows = tokenfile.digests(tokenfile.read(tokenfile.write(df, WORDS, str(tmp_path / "tok"), shard_ids=500))).collect()
     whole, at, want = Tokenizer.from_file(WORDS), 0, []
-    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or "")):
+    hashed = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, hashed[d[1]], d[1] is not None)):
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
