@@ -66,6 +66,38 @@ def test_minimax_is_least():
         assert capacity == least(0, k)
 
 
+def least_capacity(sizes, k):
+    """By trying every capacity that is a sum of neighbours."""
+    sums = {sum(sizes[i:j]) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1)}
+
+    def fits(capacity):
+        n, room = 1, capacity
+        for s in sizes:
+            if s > capacity:
+                return False
+            n, room = (n, room - s) if s <= room else (n + 1, capacity - s)
+        return n <= k
+
+    return min(c for c in sums if fits(c))
+
+
+@pytest.mark.parametrize("bits, hot", [(18, 0), (3, 0), (2, 40), (4, 400)])
+def test_capacity_is_least_over_groups(spark, monkeypatch, bits, hot):
+    monkeypatch.setattr(sharding, "ATOM_BITS", bits)
+    rng = random.Random(bits)
+    texts = ["w" * rng.choice([1, 5, 40, 300]) + str(i % 70) for i in range(110)] + ["hot text"] * hot
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.text: r.key for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("key")).distinct().collect()}
+    groups = {}
+    for t in texts:
+        groups[keys[t]] = groups.get(keys[t], 0) + len(t) + 1
+    want = least_capacity([groups[x] for x in sorted(groups)], 6)
+    sums = {}
+    for r in sharding.shards(df, 6).collect():
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+    assert max(sums.values()) == want
+
+
 def test_shards(spark):
     rows = some_docs()
     got = sharding.shards(spark.createDataFrame(rows, DOCS).repartition(3), 4).collect()
