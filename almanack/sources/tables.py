@@ -4,21 +4,65 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests, a folder in the warehouse."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     return where or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "shared")
 
 
+_scopes: list[list[str]] = []
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    path = f"{folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which ends its lineage."""
-    path = f"{folder(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """``df`` written to the shared folder and read again, which ends its lineage: a lost executor costs one task."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Drop a folder that is no longer read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Drop the files of a settled table that nothing reads any more."""
+    if (path := getattr(df, "_settled_at", None)) is not None:
+        remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Whatever is placed in the shared folder within is dropped at the end, but for the tables that were appended to the list."""
+    scope: list[str] = []
+    keep: list[DataFrame] = []
+    _scopes.append(scope)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(scope)
+        kept = {getattr(df, "_settled_at", None) for df in keep}
+        for path in scope:
+            if path not in kept:
+                remove(spark, path)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
