@@ -34,7 +34,7 @@ from almanack.llm import shared as shared_rows
 from almanack.llm import textbytes as tb
 
 PER_LANGUAGE, LANGUAGES, PIECES, PIECE = 400, 64, 12, 64
-WINDOW, CONTEXT, LANES = 192, 24, 1024
+WINDOW, CONTEXT, LANES = 256, 16, 1024
 HIDDEN, STEPS, BATCH, RATE = 8, 160, 288, 0.03
 UNKNOWN = "und"
 #: A filter rejects documents below this score, or below ``STANDS_OUT`` times chance where there are many languages.
@@ -43,10 +43,6 @@ _c = np.arange(256)
 PLAIN = (_c >= 0x61) & (_c <= 0x7A)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class BiGRU:
     """Parameters by name; names end in the direction, f or b."""
 
@@ -61,18 +57,29 @@ class BiGRU:
         """(step, lane, unit): the states as each lane is read from its first byte on. ``data`` is (step, lane), lanes from the longest to the shortest."""
         steps, lanes = data.shape
         n, kind = self.hidden, self.p["c"].dtype
-        x_of, u_of, q = self.p["x" + d], self.p["u" + d], self.p["q" + d]
+        x, u, q = self.p["x" + d], self.p["u" + d], self.p["q" + d]
+        x_gates, u_gates, x_new, u_new = (np.ascontiguousarray(part) for part in (x[:, : 2 * n] + q[: 2 * n], u[:, : 2 * n], x[:, 2 * n :], u[:, 2 * n :]))
         h, out = np.zeros((lanes, n), kind), np.zeros((steps, lanes, n), kind)
         for i, on in enumerate(np.searchsorted(-size, -np.arange(steps), "left")):  # so many lanes have an i-th byte
-            x, was = x_of[data[i, :on]], h[:on]
-            u = was @ u_of + q
-            zr = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-            h = new + z * (was - new)
+            byte, was = data[i, :on], h[:on]
+            gates = was @ u_gates
+            gates += x_gates[byte]
+            np.negative(gates, gates)
+            np.exp(gates, gates)
+            gates += 1
+            np.reciprocal(gates, gates)
+            z, r = gates[:, :n], gates[:, n:]
+            inner = was @ u_new
+            inner += q[2 * n :]
+            new = r * inner
+            new += x_new[byte]
+            np.tanh(new, new)
+            h = was - new
+            h *= z
+            h += new
             out[i, :on] = h
             if saved is not None:
-                saved.append((was, z, r, new, u[:, 2 * n :]))
+                saved.append((was, z, r, new, inner))
         return out
 
     def _reversed(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -85,8 +92,10 @@ class BiGRU:
         ahead = self._states("f", data, size) @ self.p["vf"]
         back = self._states("b", self._reversed(data, size), size) @ self.p["vb"]
         logits = ahead + self._reversed(back, size) + self.p["c"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True)
+        logits -= logits.max(2, keepdims=True)
+        np.exp(logits, logits)
+        logits /= logits.sum(2, keepdims=True)
+        return logits
 
     def gradients(self, data: np.ndarray, size: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over all positions, and its gradient through time."""
