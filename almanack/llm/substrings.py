@@ -4,13 +4,17 @@
    the ``GRAM``-byte strings in it; equal windows have equal keys.  Windows whose
    key is met at one place only can't repeat, and go no further.  This is exact.
 2. ``segments``: adjoining windows with the same key make a segment of text.
-   Equal segments of a task leave it twice at most, whatever their number.
+   Equal segments of a task leave it twice at most, whatever their number.  In a
+   long stretch of a period all windows repeat; its middle stays behind.
 3. ``shard``: a task has all segments of its keys.  It builds suffix arrays over
    a few megabytes of them at a time by Larsson-Sadakane refinement (only what
    is not yet told apart is sorted again, by the ranks of twice the depth), and
    Kasai common prefixes; a window repeats if its suffix shares ``length`` bytes
    with a neighbour.  Keys with over ``HOT`` segments are dealt to blocks, and
-   the suffix arrays of each two blocks are merged by binary search.
+   the suffix arrays of each two blocks are merged by binary search.  With over
+   ``BLOCKS`` blocks the segments of a key are cut anew, by the least hash of
+   longer strings (``GRAMS``), which equal windows share, too; the last of them
+   are the windows themselves.  So no key's pairs of blocks grow with the input.
 4. The repeated windows of a segment go back to the documents that have it, by
    its digest, and merge into spans.
 
@@ -35,7 +39,11 @@ from pyspark.sql import functions as F
 from almanack.llm import shared
 from almanack.llm import textbytes as tb
 
-LENGTH, GRAM, HOT, CHUNK = 200, 96, 4096, 2 << 20
+LENGTH, GRAM, HOT, BLOCKS, CHUNK = 200, 96, 2048, 8, 2 << 20
+#: Shares of what lies between GRAM and LENGTH that longer strings add, one after the other.
+GRAMS = (0.4, 0.75, 0.95, 1.0)
+#: Bytes of a text whose windows are keyed at once; starts that common prefixes are walked from at a time.
+SPLIT, WALK = 8 << 20, 1024
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,23 +151,29 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
         h *= 2
 
 
-def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = 1) -> np.ndarray:
-    """Common prefix of each suffix of ``least`` bytes or more with the one before it in the order; 0 for shorter ones.
+def kasai(data: np.ndarray, order: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int = 1, most: int | None = None) -> np.ndarray:
+    """Common prefix (up to ``most``) of each suffix of ``least`` bytes or more with the one before it in the order; 0 for shorter ones.
 
-    The strings are walked side by side, one place at a time: from a place to
-    the next the common prefix shrinks by one at most.
+    From a place to the next the common prefix shrinks by one at most. Strings
+    are walked side by side, in stretches of ``WALK`` places, so a long one takes
+    no more rounds than others.
     """
     n, words = len(data), tb.words8(data)
-    lcp, size = np.zeros(n, np.int64), end[begin] - begin
-    have = np.zeros(len(begin), np.int64)
-    live = np.arange(len(begin))
-    for step in range(int(size.max(initial=0)) - least + 1):
-        live = live[size[live] - step >= least]
-        p = begin[live] + step
+    lcp = np.zeros(n, np.int64)
+    places = np.maximum(end[begin] - begin - least + 1, 0)
+    parts = -(-places // WALK)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, count = np.repeat(begin, parts) + nth * WALK, np.minimum(np.repeat(places, parts) - nth * WALK, WALK)
+    have = np.zeros(len(start), np.int64)
+    live = np.arange(len(start))
+    for step in range(int(count.max(initial=0))):
+        live = live[count[live] > step]
+        p = start[live] + step
         r = rank[p]
         q = order[r - 1]
         h = np.maximum(have[live] - 1, 0)
         room = np.where(r > 0, np.minimum(end[p] - p, end[q] - q), 0)
+        room = room if most is None else np.minimum(room, most)
         h = np.minimum(h, room)
         todo = np.flatnonzero(h < room)
         while len(todo):
@@ -193,7 +207,7 @@ class Chunk:
         self.data, self.length = np.frombuffer(b"".join(segments), np.uint8), length
         self.end = np.repeat(self.off[1:], size)
         self.order, self.rank = suffix_array(self.data, self.end)
-        lcp = kasai(self.data, self.order, self.rank, self.off[:-1], self.end, length)
+        lcp = kasai(self.data, self.order, self.rank, self.off[:-1], self.end, length, length)
         long = lcp >= length
         hit = long | np.append(long[1:], False)
         self.repeated = np.zeros(len(self.data), bool)
@@ -256,12 +270,53 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def keyed_runs(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` of a block; a text of over ``SPLIT`` bytes in parts that share ``length`` - 1 bytes, so that each window is in one of them."""
+    if (np.diff(off) <= SPLIT).all():
+        return runs(data, off, length, gram)
+    found = []
+    for doc, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for at in range(a, max(b - length + 1, a + 1), SPLIT):
+            part = data[at : min(at + SPLIT + length - 1, b)]
+            d, first, *rest = runs(part, np.array([0, len(part)]), length, gram)
+            found.append((d + doc, first + (at - a), *rest))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def periodic(s: bytes, windows: int, length: int, gram: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A long segment's windows to look at, and those that repeat in a stretch with a period: runs of (first, number).
+
+    A stretch keeps two periods at its beginning and at its end, which hold all
+    of its windows twice, for other segments to meet them.
+    """
+    if windows > 8 * length:
+        for probe in range(1, 16):
+            at = probe * windows // 16
+            d = s.find(s[at : at + gram], at + 1, at + length + gram) - at
+            if d <= 0:
+                continue
+            x = np.frombuffer(s, np.uint8)
+            differ = np.flatnonzero(x[:-d] != x[d:])
+            k = int(np.searchsorted(differ, at))
+            low = int(differ[k - 1]) + 1 if k else 0
+            high = (int(differ[k]) if k < len(differ) else len(s) - d) + d  # the stretch is s[low:high]
+            n = high - low - length + 1
+            if n > 4 * d + length:
+                out, whole = [], [(low, n)]
+                for first, last in ((0, low + 2 * d), (low + n - 2 * d, windows)):
+                    more, again = periodic(s[first : last + length - 1], last - first, length, gram)
+                    out += [(first + a, m) for a, m in more]
+                    whole += [(first + a, m) for a, m in again]
+                return out, whole
+    return [(0, windows)], []
+
+
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, text_hash, key, twice for each run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches):
-            doc, _, _, key, twice = runs(*tb.flat(block.column("text")), length, gram)
+            doc, _, _, key, twice = keyed_runs(*tb.flat(block.column("text")), length, gram)
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(key.view(np.int64)), pa.array(twice)], ["doc_id", "text_hash", "key", "twice"])
 
@@ -281,44 +336,80 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each run of windows with a repeated key: key, digest, first window, and the bytes for the first two of equal ones in a task."""
+    """A row for each run of windows with a repeated key: key, digest, first window, and the bytes for the first two of equal ones in a task.
+
+    Rows with ``whole`` are of that many windows that repeat in a period, and need no bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         for block in tb.blocks(batches):
             data, off = tb.flat(block.column("text"))
-            doc, first, count, key, _ = runs(data, off, length, gram)
+            doc, first, count, key, _ = keyed_runs(data, off, length, gram)
             wanted = block.column("keys")
             own = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
             pairs = np.repeat(np.arange(block.num_rows), np.diff(own)).astype(np.uint64)
             wanted = wanted.flatten().to_numpy().view(np.uint64)
             keep = np.isin(tb.mix(key + tb.mix(doc.astype(np.uint64))), tb.mix(wanted + tb.mix(pairs)))
             doc, first, count, key = doc[keep], first[keep], count[keep], key[keep]
-            begin = off[doc] + first
-            raw, out, ids = data.tobytes(), [], []
-            for a, n in zip(begin.tolist(), count.tolist()):
-                s = raw[a : a + n + length - 1]
-                ids.append(d := digest(s))
-                times = seen.get(d, 0)
-                out.append(s if times < 2 else None)
-                seen[d] = times + 1
+            rows = []
+            for i, (d, at, n) in enumerate(zip(doc.tolist(), first.tolist(), count.tolist())):
+                begin = int(off[d]) + at
+                s = data[begin : begin + n + length - 1].tobytes()
+                parts, whole = ([(0, n)], []) if n <= 8 * length else periodic(s, n, length, gram)
+                for a, m in parts:
+                    part = s if m == n else s[a : a + m + length - 1]
+                    name = digest(part)
+                    times = seen.get(name, 0)
+                    rows.append((i, at + a, name, part if times < 2 else None, None))
+                    seen[name] = times + 1
+                rows += [(i, at + a, None, None, m) for a, m in whole]
             if len(seen) > 1_000_000:
                 seen.clear()
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").take(at), block.column("text_hash").take(at), pa.array(key.view(np.int64)), pa.array(ids, pa.int64()), pa.array(first), pa.array(out, pa.binary())], ["doc_id", "text_hash", "key", "digest", "first", "bytes"])
+            if rows:
+                i, at, name, part, whole = zip(*rows)
+                of, i = pa.array(doc[list(i)]), list(i)
+                yield pa.RecordBatch.from_arrays([block.column("doc_id").take(of), block.column("text_hash").take(of), pa.array(key[i].view(np.int64)), pa.array(name, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.binary()), pa.array(whole, pa.int64())], ["doc_id", "text_hash", "key", "digest", "first", "bytes", "whole"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, key long, digest long, first long, bytes binary")
+    return texts.mapInArrow(run, f"doc_id {kind}, text_hash long, key long, digest long, first long, bytes binary, whole long")
+
+
+def cut_anew(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments (key, digest, bytes) cut by the least hash of longer strings: parent_key, parent, key, digest, first, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tb.blocks(batches, "bytes"):
+            data, off = tb.flat(block.column("bytes"))
+            doc, first, count, key, _ = runs(data, off, length, gram)
+            begin = off[doc] + first
+            parts = [data[a : a + n + length - 1].tobytes() for a, n in zip(begin.tolist(), count.tolist())]
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([block.column("key").take(at), block.column("digest").take(at), pa.array(tb.mix(key + np.uint64(gram)).view(np.int64)), pa.array([digest(x) for x in parts], pa.int64()), pa.array(first), pa.array(parts, pa.binary())], ["parent_key", "parent", "key", "digest", "first", "bytes"])
+
+    return rows.select("key", "digest", "bytes").mapInArrow(run, "parent_key long, parent long, key long, digest long, first long, bytes binary")
 
 
-def shard(rows: DataFrame, length: int) -> DataFrame:
+def shard(rows: DataFrame, length: int, gram: int, level: int = 0) -> DataFrame:
     """Repeated windows of each distinct segment: key, digest, runs of (from, to)."""
     with_bytes = rows.filter("bytes IS NOT NULL").select("key", "digest", "bytes")
-    hot = with_bytes.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
+    hot = shared.table(with_bytes.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks")), "substring-hot")
+    if level < len(GRAMS) and not (hottest := hot.filter(F.col("blocks") > BLOCKS)).isEmpty():
+        rest = _solved(with_bytes.join(hottest, "key", "left_anti"), hot.filter(F.col("blocks") <= BLOCKS), length)
+        parts = shared.table(cut_anew(with_bytes.join(hottest, "key", "left_semi"), length, gram + round(GRAMS[level] * (length - gram))), "substring-cut")
+        found = shard(parts, length, gram, level + 1)
+        moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
+        back = parts.select("parent_key", "parent", "key", "digest", "first").distinct().join(found, ["key", "digest"]).select(F.col("parent_key").alias("key"), F.col("parent").alias("digest"), moved.alias("spans"))
+        return rest.unionByName(back)
+    return _solved(with_bytes, hot, length)
+
+
+def _solved(with_bytes: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """``shard`` of segments that have tasks of their own, or a few blocks."""
     dealt = with_bytes.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod("digest", F.col("blocks"))).cast("int"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = dealt.withColumn("other", F.explode(pairs)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "bytes")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(with_bytes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -393,8 +484,10 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash, text, kept (binary), n_removed, n_spans of the texts from which something goes."""
     texts = candidates(docs, length, gram)
     rows = shared.table(segments(texts, length, gram), "substring-segments")
-    repeated = shared.table(shard(rows, length), "substring-repeats")
-    hits = rows.select("doc_id", "text_hash", "key", "digest", "first").join(repeated, ["key", "digest"]).select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to"))).alias("spans"))
+    repeated = shared.table(shard(rows, length, gram), "substring-repeats")
+    moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
+    hits = rows.filter("whole IS NULL").select("doc_id", "text_hash", "key", "digest", "first").join(repeated, ["key", "digest"]).select("doc_id", "text_hash", moved.alias("spans"))
+    hits = hits.unionByName(rows.filter("whole IS NOT NULL").select("doc_id", "text_hash", F.array(F.struct(F.col("first").alias("from"), (F.col("first") + F.col("whole")).alias("to"))).alias("spans")))
     found = hits.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     a, b = texts.select("doc_id", "text_hash", "text").alias("a"), found.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))).select("a.*", "spans")

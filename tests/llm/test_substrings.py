@@ -39,14 +39,43 @@ def some_rows(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, blocks, split", [(4096, 8, 8 << 20), (3, 100, 300), (2, 1, 90)])
+def test_equals_brute_force(spark, monkeypatch, hot, blocks, split):
+    """The second case: blocks that are merged, and texts in parts; the third: segments cut anew down to windows."""
     monkeypatch.setattr(sub, "HOT", hot)
-    rows = some_rows(1)
+    monkeypatch.setattr(sub, "BLOCKS", blocks)
+    monkeypatch.setattr(sub, "SPLIT", split)
+    rows = some_rows(1) + [(200, "-" * 700 + "mid" * 200 + "." * 900, "en"), (201, "q" + "-" * 60 + "mid" * 20, "en"), (202, "ab" * 30 + "cd" * 600, "en")]
     got = sub.digests(spark.createDataFrame(rows, SCHEMA), length=50, gram=20)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
 
 
+def test_long_runs_take_seconds(spark):
+    """Whole texts of a megabyte and more: one letter, blanks in a text, a counter."""
+    lines = "".join(f"line {i:07d} of a long list of lines that differ by their number only\n" for i in range(9000))
+    words = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, "a" * 5_000_000, "en"), (2, words + " " * 1_500_000 + words[::-1], "en"), (3, lines, "en"), (4, "x" + "a" * 210, "en"), (5, "no " + words[:150], "en")]
+    got = {r.doc_id: r for r in sub.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (5_000_000, 1)
+    assert (got[2].n_removed, got[2].n_spans) == (1_500_000 + 0, 1) and got[2].kept_sha256 == hashlib.sha256((words + words[::-1]).encode()).hexdigest()
+    assert got[3].n_removed == 0 and (got[4].n_removed, got[4].n_spans) == (210, 1) and got[5].n_removed == 0
+
+
+def test_periodic_stretches():
+    rng = random.Random(7)
+    for _ in range(40):
+        word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30)))
+        s = bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 60))) + word * (900 // len(word)) + bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 60)))
+        n = len(s) - 50 + 1
+        parts, whole = sub.periodic(s, n, 50, 20)
+        seen, kept = set(), [s[a + i : a + i + 50] for a, m in parts for i in range(m)]
+        for a, m in parts + whole:
+            seen |= set(range(a, a + m))
+        assert seen == set(range(n))
+        for a, m in whole:
+            assert all(s.count(s[i : i + 50]) and kept.count(s[i : i + 50]) >= 2 for i in range(a, a + m))
+
+
 def test_empty_table(spark):
     assert sub.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
