@@ -7,15 +7,19 @@ dart aims at one of ``K`` coordinates, and a coordinate keeps the dart of the
 lowest rank.  Only ranks up to t / weight are thrown, about t darts a document
 whatever its length; where a coordinate is still empty the bound is doubled.
 Two documents agree in a coordinate with the probability of their weighted
-Jaccard similarity.  Elements are runs of five words, of weight one (or, with
-``counted``, of the times they occur).
+Jaccard similarity.  Elements are runs of five words; their regions are as wide as
+their words are long (in units of ``MASS`` bytes), so coordinates fall on the
+text evenly.  What links two texts is the exact similarity of their sets of runs.
+With ``counted``, weights are the times that runs occur, for the regions and for
+the similarity; one line that is repeated often then makes texts alike.
 
 Joining: equal texts are one node.  Nodes that agree in all ``ROWS`` coordinates
 of one of ``BANDS`` bands share a bucket.  Each bucket compares all its nodes
 with its least node, by the exact similarity of their texts, and components are
 taken of the links.  Then, in buckets that have nodes of more components than
-one, the nodes outside the bucket's largest component meet all of its nodes of
-other components, in blocks of ``BLOCK`` by ``BLOCK`` over an inverted index; a
+one, the nodes outside the bucket's largest component meet its nodes of other
+components: those of about their size, as sizes of similar texts differ by a
+quarter at most, in blocks of ``BLOCK`` by ``BLOCK`` over an inverted index; a
 block gives back only links that join components.  So no pair of a bucket is
 left out, and no list of pairs is made.  A pair of similarity 0.8 misses all
 buckets with probability (1 - 0.8^5)^28, 0.00002.
@@ -40,9 +44,10 @@ from pyspark.sql import functions as F
 
 from almanack.llm import shared
 from almanack.llm import textbytes as tb
+from almanack.operators import graph
 
 WORDS, SIMILAR, ROWS, BANDS, BLOCK = 5, 0.8, 5, 28, 500
-K = ROWS * BANDS
+K, MASS = ROWS * BANDS, 40
 _TO_UNIT = 2.0**-53
 
 
@@ -89,17 +94,22 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray, offs: np.ndarray, k
     return out
 
 
-def elements(column: pa.Array, counted: bool = False, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of runs of ``n`` words, their weights, and the offsets of the texts in them."""
+def elements(column: pa.Array, counted: bool = False, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of runs of ``n`` words, their weights in the similarity, the offsets of the texts in them, and the widths of their regions."""
     words = tb.Words(column)
-    h, offs = tb.shingles(words.hashes(), words.of, n)
+    h, offs, at, end = tb.shingles(words.hashes(), words.of, n)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    weight = np.diff(np.append(first, len(h))) if counted else np.ones(len(first))
-    return h[first], weight.astype(float), np.searchsorted(doc[first], np.arange(len(offs)))
+    offsets = np.searchsorted(doc[first], np.arange(len(offs)))
+    if counted:
+        weight = np.diff(np.append(first, len(h))).astype(float)
+        return h[first], weight, offsets, weight
+    long = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
+    own = order[first]
+    return h[first], np.ones(len(first)), offsets, (long[end[own]] - long[at[own]]) / MASS
 
 
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -118,7 +128,7 @@ def node(text: str = "text"):
 
 
 def buckets(texts: DataFrame, counted: bool) -> DataFrame:
-    """(key, node, hub) once each, of keys that more than one node has; hub is the least of them. A table."""
+    """(key, node, size, hub) once each, of keys that more than one node has; hub is the least of them, size the weight of a node's runs. A table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -131,13 +141,14 @@ def buckets(texts: DataFrame, counted: bool) -> DataFrame:
                     fresh.append(i)
             if len(seen) > 500_000:
                 seen.clear()
-            e, w, offs = elements(block.column("text").take(pa.array(fresh, pa.int64())), counted)
+            e, w, offs, width = elements(block.column("text").take(pa.array(fresh, pa.int64())), counted)
             some = np.flatnonzero(np.diff(offs))
-            keys = band_keys(dart_signatures(e, w, offs))[some]
+            keys = band_keys(dart_signatures(e, width, offs))[some]
+            size = np.bincount(np.repeat(np.arange(len(fresh)), np.diff(offs)), w, len(fresh))[some]
             owner = pa.array(np.repeat(np.array(fresh, np.int64)[some], keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), block.column("node").take(owner)], ["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), block.column("node").take(owner), pa.array(np.repeat(size, keys.shape[1]), pa.float32())], ["key", "node", "size"])
 
-    rows = shared.table(texts.mapInArrow(run, "key long, node binary"), "neardup-bands")
+    rows = shared.table(texts.mapInArrow(run, "key long, node binary, size float"), "neardup-bands")
     several = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").drop("top")
     return shared.table(rows.join(several, "key").distinct(), "neardup-buckets")
 
@@ -162,34 +173,21 @@ def verified(pairs: DataFrame, texts: DataFrame, counted: bool, similar: float)
     return shared.table(both.mapInArrow(run, "a binary, b binary"), "neardup-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that have links: alternating large and small stars until nothing moves."""
-    edges, before = links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v"), None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = shared.table(small, "neardup-stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-
-
 def meet(mixed: DataFrame, texts: DataFrame, counted: bool, similar: float) -> DataFrame:
-    """Links between components, from all pairs of a bucket of which at least one node is outside the bucket's main component.
+    """Links between components, from all pairs of a bucket that could be similar and of which at least one node is outside the bucket's main component.
 
-    ``mixed``: key, node, root, main. A table.
+    Nodes of a bucket of over ``BLOCK`` go to cells by the logarithm of their size, each to its own cell and the one
+    below: similar texts are at most one step apart.  ``mixed``: key, node, size, root, main. A table.
     """
     is_rest = F.col("root") != F.col("main")
-    many = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.sum(is_rest.cast("int")) / BLOCK)).cast("int").alias("chunks"))
-    rows = mixed.join(many, "key").join(texts, "node").withColumn("h", F.xxhash64("node"))
+    large = mixed.groupBy("key").agg((F.count("*") > BLOCK).alias("large"))
+    step = F.floor(F.log(F.col("size")) / F.lit(1.000001 * log(1 / similar))).cast("int")
+    placed = mixed.join(large, "key").withColumn("cell", F.explode(F.when(F.col("large"), F.array(step, step - 1)).otherwise(F.array(F.lit(0))))).drop("large", "size")
+    many = placed.groupBy("key", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(is_rest.cast("int")) / BLOCK).cast("int").alias("chunks")).filter("chunks > 0")
+    rows = placed.join(many, ["key", "cell"]).join(texts, "node").withColumn("h", F.xxhash64("node"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    left = rows.filter(is_rest).select("key", F.pmod("h", F.col("chunks")).cast("int").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(True).alias("rest"), "node", "root", "text")
-    right = rows.select("key", F.explode(upto("chunks")).alias("i"), F.pmod("h", F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("rest"), "node", "root", "text")
+    left = rows.filter(is_rest).select("key", "cell", F.pmod("h", F.col("chunks")).cast("int").alias("i"), F.explode(upto("blocks")).alias("j"), F.lit(True).alias("rest"), "node", "root", "text")
+    right = rows.select("key", "cell", F.explode(upto("chunks")).alias("i"), F.pmod("h", F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("rest"), "node", "root", "text")
 
     def cell(table: pa.Table) -> pa.Table:
         n = table.num_rows
@@ -227,26 +225,32 @@ def meet(mixed: DataFrame, texts: DataFrame, counted: bool, similar: float) -> D
                     found.append((name[x], name[y]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
-    return shared.table(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(cell, "a binary, b binary"), "neardup-met")
+    return shared.table(left.unionByName(right).groupBy("key", "cell", "i", "j").applyInArrow(cell, "a binary, b binary"), "neardup-met")
 
 
 def rooted(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, node (of its text), root (of its class, which it alone identifies); a table."""
+    """doc_id, node (of its text), root (of its class, which it alone identifies), n_links (verified links of its text); a table."""
     texts = docs.select(node().alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bands = buckets(texts, counted)
     some = shared.table(texts.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "neardup-texts")
     pairs = bands.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(pairs, some, counted, similar)
-    of = shared.table(bands.select("key", "node").join(components(links), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "neardup-roots")
+    of = shared.table(bands.select("key", "node", "size").join(graph.components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "neardup-roots")
     sizes = of.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("main.root").alias("main"))
-    roots = components(links.union(meet(of.join(main, "key"), some, counted, similar)))
-    named = docs.select("doc_id", node().alias("node")).join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    links = links.union(meet(of.join(main, "key"), some, counted, similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    found = graph.components(links).join(degree, "node")
+    named = docs.select("doc_id", node().alias("node")).join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return shared.table(named, "neardup-named")
 
 
 def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, node (of its text), class_id (the least doc_id of its class, or its own name where that does not tell it apart), class_size."""
+    """doc_id, node (of its text), class_id (the least doc_id of its class, or its own name where that does not tell it apart), class_size, n_links.
+
+    n_links counts the links of a row's text that were verified: those to the least text of a bucket, and those that
+    join components; not all pairs of a class are compared.
+    """
     named = rooted(docs, counted, similar)
     whole = named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     whole = shared.table(whole, "neardup-least")
@@ -254,7 +258,7 @@ def classes(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) ->
     own = F.concat(F.lit("class-"), F.lower(F.hex("root"))) if whole.schema["least"].dataType.simpleString() == "string" else F.xxhash64("root").bitwiseOR(F.lit(-(1 << 63)))
     is_own = F.col("least").isNull() | (F.col("root") != F.col("holder"))
     whole = shared.table(whole.join(again, "least", "left").select("root", F.when(is_own, own).otherwise(F.col("least")).alias("class_id"), "class_size"), "neardup-classes")  # so that the join below can split a large class
-    return named.join(whole, "root").select("doc_id", "node", "class_id", "class_size")
+    return named.join(whole, "root").select("doc_id", "node", "class_id", "class_size", "n_links")
 
 
 def keep(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) -> DataFrame:

@@ -127,4 +127,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return neardup.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")

@@ -1,36 +1,13 @@
-"""The folder that all executors and the driver see, and tables written there."""
+"""What the operators here share: tables in the folder that all machines see, the package on the executors, bounded samples."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a folder beside the warehouse."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = sc.getCheckpointDir() or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "shared")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there, and a lost executor costs one task."""
-    spark = df.sparkSession
-    df.write.parquet(path := place(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+from almanack.sources.tables import place, scratch  # noqa: F401
+from almanack.sources.tables import settle as table  # noqa: F401
 
 
 def open_at(path: str) -> tuple[fs.FileSystem, str]:
@@ -38,12 +15,6 @@ def open_at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Drop a folder that is no longer read."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark application."""
     import shutil

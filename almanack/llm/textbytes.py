@@ -115,8 +115,8 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     return out
 
 
-def shingles(hashes: np.ndarray, of: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of n words of each text, and their offsets; a text of fewer words, but not none, is one run."""
+def shingles(hashes: np.ndarray, of: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of n words of each text, and their offsets; a text of fewer words, but not none, is one run. Then each run's first word and the one after its last."""
     count = np.diff(of)
     runs = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     offs = np.concatenate([[0], np.cumsum(runs)])
@@ -127,4 +127,4 @@ def shingles(hashes: np.ndarray, of: np.ndarray, n: int = 5) -> tuple[np.ndarray
     for j in range(n):
         h = hashes[np.minimum(at + j, last)] if len(hashes) else acc
         acc = np.where(at + j < end, mix(acc + h + np.uint64(j + 1)), acc)
-    return acc, offs
+    return acc, offs, at, np.minimum(at + n, end)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from almanack.llm import neardup as nd
 
@@ -51,10 +52,24 @@ def some_rows(n=120):
     return rows + [(500, None, None, None), (501, "", "en", "k"), (502, "one two", "en", "k"), (503, "ONE two!", "en", "k"), (504, "... !", "en", "k")]
 
 
-def test_classes_equal_brute_force(spark):
-    rows = some_rows()
-    got = nd.classes(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "class_id", "class_size")
-    assert sorted(map(tuple, got.collect())) == brute(rows)
+@pytest.mark.parametrize("block", [500, 3])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
+    """The second case: buckets of several cells and blocks. A column named node, and a text of a megabyte with a near copy."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    long = " ".join(f"l{i}" for i in range(150_000))
+    rows = [*some_rows(), (600, long, "en", "k"), (601, long + " more", "en", "k")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("key", "node")
+    got = nd.classes(docs.select("doc_id", "text")).collect() if block == 500 else nd.classes(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows[:-2]) + [(600, 600, 2), (601, 600, 2)]
+    assert all((r.n_links > 0) == (len({x.node for x in got if x.class_id == r.class_id}) > 1) for r in got)
+
+
+def test_repeated_lines_do_not_make_texts_alike(spark):
+    line = "the same line of words again "
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " " + line * 60, "en", None) for i in range(2)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert nd.keep(docs).count() == 2
+    assert {r.class_size for r in nd.classes(docs, counted=True).collect()} == {2}
 
 
 def test_keep_has_one_row_of_each_class(spark):
