@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is a table in the shared folder before the next reads it."""
+    """All stages over ``documents``; each is a table in the shared folder before the next reads it, and what it needed on the way is dropped."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with shared.scratch(spark) as keep:
+            docs = shared.table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
     return docs
