@@ -117,7 +117,7 @@ FRAGMENTS = [
     ("opener_pronoun", "regex", r"^(?:we|we're|i|i'm|our|my|it's|they)\b.*[a-z]$"),
     ("opener_call", "regex", r"^(?:swipe|tap|click|order|shop|dm|follow|tag|comment|use code)\b"),
     ("opener_link", "prefix", "http"),
-    ("only_date", "regex", r"^(?:" + rules.MONTH + r"\.?\s+\d{1,2}(?:st|nd|rd|th)?|\d{1,2}[/.]\d{1,2})[\s,.!]*$"),
+    ("only_date", "regex", r"^(?:" + rules.MONTH + r"|\d{1,2}[/.])\W*\d{1,2}[a-z]{0,2}\W*$"),
     ("only_time", "regex", r"^\d{1,2}(?::\d{2})?\s*[ap]m[\s!.]*$"),
     ("open_end", "regex", r"\b(?:and|or|the|a|with|of|to|for)$"),
     ("ellipsis", "suffix", "…"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.operators import graph, relational
+from almanack.sources import tables
 
 
 def identities(events: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
@@ -40,14 +41,45 @@ def similarity(a_cats: Column, b_cats: Column, a_hoods: Column, b_hoods: Column,
 
 
 def most_similar(profiles: DataFrame, key: str, k: int = 6) -> DataFrame:
-    """The ``k`` most similar others that share a category: an equi-join on categories, not all pairs."""
-    p = profiles.select(F.col(key).alias("k"), "categories", "hoods", "cadence")
-    tagged = p.select("k", F.explode("categories").alias("c"))
-    met = tagged.select(F.col("k").alias("a"), "c").join(tagged.select(F.col("k").alias("b"), "c"), "c").filter("a <> b").select("a", "b").distinct()
-    named = lambda x: p.select(*(F.col(c).alias(f"{x}_{c}") for c in p.columns))
-    both = met.join(named("a"), F.col("a") == F.col("a_k")).join(named("b"), F.col("b") == F.col("b_k"))
-    scored = both.withColumn("similarity", similarity(*(F.col(c) for c in ("a_categories", "b_categories", "a_hoods", "b_hoods", "a_cadence", "b_cadence"))))
-    return relational.top_by(scored.filter("similarity > 0"), ["a"], [F.desc("similarity"), "b"], k).select("a", "b", "similarity", "rank")
+    """a, b, similarity, rank: the ``k`` most similar others of each, among all that have anything in common.
+
+    Communities with one profile are a class.  Classes meet through what they share: categories are counted over an
+    equi-join, which gives the number in common without comparing sets; hoods and cadence likewise over the few sets
+    of those.  Of a class only its first k + 1 members can be among anyone's k, and of classes without a common
+    category only the first k + 1 members of all with the same hoods and cadence; so no group of communities is paired
+    with itself.
+    """
+    many = k + 1
+    none = F.array().cast("array<string>")
+    sets = [F.array_sort(F.array_distinct(F.coalesce(F.transform(c, lambda x: x.cast("string")), none))) for c in ("categories", "hoods")]
+    p = profiles.select(F.col(key).alias("m"), sets[0].alias("cats"), sets[1].alias("hoods"), F.coalesce("cadence", F.lit("")).alias("cadence"))
+    classes = tables.settle(p.groupBy("cats", "hoods", "cadence").agg(F.min("m").alias("c")), "classes")
+    member = tables.settle(p.join(classes, ["cats", "hoods", "cadence"]).select("c", "m", "hoods", "cadence"), "members")
+    first = relational.top_by(member.select("c", "m"), ["c"], ["m"], many, "__n").select(F.col("c").alias("cb"), F.col("m").alias("b"))
+    places = classes.groupBy("hoods", "cadence").agg(F.min("c").alias("place"))
+    classes = tables.settle(classes.join(places, ["hoods", "cadence"]), "placed-classes")
+    around = relational.top_by(member.join(places, ["hoods", "cadence"]).select("place", "m"), ["place"], ["m"], many, "__n").select("place", F.col("m").alias("b"))
+
+    def meet(rows: DataFrame, name: str, what: str) -> DataFrame:
+        """Pairs (ca, cb) of rows whose arrays share a value, and how many."""
+        one = rows.select(F.col(name).alias("id"), F.explode(what).alias("v"))
+        return one.select(F.col("id").alias("ca"), "v").join(one.select(F.col("id").alias("cb"), "v"), "v").groupBy("ca", "cb").agg(F.count("*").alias("both"))
+
+    a, b = (classes.select(F.col("c").alias(f"c{x}"), F.size("cats").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("hoods").alias(f"h{x}"), F.col("cadence").alias(f"w{x}")) for x in "ab")
+    hood_points = F.coalesce(F.floor(F.try_divide(F.size(F.array_intersect("ha", "hb")) * 200, F.size(F.array_union("ha", "hb")))), F.lit(0))
+    cadence_points = F.when((F.col("wa") == F.col("wb")) & (F.col("wa") != ""), 150).otherwise(0)
+    alike = meet(classes, "c", "cats").join(a, "ca").join(b, "cb").withColumn("similarity", F.floor(F.col("both") * 500 / (F.col("na") + F.col("nb") - F.col("both"))) + hood_points + cadence_points)
+    near = alike.select("ca", "cb", "similarity").join(first, "cb").select("ca", "b", "similarity")
+    places = places.withColumnRenamed("place", "c")
+    pa, pb = (places.select(F.col("c").alias(f"c{x}"), F.col("hoods").alias(f"h{x}"), F.col("cadence").alias(f"w{x}")) for x in "ab")
+    met = meet(places, "c", "hoods").select("ca", "cb").union(pa.filter("wa <> ''").join(pb, F.col("wa") == F.col("wb")).select("ca", "cb")).distinct()
+    beside = met.join(pa, "ca").join(pb, "cb").withColumn("similarity", hood_points + cadence_points).filter("similarity > 0")
+    beside = beside.join(around.withColumnRenamed("place", "cb"), "cb").select(F.col("ca").alias("place"), "b", "similarity")
+    beside = relational.top_by(beside, ["place"], [F.desc("similarity"), "b"], many * many, "__n").drop("__n")
+    best = near.unionByName(classes.select(F.col("c").alias("ca"), "place").join(beside, "place").select("ca", "b", "similarity")).groupBy("ca", "b").agg(F.max("similarity").alias("similarity"))
+    best = relational.top_by(best, ["ca"], [F.desc("similarity"), "b"], many, "__n").drop("__n")
+    mine = member.select(F.col("c").alias("ca"), F.col("m").alias("a")).join(best, "ca").filter("a <> b")
+    return relational.top_by(mine.filter("similarity > 0"), ["a"], [F.desc("similarity"), "b"], k).select("a", "b", "similarity", "rank")
 
 
 def observe(history: DataFrame, seen: DataFrame, today: Column, days: int = 365) -> DataFrame:

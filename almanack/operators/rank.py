@@ -6,21 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import rules
+from almanack.operators import relational
 from almanack.sources import tables
 
 
-def _step(rank: Column, steps: list[int]) -> Column:
-    return F.element_at(F.array(*map(F.lit, steps)), F.least(rank, F.lit(len(steps))).cast("int"))
+def _penalty(df: DataFrame, by: str, score: str, key: str, steps: list[int], name: str) -> DataFrame:
+    """``df`` and the step of each row's rank in its group.
+
+    All ranks from the last step on cost the same, so only the rows before it are ranked: a task keeps that many of a
+    group before any shuffle, and no task sorts a group.  The few ranked rows of a group go back to it as one array.
+    """
+    head = relational.top_by(df.select(by, score, key), [by], [F.desc(score), key], len(steps) - 1, "__r")
+    listed = head.groupBy(by).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("__r").alias("r"))).alias("__head"))
+    found = F.get(F.filter("__head", lambda x: x["k"] == F.col(key)), 0)["r"]
+    step = F.element_at(F.array(*map(F.lit, steps)), F.coalesce(found, F.lit(len(steps))).cast("int"))
+    return df.alias("d").join(listed.withColumnRenamed(by, "__by"), F.col(f"d.{by}").eqNullSafe(F.col("__by")), "left").select("d.*", step.alias(name))
 
 
 def diversify(df: DataFrame, score: str, source: str | None, topic: str | None, key: str, floor: Column, source_steps: list[int] = rules.SOURCE_STEPS, topic_steps: list[int] = rules.TOPIC_STEPS) -> DataFrame:
-    """Later rows of a source and of a topic lose points by their rank in it; rows at or above the floor don't fall below it."""
+    """Later rows of a source and of a topic lose points by their rank in it; rows at or above the floor don't fall below it. ``key`` is unique."""
+    names = df.columns
     pen = F.lit(0)
-    for by, steps in ((source, source_steps), (topic, topic_steps)):
+    for i, (by, steps) in enumerate(((source, source_steps), (topic, topic_steps))):
         if by:
-            pen = pen + _step(F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), key)), steps)
+            df = _penalty(df, by, score, key, steps, f"__pen{i}")
+            pen = pen + F.col(f"__pen{i}")
     raw = F.col(score)
-    return df.withColumn("__pen", pen).withColumn(score, F.when(F.col("__pen") <= 0, raw).when(raw >= floor, F.greatest(floor, raw - F.col("__pen"))).otherwise(raw - F.col("__pen"))).drop("__pen")
+    new = F.when(pen <= 0, raw).when(raw >= floor, F.greatest(floor, raw - pen)).otherwise(raw - pen)
+    return df.withColumn("__new", new).select(*(F.col("__new").alias(c) if c == score else c for c in names))
 
 
 def guarantee(df: DataFrame, score: str, key: str, wanted: Column, conviction: Column, floor: Column, slots: int = 12, lift: int = 5) -> DataFrame:
@@ -39,9 +52,9 @@ def guarantee(df: DataFrame, score: str, key: str, wanted: Column, conviction: C
 
 def mix(df: DataFrame, lane: str, score: str, key: str, total: int, shares: dict[str, float]) -> DataFrame:
     """The best rows of each lane up to its share of ``total``; what a lane leaves open goes to the best of the rest."""
-    rank = F.row_number().over(Window.partitionBy(lane).orderBy(F.desc(score), key))
+    df = relational.top_by(df, [lane], [F.desc(score), key], total, "__rank")  # no lane gives more, and a task keeps that many of each
     quota = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(round(total * v))))), F.col(lane)), F.lit(0))
-    return df.withColumn("__own", (rank <= quota)).orderBy(F.desc("__own"), F.desc(score), key).limit(total).drop("__own")
+    return df.withColumn("__own", F.col("__rank") <= quota).orderBy(F.desc("__own"), F.desc(score), key).limit(total).drop("__own", "__rank")
 
 
 def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:

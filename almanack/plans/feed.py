@@ -110,7 +110,9 @@ def admit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = admission.future(rows, F.lit(TODAY).cast("date"))
     late = admission.past_midnight(F.date_format("ts", "HH:mm"), F.lit(None).cast("string"), F.lit(""), F.lit(""))
     k = F.get_json_object("props", "$.k").cast("int")
-    return rows.filter(F.col("value").isNotNull() & (F.datediff("date", F.lit(TODAY).cast("date")) <= 7) & ~F.col("event_type").isin("error") & ~late & (k % 7 != 0)).select("event_id", "event_type", "day")
+    rows = rows.withColumns({"source": F.col("event_type"), "title": F.col("event_type"), "source_url": F.lit(None).cast("string"), "description": F.lit("")})
+    rows = admission.far_future(admission.present(rows, ["error"]), F.lit(TODAY).cast("date"), [], 7)
+    return rows.filter(F.col("value").isNotNull() & ~late & (k % 7 != 0)).select("event_id", "event_type", "day")
 
 
 @query("""
@@ -126,13 +128,12 @@ def exact_dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT split_part(url, '?', 1) AS u, count(*) AS n, min(page_id) AS first_id FROM pages WHERE length(split_part(url, '?', 1)) >= 20 GROUP BY 1)
-SELECT u AS image, n, first_id FROM g
+SELECT u || '|' || d AS image, count(*) AS n, min(page_id) AS first_id FROM (SELECT page_id, split_part(url, '?', 1) AS u, DATE '2024-01-01' + CAST(page_id % 3 AS INT) AS d FROM pages) WHERE length(u) >= 30 GROUP BY u, d
 """)
 def image_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that share a url, query aside, are one."""
-    plain = F.substring_index("url", "?", 1)
-    return load(spark, sf_dir, "pages").filter(F.length(plain) >= 20).groupBy(plain.alias("image")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+    """Rows of a day that share an image's url, query aside, are one; short urls have no key."""
+    rows = load(spark, sf_dir, "pages").withColumn("image", resolve.image_key(F.col("url"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 3).cast("int"))))
+    return rows.filter("image IS NOT NULL").groupBy("image").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
 
 
 @query("""

@@ -41,8 +41,9 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(props->>'k' AS VARCHAR) AS token FROM events WHERE props->>'k' IS NOT NULL""")
 def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings under a field name, anywhere in a payload, by walking variants."""
-    rows = load(spark, sf_dir, "events").select("event_id", F.try_parse_json(F.concat(F.lit('{"a": [{"b": '), "props", F.lit("}]}"))).alias("v"))
+    """Strings under a field name, anywhere in a payload (here fourteen lists and objects deep), by walking variants."""
+    deep = F.concat(F.lit('{"a": [{"b": ' * 7), "props", F.lit("}]}" * 7))
+    rows = load(spark, sf_dir, "events").select("event_id", F.try_parse_json(deep).alias("v"))
     return jsonld.tokens(rows, "event_id", "v", ["k"])
 
 

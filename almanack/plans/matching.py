@@ -14,20 +14,18 @@ _TOKENS = "list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(
 
 
 @query(f"""
-WITH p AS (SELECT p_partkey, p_brand, p_size, {_TOKENS} AS t FROM part)
-SELECT x.p_partkey AS a, y.p_partkey AS b, len(list_intersect(x.t, y.t)) AS common
-FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey
-WHERE len(list_intersect(x.t, y.t)) >= 1 AND len(list_intersect(x.t, y.t)) >= 0.3 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AND x.t <> y.t
+WITH p AS (SELECT p_partkey, p_brand, p_size, {_TOKENS} AS t FROM part),
+r AS (SELECT p_brand, p_size, t, min(p_partkey) AS k FROM p WHERE len(t) > 0 GROUP BY 1, 2, 3)
+SELECT 'pair' AS kind, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, len(list_intersect(x.t, y.t)) AS common
+FROM r x JOIN r y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.k < y.k
+WHERE len(list_intersect(x.t, y.t)) >= 1 AND len(list_intersect(x.t, y.t)) >= 0.3 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))
+UNION ALL SELECT 'member', r.k, p.p_partkey, len(p.t) FROM p JOIN r ON p.p_brand = r.p_brand AND p.p_size = r.p_size AND p.t = r.t WHERE p.p_partkey > r.k
 """)
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand and size with similar names; rows with equal words are joined to a representative instead (see equal_words)."""
+    """Parts of a brand and size with similar names: pairs of word sets (by their least part), and the other parts of each word set."""
     rows = resolve.tokens_of(load(spark, sf_dir, "part"), "p_name")
-    reps = rows.groupBy("p_brand", "p_size", F.array_sort("tokens").alias("tokens")).agg(F.collect_list("p_partkey").alias("members"), F.min("p_partkey").alias("p_partkey"))
-    pairs = resolve.similar_pairs(reps, "p_partkey", ["p_brand", "p_size"], "tokens", 0.3, 1)
-    m = reps.select("p_partkey", "members")
-    wide = pairs.join(m.withColumnRenamed("p_partkey", "a").withColumnRenamed("members", "ma"), "a").join(m.withColumnRenamed("p_partkey", "b").withColumnRenamed("members", "mb"), "b")
-    each = wide.select(F.explode("ma").alias("x"), "mb", "common").select("x", F.explode("mb").alias("y"), "common")
-    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("common").cast("long").alias("common"))
+    found = resolve.similar_pairs(rows, "p_partkey", ["p_brand", "p_size"], "tokens", 0.3, 1)
+    return found.select(F.when(F.col("similarity") == 1, "member").otherwise("pair").alias("kind"), "a", "b", F.col("common").cast("long").alias("common"))
 
 
 @query(f"""
@@ -99,12 +97,11 @@ UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate < TIMESTAMP
   AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
 """)
 def carryover_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows, and old ones of the sources that failed (a semi-join)."""
-    o = load(spark, sf_dir, "orders")
-    failed = load(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    new = o.filter("o_orderdate >= timestamp_ntz'1997-06-01'")
-    old = o.filter("o_orderdate < timestamp_ntz'1997-06-01' AND o_orderdate >= timestamp_ntz'1997-01-01'").join(failed, "o_custkey", "left_semi")
-    return new.select("o_orderkey", "o_custkey").unionByName(old.select("o_orderkey", "o_custkey"))
+    """New rows, and old ones of the sources that failed that are still to come (a semi-join)."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("source"), F.to_date("o_orderdate").alias("date"))
+    failed = load(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("source"))
+    out = state.carry_over(o.filter("date >= date'1997-06-01'"), o.filter("date < date'1997-06-01'"), failed, F.lit("1997-01-01").cast("date"))
+    return out.select(F.col("event_id").alias("o_orderkey"), F.col("source").alias("o_custkey"))
 
 
 @query("""

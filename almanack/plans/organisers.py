@@ -10,12 +10,14 @@ from almanack.operators import communities, graph, relational
 from almanack.plans.registry import query
 from almanack.sources.tables import load
 
-_EDGES = "edges AS (SELECT min(l_suppkey) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_quantity >= 50 GROUP BY l_orderkey HAVING min(l_suppkey) <> max(l_suppkey))"
+_EDGES = """edges AS (SELECT DISTINCT a, l_suppkey AS b FROM lineitem JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS a FROM lineitem GROUP BY 1) ON k = l_orderkey WHERE l_suppkey > a)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem").filter("l_quantity >= 50")
-    return li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b")).filter("a <> b").select("a", "b")
+    """The suppliers of an order, each with the least of them."""
+    li = load(spark, sf_dir, "lineitem")
+    least = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("a"))
+    return li.join(least, "l_orderkey").filter("l_suppkey > a").select("a", F.col("l_suppkey").alias("b")).distinct()
 
 
 @query(f"""
@@ -24,7 +26,7 @@ c(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, c.root FROM c JO
 SELECT node, min(root) AS root FROM c GROUP BY node
 """)
 def community_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of suppliers; an edge joins only the least and the largest supplier of an order's lines of a quantity of 50 or more, as in the SQL."""
+    """Connected components of suppliers that share an order; every supplier of an order has an edge to the least of them."""
     return graph.components(_edges(spark, sf_dir))
 
 
@@ -33,7 +35,7 @@ WITH {_EDGES}, u AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges)
 SELECT DISTINCT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT DISTINCT b, 1 FROM u WHERE a <= 3 AND b > 3
 """)
 def bfs_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of the first three suppliers (the feature: seeds), over the edges of ``community_components``: those between an order's extremes only."""
+    """Neighbours of the first three suppliers (the feature: seeds), where a step leads between an order's least supplier and its others."""
     e = _edges(spark, sf_dir)
     seeds = load(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
     return graph.reach(e.union(e.select("b", "a")).distinct(), seeds, 1)
@@ -46,7 +48,7 @@ d2 AS (SELECT DISTINCT u.b AS node FROM u JOIN d1 ON u.a = d1.node WHERE u.b > 3
 SELECT DISTINCT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2
 """)
 def bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers within two steps of the first three (the feature: seeds), over the edges of ``community_components``: those between an order's extremes only."""
+    """Suppliers within two steps of the first three (the feature: seeds), where a step leads between an order's least supplier and its others."""
     e = _edges(spark, sf_dir)
     seeds = load(spark, sf_dir, "supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"))
     return graph.reach(e.union(e.select("b", "a")).distinct(), seeds, 2)
@@ -82,24 +84,25 @@ def community_profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PROFILES = """
-prof AS (SELECT s_suppkey AS k, list_sort(list(DISTINCT p_type)) AS cats FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 2 GROUP BY 1),
-p AS (SELECT k, cats, s_nationkey AS hood, CASE WHEN s_acctbal > 0 THEN 'weekly' ELSE 'monthly' END AS cadence FROM prof JOIN supplier ON s_suppkey = k)
+prof AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT p_brand)) AS cats FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+p AS (SELECT s_suppkey AS k, coalesce(cats, []) AS cats, s_nationkey AS hood, CASE WHEN s_acctbal > 4000 THEN 'weekly' WHEN s_acctbal > 0 THEN 'monthly' ELSE 'once' END AS cadence FROM supplier LEFT JOIN prof ON s_suppkey = k)
 """
 
 
 @query(f"""
 WITH {_PROFILES},
-x AS (SELECT a.k AS a, b.k AS b, CAST(floor(len(list_intersect(a.cats, b.cats)) * 500 / len(list_distinct(list_concat(a.cats, b.cats)))) AS BIGINT)
+x AS (SELECT a.k AS a, b.k AS b, CAST(coalesce(floor(len(list_intersect(a.cats, b.cats)) * 500 / nullif(len(list_distinct(list_concat(a.cats, b.cats))), 0)), 0) AS BIGINT)
    + CASE WHEN a.hood = b.hood THEN 200 ELSE 0 END + CASE WHEN a.cadence = b.cadence THEN 150 ELSE 0 END AS similarity
-  FROM p a JOIN p b ON a.k <> b.k AND len(list_intersect(a.cats, b.cats)) > 0)
+  FROM p a JOIN p b ON a.k <> b.k)
 SELECT a, b, similarity, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS r FROM x WHERE similarity > 0) WHERE r <= 6
 """)
 def community_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six suppliers most like each one, among those that share a category, by profiles of parts of size 1 and 2 only, as in the SQL; the original takes all parts and scores all pairs (open)."""
+    """The six suppliers most like each one, by the brands of all parts that they ship, their nation and a class of balance."""
     s = load(spark, sf_dir, "supplier")
-    rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").filter("p_size <= 2"), F.col("p_partkey") == F.col("l_partkey"))
-    profiles = rows.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.array_sort(F.collect_set("p_type")).alias("categories")).join(s, "s_suppkey")
-    profiles = profiles.select("s_suppkey", "categories", F.array("s_nationkey").alias("hoods"), F.when(F.col("s_acctbal") > 0, "weekly").otherwise("monthly").alias("cadence"))
+    rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    cats = rows.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("p_brand").alias("categories"))
+    cadence = F.when(F.col("s_acctbal") > 4000, "weekly").when(F.col("s_acctbal") > 0, "monthly").otherwise("once")
+    profiles = s.join(cats, "s_suppkey", "left").select("s_suppkey", "categories", F.array("s_nationkey").alias("hoods"), cadence.alias("cadence"))
     out = communities.most_similar(profiles, "s_suppkey")
     return out.select("a", "b", F.col("similarity").cast("long").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 

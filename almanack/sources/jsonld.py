@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanack.functions import dates
+from almanack.functions import dates, text
+from almanack.sources import tables
 
 TYPES = ["Event", "MusicEvent", "ComedyEvent", "DanceEvent", "Festival", "FoodEvent", "LiteraryEvent", "SocialEvent", "SportsEvent", "TheaterEvent", "VisualArtsEvent", "ExhibitionEvent", "EducationEvent", "ScreeningEvent", "ChildrensEvent", "BusinessEvent", "CourseInstance", "EventSeries"]
-_DEEP = 6
 
 
 def payloads(html: Column) -> Column:
@@ -27,13 +27,16 @@ def parsed(body: Column) -> Column:
 
 
 def nodes(df: DataFrame, key: str, variant: str) -> DataFrame:
-    """(key, node): every object within a payload, down to six levels of lists and objects."""
-    level = df.select(key, F.col(variant).alias("v")).filter("v IS NOT NULL")
+    """(key, node): every object within a payload, at any depth: each round opens the lists and objects of the last, until there are none."""
+    container = "v IS NOT NULL AND schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'"
+    level = tables.settle(df.select(key, F.col(variant).alias("v")).filter(container), "nodes")
     out = level
-    for _ in range(_DEEP):
-        level = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(key, F.col("value").alias("v")).filter("v IS NOT NULL AND schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'")
+    while True:
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(key, F.col("value").alias("v")).filter(container)
+        level = tables.settle(inner, "nodes")
+        if level.isEmpty():
+            return out.filter("schema_of_variant(v) LIKE 'OBJECT%'").withColumnRenamed("v", "node")
         out = out.unionByName(level)
-    return out.filter("schema_of_variant(v) LIKE 'OBJECT%'").withColumnRenamed("v", "node")
 
 
 def _text(path: str) -> Column:
@@ -81,3 +84,12 @@ def tokens(df: DataFrame, key: str, variant: str, names: list[str]) -> DataFrame
     found = nodes(df, key, variant)
     each = F.array_compact(F.array(*(F.try_variant_get("node", f"$['{n}']", "string") for n in names)))
     return found.select(key, F.explode(each).alias("token")).distinct()
+
+
+def organizer_urls(df: DataFrame, key: str, variant: str) -> DataFrame:
+    """(key, url): the addresses of organisers and hosts named anywhere in the payload, in canonical form."""
+    found = nodes(df, key, variant)
+    paths = ["$.organizer.url", "$.organizer.sameAs", "$.host.url", "$.calendar.url"]
+    listed = [F.transform(F.try_variant_get("node", p, "array<variant>"), lambda o: F.try_variant_get(o, "$.url", "string")) for p in ("$.organizer", "$.hosts")]
+    each = F.array_compact(F.concat(F.array(*(F.try_variant_get("node", p, "string") for p in paths)), *(F.coalesce(x, F.array().cast("array<string>")) for x in listed)))
+    return found.select(key, text.canonical_url(F.explode(each)).alias("url")).filter("url IS NOT NULL").distinct()
