@@ -86,6 +86,12 @@ def excluded(df: DataFrame, rules_table: DataFrame, key: str = "event_id") -> Da
     return relational.anti(flagged.filter("__h = 0 AND __i = 0").select(*df.columns), by_name, [key])
 
 
+def curated(url: Column, title: Column, hosts: list[str], hints: list[str]) -> Column:
+    """The address has a curated host or path in it, or the title a hint; both are hand-kept lists."""
+    has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w)) if words else F.lit(False)
+    return has(url, hosts) | has(title, hints)
+
+
 def floor_of(columns: list[str], curated: Column) -> Column:
     """The least score that is shown, in thousandths."""
     return F.when(conviction(columns) | curated, 250).otherwise(350)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanack.functions import text
 from almanack.operators import graph, relational
 from almanack.sources import tables
 
@@ -91,3 +92,24 @@ def observe(history: DataFrame, seen: DataFrame, today: Column, days: int = 365)
 def qualified(verified: Column, dedicated: Column, dates: Column) -> Column:
     """Whether a group of events is a community: verified, on a platform of its own, or seen on two dates."""
     return verified | dedicated | (dates >= 2)
+
+
+def states(rows: DataFrame, by: str, venue: str, day: str, order: str, today: Column, days: int = 90) -> DataFrame:
+    """by, venue (the most frequent, ties by first occurrence), recent (rows of the last ``days`` days before today), latest, state."""
+    recent = F.count_if(F.col(day).between(F.date_sub(today, days), F.date_sub(today, 1)))
+    whole = rows.groupBy(by).agg(recent.alias("recent"), F.max(day).alias("latest"))
+    named = top_values(rows, by, venue, 1, "venue", order)
+    state = F.when(F.col("latest") >= today, "active").when(F.col("recent") > 0, "quiet").otherwise("past")
+    return whole.join(named, by, "left").select(by, "venue", "recent", "latest", state.alias("state"))
+
+
+def with_history(found: DataFrame, history: DataFrame) -> DataFrame:
+    """community_id, event_id, date: what ``history`` (community_id, event_id, date) kept under any alias of a community (community_id, aliases)."""
+    names = found.select(F.col("community_id").alias("__c"), F.explode("aliases").alias("community_id")).distinct()
+    return names.join(history, "community_id").select(F.col("__c").alias("community_id"), "event_id", "date").distinct()
+
+
+def leads(listed: DataFrame, represented: DataFrame, alias: str = "alias") -> DataFrame:
+    """Listed leads whose folded alias no community has."""
+    known = represented.select(text.fold(F.col(alias)).alias("__a")).distinct()
+    return listed.withColumn("__a", text.fold(F.col(alias))).join(known, "__a", "left_anti").drop("__a")

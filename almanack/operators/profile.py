@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanack.functions import rules, scores, text
@@ -87,3 +87,9 @@ def labels(df: DataFrame) -> Column:
         F.when(F.coalesce(c("user_saved"), F.lit(False)), "saved"), F.when(c("price") == "free", "free"), F.when(F.size("contributing_sources") >= 2, "confirmed"), F.when(F.coalesce(c("engagement_delta"), F.lit(0)) >= 50, "rising"),
         F.when(F.coalesce(c("recurring"), F.lit(False)), "recurring"), F.when(F.coalesce(c("account_verified"), F.lit(False)), "verified"), F.when(text.hits(F.coalesce(c("title"), F.lit("")), ["opening", "premiere", "debut"]) > 0, "opening"),
     ))
+
+
+def page(df: DataFrame, order: list, name: str, size: int, offset: int = 0) -> DataFrame:
+    """``size`` rows from ``offset`` on in a total order, each with its place."""
+    rows = df.orderBy(*order).limit(offset + size)  # the feature: a page
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1).filter(F.col(name) >= offset)

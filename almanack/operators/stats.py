@@ -45,3 +45,23 @@ def must_surface(rows: DataFrame, fields: list[str], rules: DataFrame) -> DataFr
     met = F.filter("bag", lambda r: F.contains("t", r["needle"]))
     counted = rows.select(F.lower(F.concat_ws(" ", *fields)).alias("t")).crossJoin(F.broadcast(bag)).select(F.explode(met).alias("r")).groupBy("r.name").agg(F.count("*").alias("hits"))  # one row on the right
     return rules.join(counted, "name", "left").select("name", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) >= F.col("least")).alias("ok"))
+
+
+def north_star(rows: DataFrame, followed: DataFrame, topics: list[str], account: str = "account", categories: str = "categories", vouched: str = "vouched") -> DataFrame:
+    """One row: the share of followed accounts with rows, how many of the topics are met, and the share of vouched rows."""
+    known = followed.select(account).distinct()
+    covered = known.join(rows.select(account), account, "left_semi").agg(F.count("*").alias("covered")).crossJoin(known.agg(F.count("*").alias("known")))  # one row each
+    met = rows.select(F.explode(categories).alias("c")).filter(F.col("c").isin(topics)).agg(F.count_distinct("c").alias("topics"))
+    whole = rows.agg(F.count_if(F.col(vouched)).alias("v"), F.count("*").alias("n"))
+    return covered.crossJoin(met).crossJoin(whole).select(share(F.col("covered"), F.col("known")).alias("coverage_milli"), "topics", share(F.col("v"), F.col("n")).alias("conviction_milli"))
+
+
+def by_account(rows: DataFrame, known: DataFrame, account: str) -> DataFrame:
+    """account, n, silenced: rows of each known account; those without any are silenced."""
+    n = rows.groupBy(account).agg(F.count("*").alias("n"))
+    return known.select(account).distinct().join(n, account, "left").select(account, F.coalesce("n", F.lit(0)).alias("n")).withColumn("silenced", F.col("n") == 0)
+
+
+def client_counts(rows: DataFrame, by: str, today: Column, visited: Column) -> DataFrame:
+    """by, week (the next seven days), fresh (first seen since the last visit), days, attended, total."""
+    return rows.groupBy(by).agg(F.count_if(F.col("date").between(today, F.date_add(today, 6))).alias("week"), F.count_if(F.col("first_seen_at") > visited).alias("fresh"), F.count_distinct("date").alias("days"), F.count_if("attended").alias("attended"), F.count("*").alias("total"))

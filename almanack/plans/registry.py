@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from almanack.plans import feed, ingest, matching, organisers, reports, runs, text  # noqa: E402, F401
+from almanack.plans import derive, feed, harvest, ingest, matching, organisers, people, reports, runs, text  # noqa: E402, F401

@@ -128,3 +128,69 @@ def platform(url: Column) -> Column:
     return F.when(path.rlike(r"^/(?:e|event|events|show|shows)/"), "event").when(path.rlike(r"^/(?:o|org|organizer|calendar|u|user)/"), "organizer").otherwise("other")
 
 
+#: Hosts whose pages only list links.
+LINK_LISTS = ["linktr.ee", "beacons.ai", "linkin.bio", "bio.link", "lnk.bio", "campsite.bio"]
+
+
+def lists_links(url: Column) -> Column:
+    return text.host_of(url).isin(LINK_LISTS)
+
+
+def disabled(url: Column, hosts: list[str]) -> Column:
+    """The host or one above it is switched off."""
+    host = text.host_of(url)
+    return F.exists(F.array(*map(F.lit, hosts)), lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h))) if hosts else F.lit(False)
+
+
+def open_graph(df: DataFrame, key: str, html: str, anchor: Column) -> DataFrame:
+    """At most one event of a page by its meta tags: title, description, image_url, source_url, date (named in the title or the description)."""
+    h = F.col(html)
+    rows = df.select(key, page_title(h).alias("title"), F.coalesce(meta(h, "og:description"), meta(h, "twitter:description"), meta(h, "description")).alias("description"), F.coalesce(meta(h, "og:image"), meta(h, "twitter:image")).alias("image_url"), meta(h, "og:url").alias("source_url"))
+    return rows.withColumn("date", F.coalesce(dates.parse_date(F.col("title"), anchor), dates.parse_date(F.col("description"), anchor))).filter("title IS NOT NULL AND date IS NOT NULL")
+
+
+def cards(df: DataFrame, key: str, html: str, block: str, fields: dict[str, str], anchor: Column, reject: str = "(?!)") -> DataFrame:
+    """Events of repeated HTML blocks: key, pos, title, date, start_time, venue, href.
+
+    ``block`` finds a block, ``fields`` the first group of each column in it; tags within are dropped. A date may be
+    text or part of an address. Titles that ``reject`` finds are no events.
+    """
+    found = F.regexp_extract_all(F.col(html), F.lit(block), F.lit(0))
+    part = lambda name: text.squeeze(F.regexp_replace(F.regexp_extract("block", fields[name], 1), "<[^>]+>", " ")) if name in fields else F.lit("")
+    rows = df.select(key, F.posexplode(found).alias("pos", "block")).select(key, "pos", *(F.nullif(part(c), F.lit("")).alias(c) for c in ("title", "date", "time", "venue", "href")))
+    day = F.coalesce(dates.parse_date(F.regexp_replace("date", r"^.*?(\d{4})/(\d{2})/(\d{2}).*$", "$1-$2-$3"), anchor), dates.parse_date(F.col("date"), anchor))
+    rows = rows.withColumns({"title": text.clean_title(F.col("title")), "date": day, "start_time": dates.parse_time(F.coalesce("time", F.lit("")))})
+    return rows.filter(F.col("title").isNotNull() & F.col("date").isNotNull() & ~F.col("title").rlike(reject)).select(key, "pos", "title", "date", "start_time", "venue", "href")
+
+
+def newsletter(df: DataFrame, key: str, html: str, anchor: Column) -> DataFrame:
+    """Sections of a newsletter below its headings: key, pos, kind, title, date, start_time, venue.
+
+    A heading, or a line like 'Title | date | place' below it, is an event if it has a date; sections of sponsors are
+    'affiliate', those without any date 'news', and those that announce a list 'roundup'.
+    """
+    body = F.col("section")
+    rows = df.select(key, F.posexplode(sections(F.col(html))).alias("pos", "section"))
+    head = tag_text(body, "h[1-4]")
+    rest = text.squeeze(F.regexp_replace(F.regexp_replace(body, r"(?is)<h[1-4]\b.*?</h[1-4]>", " "), "<[^>]+>", " "))
+    lines = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<(?:p|li)\b[^>]*>(.*?)</(?:p|li)>"), F.lit(1)), lambda x: text.squeeze(F.regexp_replace(x, "<[^>]+>", " "))), lambda x: F.size(F.split(x, r"\s*\|\s*")) >= 2)
+    rows = rows.select(key, "pos", head.alias("head"), rest.alias("rest"), F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))).alias("lines")).withColumn("line", F.explode("lines"))
+    parts = F.split("line", r"\s*\|\s*")
+    whole = F.concat_ws(" ", F.when(F.col("line") != "", F.col("line")).otherwise(F.concat_ws(" ", "head", "rest")))
+    day = dates.parse_date(whole, anchor)
+    sponsor = F.lower(F.concat_ws(" ", "head", "rest")).rlike(r"\b(?:sponsor(?:ed)?|promo code|affiliate|partner offer|discount)\b")
+    lists = F.lower("head").rlike(r"\b(?:roundup|this week|weekend guide|\d+ things)\b") & (F.col("line") == "")
+    kind = F.when(sponsor, "affiliate").when(lists, "roundup").when(day.isNull(), "news").otherwise("event")
+    title = F.when(F.col("line") != "", parts[0]).otherwise(F.col("head"))
+    return rows.select(key, "pos", kind.alias("kind"), text.clean_title(title).alias("title"), F.when(kind == "event", day).alias("date"), dates.time_from_text(F.lit(""), whole).alias("start_time"), F.get(parts, 2).alias("venue"))
+
+
+def is_store_platform(html: Column) -> Column:
+    """squarespace, bookmanager or null, by what a page loads."""
+    return F.when(html.rlike(r"(?i)static1?\.squarespace\.com|squarespace-cdn"), "squarespace").when(html.rlike(r"(?i)bookmanager\.com"), "bookmanager")
+
+
+def calendar_link(html: Column) -> Column:
+    """The address of a page's calendar file."""
+    return F.nullif(F.regexp_extract(html, r'(?i)href="([^"]+(?:\.ics|format=ical|/ical)[^"]*)"', 1), F.lit(""))
+

@@ -92,4 +92,4 @@ def organizer_urls(df: DataFrame, key: str, variant: str) -> DataFrame:
     paths = ["$.organizer.url", "$.organizer.sameAs", "$.host.url", "$.calendar.url"]
     listed = [F.transform(F.try_variant_get("node", p, "array<variant>"), lambda o: F.try_variant_get(o, "$.url", "string")) for p in ("$.organizer", "$.hosts")]
     each = F.array_compact(F.concat(F.array(*(F.try_variant_get("node", p, "string") for p in paths)), *(F.coalesce(x, F.array().cast("array<string>")) for x in listed)))
-    return found.select(key, text.canonical_url(F.explode(each)).alias("url")).filter("url IS NOT NULL").distinct()
+    return found.select(key, F.explode(each).alias("url")).select(key, text.canonical_url(F.col("url")).alias("url")).filter("url IS NOT NULL").distinct()

@@ -121,3 +121,43 @@ def circuit(rows: DataFrame, by: str, order: str, failed: Column, after: int = 2
     marked = rows.withColumn("__s", streak.cast("int"))
     open_ = F.coalesce(F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return marked.withColumn("__o", open_).filter("__o = 0").drop("__s", "__o")
+
+
+#: Blocks of HTML listings, and where their columns are in them.
+CARDS = {
+    "rows": (r'(?is)<div class="event-row".*?</div>\s*</div>', {"title": r"(?is)<h3[^>]*>(.*?)</h3>", "date": r'(?is)class="date">(.*?)<', "time": r'(?is)class="time">(.*?)<', "href": r'href="([^"]+)"'}),
+    "items": (r'(?is)<li class="event\b.*?</li>', {"title": r"(?is)<a[^>]*>(.*?)</a>", "date": r"(?is)<time[^>]*>(.*?)</time>", "time": r"(?is)<em>(.*?)</em>", "href": r'href="([^"]+)"'}),
+    "articles": (r'(?is)<article class="eventlist.*?</article>', {"title": r'(?is)class="eventlist-title"[^>]*>(.*?)</h1>', "date": r'(?is)<time[^>]*datetime="([^"]+)"', "time": r'(?is)class="event-time"[^>]*>(.*?)<', "venue": r'(?is)class="address">(.*?)<'}),
+    "paths": (r'(?is)<div itemscope.*?</div>', {"title": r"(?is)<span[^>]*>(.*?)</span>", "date": r'href="([^"]+)"', "time": r"(?is)<b>(.*?)</b>", "href": r'href="([^"]+)"'}),
+    "paragraphs": (r"(?is)<p><b>.*?</p>", {"title": r"(?is)<b>(.*?)</b>", "date": r"(?is)</b>(.*?)</p>", "time": r"(?is)</b>(.*?)</p>"}),
+}
+#: Titles of cards that are no public events.
+NO_EVENT = r"(?i)^(?:private (?:event|party)|view all|load more|buy tickets|subscribe|menu)\b"
+
+
+def snapshot(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """Items of a browser's snapshot {posts: [{account, caption, url, lane, posted_at, images, likes, comments}]}: each its own address by a fragment, lanes as flags."""
+    schema = "posts array<struct<account:string,caption:string,url:string,lane:string,posted_at:timestamp,images:array<string>,likes:long,comments:long>>"
+    rows = df.select(key, F.posexplode(F.from_json(payload, schema)["posts"]).alias("pos", "p"))
+    return rows.select(key, "pos", "p.account", "p.caption", F.concat("p.url", F.lit("#"), "pos").alias("url"), "p.posted_at", "p.images", "p.likes", "p.comments", (F.col("p.lane") == "saved").alias("user_saved"), (F.col("p.lane") == "tagged").alias("user_tagged"), (F.col("p.lane") == "story").alias("is_story"))
+
+
+def hashtags(df: DataFrame, by: str, caption: str, least: int = 2, k: int = 8) -> DataFrame:
+    """by, tag, n: tags of a user's posts met ``least`` times or more, the ``k`` most frequent."""
+    tag = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(caption), F.lit(""))), F.lit(r"#(\w+)"), F.lit(1)), lambda x: x)))
+    n = df.select(by, tag.alias("tag")).groupBy(by, "tag").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return relational.top_by(n, [by], [F.desc("n"), "tag"], k).drop("rank")
+
+
+def venue_tagged(posts: DataFrame, venues: DataFrame, key: str) -> DataFrame:
+    """key, venue: others' posts that mention a venue's account. ``venues``: account."""
+    named = posts.select(key, F.lower("account").alias("by"), F.explode(text.mentions(F.col("caption"))).alias("venue"))
+    known = venues.select(F.lower("account").alias("venue")).distinct()
+    return named.join(known, "venue").filter("by <> venue").select(key, "venue").distinct()
+
+
+def highlights(df: DataFrame, key: str, collections: str, wanted: str = r"(?i)\b(?:events?|shows?|upcoming|calendar|schedule|this week)\b") -> DataFrame:
+    """key, title, item: the items of collections whose title promises events; the others aren't opened."""
+    kept = F.filter(collections, lambda c: c["title"].rlike(wanted))
+    return df.select(key, F.explode(kept).alias("c")).select(key, "c.title", F.explode("c.items").alias("item"))
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,12 @@ def event() -> T.StructType:
     return T.StructType.fromDDL(_DDL)
 
 
+def one_of_each(refs: Column) -> Column:
+    """The first organiser of each platform and id there."""
+    name = lambda r: F.concat_ws("|", F.coalesce(r["platform"], F.lit("")), F.coalesce(r["external_id"], r["url"], r["name"], F.lit("")))
+    return F.filter(refs, lambda r, i: F.array_position(F.transform(refs, name), name(r)) == i + 1)
+
+
 def conform(df: DataFrame) -> DataFrame:
     """``df`` in the event schema: missing columns are null, or empty where rows are merged; ids, prices and sources are filled in; images are capped at nine."""
     have, schema = set(df.columns), event()
@@ -37,6 +43,6 @@ def conform(df: DataFrame) -> DataFrame:
             "contributing_sources": F.coalesce("contributing_sources", F.array_compact(F.array("source"))),
             "contributing_accounts": F.coalesce("contributing_accounts", F.array_compact(F.array("account"))),
             "extra_images": F.slice(F.coalesce("extra_images", F.array().cast("array<string>")), 1, 9),
-            "organizer_refs": F.array_distinct(F.coalesce("organizer_refs", F.array().cast(schema["organizer_refs"].dataType))),
+            "organizer_refs": one_of_each(F.coalesce("organizer_refs", F.array().cast(schema["organizer_refs"].dataType))),
         }
     )

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish(df: DataFrame, path: str, least: int = 1) -> None:
-    """Overwrite a table, unless there are under ``least`` rows: an empty run never replaces a feed."""
+def publish(df: DataFrame, *paths: str, least: int = 1) -> None:
+    """Publish a feed to each path, unless it has under ``least`` rows: an empty run never replaces a feed.
+
+    A version is written beside the others and named by a marker last, so readers see the old one or the new one
+    whole; a part may be published before a slow source, and all of it later.
+    """
     if df.limit(least).count() < least:
         raise ValueError("too few rows to publish")
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    for path in paths:
+        version = f"{path}/v-{uuid.uuid4().hex}"
+        df.write.parquet(version)
+        at = len(_versions(spark, path))
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.text(f"{path}/current-{at:08d}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current-*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().getParent().toString() for f in found or [])
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The last published version."""
+    return spark.read.parquet(spark.read.text(_versions(spark, path)[-1]).first()[0])
 
 
 def export_json(df: DataFrame, path: str) -> None:
