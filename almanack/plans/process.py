@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions import dates, rules, scores, text
-from almanack.operators import admission, enrich, graph, rank, resolve
+from almanack.operators import admission, enrich, graph, rank, resolve, state
 from almanack.sources import tables
 from almanack.sources.schema import conform
 
@@ -30,6 +30,14 @@ class Preferences:
     venues: list[tuple[str, str]] = field(default_factory=list)
     hoods: list[tuple[str, str]] = field(default_factory=list)
     distance: dict[str, int] = field(default_factory=dict)
+    #: Parts of addresses that the user picked, and words of titles; both lift the score, and rows that have them need less of it.
+    curated: list[str] = field(default_factory=list)
+    curated_hints: list[str] = field(default_factory=list)
+    curated_points: int = 100
+
+
+def _curated(p: Preferences):
+    return admission.curated(F.col("source_url"), F.col("title"), p.curated, p.curated_hints)
 
 
 MERGE = {
@@ -40,15 +48,16 @@ MERGE = {
 }
 
 
-def admit(df: DataFrame, p: Preferences, today) -> DataFrame:
-    """Filters in their order; all but the last are narrow."""
+def admit(df: DataFrame, p: Preferences, today, excluded: DataFrame | None = None) -> DataFrame:
+    """Filters in their order; all but that of excluded accounts, hosts and hints are narrow."""
     df = admission.future(admission.present(df, p.disabled), today)
     df = df.withColumn("start_time", F.coalesce("start_time", dates.time_from_text(F.col("title"), F.col("description"))))
     df = admission.far_future(df, today, p.trusted)
     words = F.concat_ws(" ", "title", "description", "location.name", "location.address")
-    off = admission.blocked(words, p.blocked, p.blocked_words, p.away, p.home) | admission.glued_handle(F.col("title")) | admission.shell(df.columns)
+    off = admission.blocked(words, p.blocked, p.blocked_words, p.away, p.home) | admission.glued_handle(F.col("title")) | (admission.shell(df.columns) & ~_curated(p))
     late = admission.past_midnight(F.col("start_time"), F.col("end_time"), F.col("title"), F.col("description"))
-    return df.filter(~off & ~late & ~admission.phantom(F.col("recurring"), F.col("title"), F.col("date")))
+    kept = df.filter(~off & ~late & ~admission.phantom(F.col("recurring"), F.col("title"), F.col("date")))
+    return kept if excluded is None else admission.excluded(kept, excluded)
 
 
 def expand(df: DataFrame, weeks: int = 3) -> DataFrame:
@@ -137,7 +146,8 @@ def score(df: DataFrame, p: Preferences, today, now, now_minutes) -> DataFrame:
         "title": text.title_quality(F.col("title")), "description": text.description_quality(F.col("description")), "time": dates.time_fit(F.col("start_time"), F.col("date")),
     }
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    explicit = F.when(flag("user_saved"), 250).when(flag("user_tagged"), 200).when(flag("user_affinity"), 100).when(flag("user_following"), 80).otherwise(0)
+    picked = F.when(_curated(p), p.curated_points).otherwise(0)
+    explicit = picked + F.when(flag("user_saved"), 250).when(flag("user_tagged"), 200).when(flag("user_affinity"), 100).when(flag("user_following"), 80).otherwise(0)
     cats = F.col("categories")
     hype = scores.trending(F.col("contributing_accounts"), F.col("engagement_delta"), F.col("first_seen_at"), F.col("date"), today, now)
     stacked = (
@@ -149,16 +159,26 @@ def score(df: DataFrame, p: Preferences, today, now, now_minutes) -> DataFrame:
     return df.withColumn("score", F.when(torn | (parts["title"] < 300), 0).otherwise(scores.final(scores.base(parts), explicit, stacked, F.lit(0), F.lit(0))).cast("long"))
 
 
-def rank_all(df: DataFrame) -> DataFrame:
+def rank_all(df: DataFrame, p: Preferences) -> DataFrame:
     """Diversity, the floor, and the order by day and time."""
-    floor = admission.floor_of(df.columns, F.lit(False))
+    floor = admission.floor_of(df.columns, _curated(p))
     df = df.withColumns({"__source": rank.source_key(F.col("account"), F.coalesce("organizer_url", "organizer"), F.col("source"), F.col("location.name")), "__topic": rank.primary_topic(F.col("categories"), F.col("title"))})
     df = rank.diversify(df, "score", "__source", "__topic", "event_id", floor, rules.SOURCE_STEPS, rules.TOPIC_STEPS)
     return df.filter(F.col("score") >= floor).drop("__source", "__topic").orderBy("date", F.coalesce("start_time", F.lit("")), F.desc("score"), "event_id")
 
 
-def feed(raw: DataFrame, p: Preferences, today: str, now: str) -> DataFrame:
-    """From raw rows, of any of the schema's columns, to a ranked feed."""
+def feed(raw: DataFrame, p: Preferences, today: str, now: str, previous: DataFrame | None = None, failed: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """From raw rows, of any of the schema's columns, to a ranked feed.
+
+    ``previous``: the last run's feed; the rows of sources that ``failed`` (source) are carried over until their date
+    has passed, and the others say since when an event is known and how its engagement grew.  ``excluded`` (kind,
+    pattern): accounts, hosts and hints that the user doesn't want.
+    """
     day, at = F.lit(today).cast("date"), F.lit(now).cast("timestamp")
-    rows = expand(admit(conform(raw), p, day))
-    return rank_all(score(resolve_all(rows, p), p, day, at, F.hour(at) * 60 + F.minute(at)))
+    rows = conform(raw)
+    if previous is not None and failed is not None:
+        rows = state.carry_over(rows, conform(previous), failed, day)
+    whole = resolve_all(expand(admit(rows, p, day, excluded)), p)
+    if previous is not None:
+        whole = state.first_seen(whole, previous, "event_id", at)
+    return rank_all(score(whole, p, day, at, F.hour(at) * 60 + F.minute(at)), p)

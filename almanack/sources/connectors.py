@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from almanack.sources import tables
+
 
 class PagedJson(DataSource):
     """``spark.read.format("paged_json").schema(...).options(pages=..., path=...)``: page i is the JSON lines file ``path`` with {page} replaced by i; each page is a partition."""
@@ -43,6 +45,8 @@ class _Pages(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, and its package to the executors."""
+    tables.ship(spark)
     spark.dataSource.register(PagedJson)
 
 

@@ -195,6 +195,34 @@ def test_whole_feed(spark):
     assert all(250 <= r.score <= 1000 for r in got)
 
 
+def test_feed_with_a_run_before(spark):
+    """Carry-over until the date has passed, first seen and growth, exclusion, and what curated hosts are spared."""
+    long, hall = "A long evening of live music and reading with friends at the hall, come along.", ("Blue Hall", "1 Main St", None, None, None)
+    schema = "seq long, event_id string, title string, description string, location struct<name:string,address:string,neighborhood:string,lat:double,lng:double>, source string, source_url string, date date, start_time string, account string, likes long, comments long, first_seen_at timestamp"
+    row = lambda seq, key, title, source, day, account=None, likes=0, url=None, seen=None, text=long, place=hall: (seq, key, title, text, place, source, url, D(2026, 7, day), "19:00", account, likes, 0, seen)
+    now = [row(1, "a", "Jazz Concert Alpha", "web", 4, likes=90), row(2, "b", "Opera Concert Beta", "web", 5, account="Foo NYC"), row(3, "c", "Secret Supper", "web", 6, url="https://good.example/1", text="", place=None), row(4, "d", "Hidden Brunch", "web", 6, text="", place=None)]
+    before = [row(1, "a", "Jazz Concert Alpha", "web", 4, likes=10, seen=dt.datetime(2026, 6, 1)), row(5, "e", "Choir Concert Gamma", "down", 7, seen=dt.datetime(2026, 6, 2)), row(6, "f", "Choir Concert Past", "down", 1, seen=dt.datetime(2026, 6, 2)), row(7, "g", "Choir Concert Delta", "up", 8)]
+    gone = spark.createDataFrame([("account", "Foo")], "kind string, pattern string")
+    prefs = process.Preferences(preferred=["music"], curated=["good.example"])
+    frames = [spark.createDataFrame(x, schema) for x in (now, before)]
+    got = {r.event_id: r for r in process.feed(frames[0], prefs, "2026-07-02", "2026-07-02 12:00:00", frames[1], spark.createDataFrame([("down",)], "source string"), gone).collect()}
+    assert set(got) == {"a", "c", "e"}
+    assert (got["a"].first_seen_at, got["a"].engagement_delta) == (dt.datetime(2026, 6, 1), 80) and got["e"].first_seen_at == dt.datetime(2026, 6, 2)
+    assert got["c"].first_seen_at == dt.datetime(2026, 7, 2, 12)
+
+
+def test_published_versions(spark, tmp_path):
+    df, paths = spark.range(3), [str(tmp_path / x) for x in "ab"]
+    sinks.publish(df.limit(1), *paths)
+    sinks.publish(df, *paths)
+    assert [sinks.published(spark, p).count() for p in paths] == [3, 3]
+    try:
+        sinks.publish(df.limit(0), *paths)
+        raise AssertionError
+    except ValueError:
+        assert sinks.published(spark, paths[0]).count() == 3
+
+
 def test_feed_links_sources_accounts_and_series(spark):
     long = "A long evening of live music and reading with friends at the hall, come along."
     hall = ("Blue Hall", "1 Main St", None, None, None)
