@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from almanack.llm import shared
 
-KEY_BITS, ATOM_BITS = 63, 18
+KEY_BITS, ATOM_BITS = 63, 15
 
 
 def feasible(prefix: np.ndarray, k: int, capacity: int) -> bool:
@@ -82,7 +82,7 @@ class Atoms:
         inside = F.lit(False)
         for a, b in ranges:
             inside = inside | F.col("key").between(a, b)
-        found = self.rows.filter(inside).groupBy(F.shiftright("key", self.shift).alias("atom")).agg(F.sum("size").alias("size"), F.min("key").alias("least"), F.max("key").alias("most"))
+        found = self.rows.filter(inside).groupBy(F.shiftright("key", self.shift).alias("atom")).agg(F.sum("size").alias("size"), F.min("key").alias("least"), (F.min("key") == F.max("key")).alias("single")).drop("atom")
         found = found.toPandas()  # about 2^ATOM_BITS rows
         old = np.ones(len(self.first), bool)
         for a, b in ranges:
@@ -91,7 +91,7 @@ class Atoms:
         order = np.argsort(first)
         self.first = first[order]
         self.size = np.concatenate([self.size[old], found["size"].to_numpy(np.int64)])[order]
-        self.single = np.concatenate([self.single[old], found["least"].to_numpy() == found["most"].to_numpy()])[order]
+        self.single = np.concatenate([self.single[old], found["single"].to_numpy(bool)])[order]
 
     def _reach(self, prefix: np.ndarray, k: int, capacity: int) -> list[int]:
         """The places in bytes that k runs end at most, if atoms of several groups could be cut anywhere."""

@@ -6,7 +6,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from almanack.sources.tables import place, scratch  # noqa: F401
+from almanack.sources.tables import place, scratch, ship  # noqa: F401
 from almanack.sources.tables import settle as table  # noqa: F401
 
 
@@ -15,23 +15,6 @@ def open_at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
-    import shutil
-    import tempfile
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if getattr(sc, "_almanack_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as at:
-        shutil.copytree(package, Path(at, "tree", package.name), ignore=shutil.ignore_patterns("__pycache__"))
-        kept = Path(tempfile.mkdtemp(prefix="almanack-"))
-        sc.addPyFile(shutil.make_archive(str(kept / "almanack_package"), "zip", Path(at, "tree")))
-    sc._almanack_shipped = True
-
-
 def least_by_hash(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
     """The ``n`` rows of each group with the least hash of the key; each of 64 salts keeps ``n`` first, so no task gets a group."""
     h = F.xxhash64(key)
