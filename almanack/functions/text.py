@@ -201,9 +201,13 @@ def price_of(text: Column) -> Column:
     return F.when(F.lower(text).rlike(r"\bfree\b|\$0(?![.\d])|\bno (?:cover|charge)\b|\bcomplimentary\b"), "free").when(F.length(paid) > 0, F.concat(F.lit("$"), paid)).otherwise("unknown")
 
 
+#: What begins a section of a caption on a new line: bullets and pictographs, points, days, dates, times.
+_STARTS = [r"[•●▪\-*–→►]", r"\p{So}", r"\d{1,2}[.)]\s", "(?:" + rules.DAY[1:-1] + r")\b", rules.MONTH + r"\.?\s+\d", r"\d{1,2}[/.]\d{1,2}\b", r"\d{1,2}(?::\d\d)?\s*[ap]m\b"]
+
+
 def split_caption(text: Column) -> Column:
-    """Sections of a caption at blank lines, bullets, numbered points and dated lines; sections under 15 characters join the one before."""
-    parts = F.filter(F.transform(F.split(text, r"(?im)\n\s*\n|\n(?=\s*(?:[•●▪️\-*–]|\d{1,2}[.)])\s)|\n(?=\s*(?:" + rules.DAY[1:-1] + r")\b)"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    """Sections of a caption at blank lines, rules, and lines that begin with a bullet, a pictograph, a point, a day, a date or a time; sections under 15 characters join the one before."""
+    parts = F.filter(F.transform(F.split(text, r"(?im)\n\s*(?:-{3,}|={3,}|_{3,}|~{3,})\s*\n|\n\s*\n|\n(?=\s*(?:" + "|".join(_STARTS) + "))"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     joined = F.aggregate(
         parts,
         F.array().cast("array<string>"),

@@ -127,6 +127,18 @@ FRAGMENTS = [
     ("only_time", "regex", r"^\d{1,2}(?::\d{2})?\s*[ap]m[\s!.]*$"),
     ("open_end", "regex", r"\b(?:and|or|the|a|with|of|to|for)$"),
     ("ellipsis", "suffix", "…"),
+    ("opener_joint", "regex", r"^(?:and|but|or|so|because|which|while|plus)\b"),
+    ("opener_with", "regex", r"^(?:with|featuring|feat|ft)\b"),
+    ("opener_thanks", "regex", r"^(?:thank you|thanks|shout ?out|congrats|congratulations|happy birthday)\b"),
+    ("opener_credit", "regex", r"^(?:photos?|images?|video|credit)\b\s*(?:by|:)"),
+    ("opener_question", "regex", r"^(?:did you|have you|are you|do you|what's|who's|ready)\b.*\?$"),
+    ("practical", "regex", r"^(?:doors|tickets?|rsvp|entry|cover|ages?|address|location|when|where)\b\s*[:@]"),
+    ("only_price", "regex", r"^\$\d+(?:\.\d\d)?(?:\s*(?:-|to)\s*\$?\d+)?\W*$"),
+    ("only_day", "regex", r"^" + rules.DAY + r"s?\W*$"),
+    ("only_handles", "regex", r"^(?:@[a-z0-9_.]+[\s,&]*)+$"),
+    ("only_tags", "regex", r"^(?:#[a-z0-9_]+\s*)+$"),
+    ("only_address", "regex", r"^\d{1,5}\s+[a-z].*\b(?:st|street|ave|avenue|blvd|road|rd|place)\.?$"),
+    ("no_letters", "regex", r"^[\d\W]+$"),
     ("giveaway", "contains", "giveaway"),
 ]
 

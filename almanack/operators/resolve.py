@@ -121,15 +121,19 @@ def hamming_pairs(df: DataFrame, key: str, block: list[str], hashes: str, most:
     """Pairs of a block whose 64-bit hashes differ in at most ``most`` bits.
 
     The hash is cut into most + 1 bands; two such hashes agree in one of them,
-    so an equi-join on (block, band) finds all pairs.
+    so an equi-join on (block, band) finds all pairs.  Rows with equal hashes are
+    joined once, by the least of them, and come back as links to it.
     """
+    df = df.select(F.col(key).alias("k"), *block, F.col(hashes).alias("h")).filter("h IS NOT NULL")
+    reps = df.groupBy(*block, "h").agg(F.min("k").alias("k"))
+    copies = df.join(reps.withColumnRenamed("k", "a"), [*block, "h"]).filter("k > a").select("a", F.col("k").alias("b"), F.lit(0).alias("distance"))
     n = most + 1
     cuts = [i * 64 // n for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col(hashes), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))))
-    rows = df.select(F.col(key).alias("k"), *block, F.col(hashes).alias("h"), F.explode(bands).alias("band"))
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(F.col("h"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))))
+    rows = reps.select("k", *block, "h", F.explode(bands).alias("band"))
     a, b = rows.select(*block, "band", F.col("k").alias("a"), F.col("h").alias("ha")), rows.select(*block, "band", F.col("k").alias("b"), F.col("h").alias("hb"))
     met = a.join(b, [*block, "band"]).filter("a < b").select("a", "b", scores.hamming(F.col("ha"), F.col("hb")).alias("distance"))
-    return met.filter(F.col("distance") <= most).distinct()
+    return copies.unionByName(met.filter(F.col("distance") <= most).distinct())
 
 
 def sign_hash(vector: Column) -> Column:

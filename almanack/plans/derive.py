@@ -301,3 +301,17 @@ def interest_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", scores.account_score(bio, posts, followers, events).alias("account"), profile.profile_boost(F.col("event_id") % 2 == 0, words, ["view", "jazz"], F.col("event_id") % 5 == 0, F.lit(False)).alias("profile"),
         F.round(profile.boost(rows, "account", "categories", count("a", 9), count("c", 4), count("a", 6)), 6).alias("used"),
     )
+
+
+_CAPTIONS = both([
+    ("Our week of music\n\nFriday: Jazz Night at Blue Hall\nSaturday: Art Walk downtown", ["Our week of music", "Friday: Jazz Night at Blue Hall", "Saturday: Art Walk downtown"]), ("Picks for you here\n• Jazz Night at Blue Hall\n- Art Walk downtown, free\n1) Book Swap at noon", ["Picks for you here", "• Jazz Night at Blue Hall", "- Art Walk downtown, free", "1) Book Swap at noon"]),
+    ("July 4 Jazz Night downtown\nshort\nJuly 5 Art Walk downtown", ["July 4 Jazz Night downtown\nshort", "July 5 Art Walk downtown"]), ("The first long section\n-----\nThe second long section\n7/9 The third long section\n8pm The fourth section", ["The first long section", "The second long section", "7/9 The third long section", "8pm The fourth section"]),
+    ("The first long section\n\ntiny\n\nThe second long section", ["The first long section tiny", "The second long section"]), ("🎟 Tickets for the jazz night\n📍 The Blue Hall downtown", ["🎟 Tickets for the jazz night", "📍 The Blue Hall downtown"]),
+])
+
+
+@query(f"SELECT event_id, array_to_string({dealt(_CAPTIONS[1])}, '|') AS sections FROM events")
+def caption_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions cut into sections at every kind of boundary."""
+    return load(spark, sf_dir, "events").select("event_id", F.array_join(tx.split_caption(pick(_CAPTIONS[0])), "|").alias("sections"))
+

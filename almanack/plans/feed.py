@@ -224,7 +224,7 @@ def whole_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole program over ``events`` as posts of the purchases and signups: admission, resolution, scores and ranks, with a run before; its parts have oracles, the tests hold the whole."""
     e = _events(spark, sf_dir).filter("event_type IN ('purchase', 'signup')")
     rows = e.select(
-        F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["Jazz Concert", "Poetry Reading", "Yoga Class", "Comedy Showcase", "Salsa Dancing"])), (F.pmod("event_id", F.lit(5)) + 1).cast("int")), F.lit("Room"), F.pmod("user_id", F.lit(40)).cast("string")).alias("title"),
+        F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ["Jazz Concert", "Poetry Reading", "Yoga Class", "Comedy Showcase", "Salsa Dancing"])), (F.pmod("event_id", F.lit(5)) + 1).cast("int")), F.substring(F.md5(F.floor(F.col("event_id") / 3).cast("string")), 1, 8), F.substring(F.md5(F.floor(F.col("event_id") / 3).cast("string")), 9, 8)).alias("title"),
         F.lit("A long evening with friends at the hall, come along and bring somebody.").alias("description"), F.col("day").alias("date"), F.date_format("ts", "HH:mm").alias("start_time"), F.col("event_type").alias("source"), F.concat(F.lit("a"), "user_id").alias("account"),
         F.concat(F.lit("https://x.example/"), "event_id").alias("source_url"), F.concat(F.lit("https://img.example/a-long-image-name-"), "event_id", F.lit(".jpg")).alias("image_url"), F.floor("value").alias("likes"), (F.col("value") > 60).alias("user_saved"),
         F.struct(F.concat(F.lit("Hall "), F.pmod("user_id", F.lit(40))).alias("name"), F.lit("1 Main St").alias("address"), F.lit(None).cast("string").alias("neighborhood"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng")).alias("location"),

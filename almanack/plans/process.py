@@ -41,7 +41,7 @@ def _curated(p: Preferences):
 
 
 MERGE = {
-    "title": "longest", "description": "longest", "date": "least", "start_time": "latest", "end_time": "latest", "location": "first", "categories": "union", "source": "first", "source_url": "first", "image_url": "first", "price": "first",
+    "title": "longest", "description": "longest", "date": "least", "start_time": "latest", "end_time": "latest", "location": "first", "categories": "union", "source": "first", "source_url": "first", "image_url": "first", "image_hash": "first", "price": "first",
     "organizer": "first", "organizer_url": "first", "organizer_refs": "union", "account": "first", "likes": "most", "comments": "most", "video_views": "most", "account_followers": "most", "account_verified": "any", "is_pinned": "any",
     "user_saved": "any", "user_tagged": "any", "user_affinity": "any", "user_following": "any", "account_yield": "most", "account_posts": "most", "affinity_comentions": "most", "evergreen": "any", "attendance_signal": "most",
     "recurring": "any", "series_id": "first", "contributing_sources": "union", "contributing_accounts": "union", "first_seen_at": "least", "engagement_delta": "most", "seq": "least", "event_id": "first",
@@ -110,9 +110,9 @@ def series(rows: DataFrame) -> DataFrame:
 
 
 def resolve_all(df: DataFrame, p: Preferences) -> DataFrame:
-    """Exact key, image, similar titles of one venue and day, the same across sources and accounts, and a publisher's series; these link rows, components are merged at once."""
+    """Exact key, image, similar titles or image hashes of one venue and day, the same across sources and accounts, and a publisher's series; these link rows, components are merged at once."""
     keyed = df.withColumns({"__k": F.when(~F.col("source").isin(p.exempt), text.exact_key(F.col("title"), F.col("date"))), "__i": resolve.image_key(F.col("image_url"), F.col("date")), "__v": text.venue_key(F.col("location.name")), "__t": text.title_tokens(F.col("title"))})
-    keyed = tables.settle(keyed.select("event_id", "source", "source_url", "account", "date", "series_id", "__k", "__i", "__v", "__t"), "keyed")
+    keyed = tables.settle(keyed.select("event_id", "image_hash", "source", "source_url", "account", "date", "series_id", "__k", "__i", "__v", "__t"), "keyed")
     links = None
     for k in ("__k", "__i"):
         heads = keyed.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("event_id").alias("a"))
@@ -122,7 +122,8 @@ def resolve_all(df: DataFrame, p: Preferences) -> DataFrame:
     placed = free.filter(F.col("__v") != "")
     near = resolve.similar_pairs(placed, "event_id", ["__v", "date"], "__t").select("a", "b")
     again = tables.settle(series(free), "series")
-    for more in (near, across_sources(placed), across_accounts(keyed), again):
+    alike = resolve.hamming_pairs(placed, "event_id", ["__v", "date"], "image_hash", 5).select("a", "b")
+    for more in (near, alike, across_sources(placed), across_accounts(keyed), again):
         links = links.unionByName(more)
     roots = graph.components(tables.settle(links, "links"))
     returns = again.select(F.explode(F.array("a", "b")).alias("event_id")).distinct().withColumn("__again", F.lit(True))

@@ -11,7 +11,7 @@ from almanack.functions import text
 _DDL = (
     "event_id string, seq long, title string, description string, date date, start_time string, end_time string,"
     "location struct<name:string,address:string,neighborhood:string,lat:double,lng:double>, categories array<string>,"
-    "source string, source_url string, image_url string, extra_images array<string>, price string, scraped_at timestamp,"
+    "source string, source_url string, image_url string, image_hash long, extra_images array<string>, price string, scraped_at timestamp,"
     "organizer string, organizer_url string, organizer_refs array<struct<platform:string,external_id:string,name:string,url:string,role:string,handle:string>>,"
     "account string, likes long, comments long, video_views long, account_followers long, account_verified boolean, is_pinned boolean,"
     "user_saved boolean, user_tagged boolean, user_affinity boolean, user_following boolean, account_yield double, account_posts long, affinity_comentions long,"

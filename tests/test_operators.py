@@ -68,6 +68,9 @@ def test_hamming_pairs(spark):
     rows = [(1, "b", 0), (2, "b", 0b11111), (3, "b", 0b111111), (4, "c", 0), (5, "b", -1)]
     got = {(r.a, r.b, r.distance) for r in resolve.hamming_pairs(spark.createDataFrame(rows, "k long, v string, h long"), "k", ["v"], "h").collect()}
     assert got == {(1, 2, 5), (2, 3, 1)}
+    again = rows + [(6, "b", 0), (7, "b", 0), (8, "b", None)]
+    got = {(r.a, r.b, r.distance) for r in resolve.hamming_pairs(spark.createDataFrame(again, "k long, v string, h long"), "k", ["v"], "h").collect()}
+    assert got == {(1, 2, 5), (2, 3, 1), (1, 6, 0), (1, 7, 0)}
 
 
 def naive_diversity(rows, floor):
@@ -239,6 +242,8 @@ def test_feed_links_sources_accounts_and_series(spark):
     got = process.resolve_all(process.admit(process.conform(spark.createDataFrame(rows, schema)), prefs, day), prefs).collect()
     found = sorted((r.event_id, tuple(r.contributing_sources), tuple(r.contributing_accounts), r.recurring) for r in got)
     assert found == [("a", ("one", "two"), (), False), ("c", ("post",), ("x", "y"), False), ("e", ("web",), (), True)]
+    posters = spark.createDataFrame([(*some(1, "p", "Velvet Underground Tribute", "one", 4), 7), (*some(2, "q", "Banana Posters Everywhere", "one", 4), 7 ^ 0b11111), (*some(3, "r", "Unrelated Morning Bells", "one", 4), ~7)], schema + ", image_hash long")
+    assert sorted(r.event_id for r in process.resolve_all(process.conform(posters), prefs).collect()) == ["p", "r"]
     spam = [some(i, f"s{i}", "Evening Gala Dinner", f"src{i}", 10 + i, None, None) for i in range(5)]
     got = process.resolve_all(process.conform(spark.createDataFrame(spam, schema)), prefs).collect()
     assert [r.event_id for r in got] == ["s0"]
