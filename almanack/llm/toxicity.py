@@ -125,7 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int = PE
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        rows = list(zip((np.array(p, np.int64) for p in table.column("places").to_pylist()), table.column("toxic").to_pylist()))
+        listed = table.column("places").chunk(0)
+        values, offs = listed.values.to_numpy(), listed.offsets.to_numpy()
+        rows = [(values[a:b], y) for a, b, y in zip(offs[:-1], offs[1:], table.column("toxic").to_pylist())]
         part = table.column("part")[0].as_py()
         w = fit(rows if part == 2 else rows[part::2], epochs=epochs).weights()
         if part == 2:
