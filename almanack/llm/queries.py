@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, exactdedup, langid, neardup, packing, sharding, shared, substrings, tokenfile, toxicity, warc
+from almanack.llm import decontam, exactdedup, langid, mixing, neardup, packing, sharding, shared, substrings, tokenfile, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,3 +128,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"), mixing.quality(load(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op13_mixing"] = r"""
+WITH q AS (SELECT doc_id, CASE WHEN max(quality) = 1 THEN 2.0 ELSE 0.5 END AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+        / CAST(coalesce(weight, 1) AS DOUBLE) AS key FROM documents LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, nth) AS place FROM w),
+l AS (SELECT a.nth, (SELECT CAST(sum(CASE WHEN b.place < a.place THEN b.source_size - 3 * b.source_size ELSE b.source_size END) AS DOUBLE)
+             / CAST(sum(CASE WHEN b.place < a.place THEN 0 ELSE b.weight END) AS DOUBLE) FROM o AS b) AS level FROM o AS a),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT max(level) FROM l) * weight) AS target FROM o),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT doc_id, size, source_size, target, epochs, CAST(round(target) AS BIGINT) - epochs * source_size AS rest,
+      sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r
+"""
