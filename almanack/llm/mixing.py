@@ -13,9 +13,10 @@
    ends in gives its first words only, so a long one can't overshoot.
 
 The order is never sorted as a whole.  1 - exp(-key) puts every document into one
-of ``BINS`` bins in the order of keys; words are summed by source and bin, and
-running sums over the bins find the bin that the budget ends in.  Only that bin,
-a BINS-th of a source, is sorted by itself; below it all is taken, above nothing.
+of ``BINS`` bins in the order of keys; words are summed by source and bin.  Running
+sums over 256 runs of bins, then over the 256 bins of one run, find the bin that
+the budget ends in.  Only that bin, a BINS-th of a source, is sorted by itself;
+below it all is taken, above nothing.
 
 Edge cases: null text has size 0; a source of size 0 has target 0; a null source
 is one of its own, last in order; a document without a weight, or with one of 0 or less, counts as 1;
@@ -27,6 +28,8 @@ text, source and weight.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,14 @@ def weighed(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.withColumn("salt", salt).join(known, ["doc_id", "salt"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop("salt")
 
 
+def ended(sums: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, bin, rest, before: the bin of each source in which ``rest`` words are reached, and the words before it; ``sums`` (source, bin, words) begin at ``begin``."""
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    s, p = sums.withColumn("upto", F.sum("words").over(upto)).alias("s"), plan.alias("p")
+    found = s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "bin", "rest", (F.col("begin") + F.col("upto") - F.col("words")).alias("before"), (F.col("begin") + F.col("upto")).alias("after"))
+    return found.filter("before < rest AND rest <= after").drop("after")
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, source_weight: Column | None = None, cap: int = CAP, bins: int = BINS) -> DataFrame:
     """doc_id, size, source, source_size, target, epochs (whole ones of its source) and taken of each row.
 
@@ -88,12 +99,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source_weight: Column
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     plan = shared.table(sources.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "mixing-targets")
 
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = binned.withColumn("before", F.sum("words").over(upto) - F.col("words")).alias("b")
-    p = plan.alias("p")
-    edge = ahead.join(p, F.col("b.source").eqNullSafe(F.col("p.source"))).filter("before < rest AND rest <= before + words")
-    edge = edge.select(F.col("b.source").alias("source"), F.col("b.bin").alias("edge"), "before").alias("e")
-    plan = shared.table(p.join(edge, F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", F.coalesce("edge", F.lit(-1)).alias("edge"), "before"), "mixing-plan").alias("p")
+    wide = isqrt(bins - 1) + 1
+    coarse = binned.groupBy("source", F.floor(F.col("bin") / wide).alias("bin")).agg(F.sum("words").alias("words"))
+    start = shared.table(ended(coarse, plan.withColumn("begin", F.lit(0).cast("long"))), "mixing-runs")
+    fine = binned.join(start.select(F.col("source").alias("of"), F.col("bin").alias("run")), F.col("source").eqNullSafe(F.col("of")) & (F.floor(F.col("bin") / wide) == F.col("run")))
+    edge = ended(fine.select("source", "bin", "words"), start.select("source", "rest", F.col("before").alias("begin")))
+    p, e = plan.alias("p"), edge.alias("e")
+    plan = shared.table(p.join(e, F.col("p.source").eqNullSafe(F.col("e.source")), "left").select("p.*", F.coalesce("e.bin", F.lit(-1)).alias("edge"), "e.before"), "mixing-plan").alias("p")
 
     dealt = rows.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", "p.source_size", "p.target", "p.epochs", "p.rest", "p.edge", "p.before")
     inside = Window.partitionBy("source").orderBy("key", "doc_id", "name", "size").rowsBetween(Window.unboundedPreceding, 0)
