@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.llm import decontam, exactdedup, filteraudit, langid, mixing, neardup, packing, sharding, shared, substrings, tokenfile, toxicity, warc
+from almanack.llm import decontam, exactdedup, filteraudit, langid, mixing, neardup, packing, sharding, shared, spelling, substrings, tokenfile, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -184,3 +184,26 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM a
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+# crc32 by its polynomial, bit by bit; near words meet in the word without a letter
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+g AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+x AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(name)), lambda i: CAST('0x' || substr(hex(name), 2 * i + 1, 2) AS BIGINT))),
+      lambda a, b: xor(a >> 8, list_reduce(list_prepend(xor(a, b) & 255, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))) AS h FROM g),
+y AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM x),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM y WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(length(word))) AS t(i)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM e AS a JOIN e AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.rest = v.word UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, min_by(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM v LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS at, form AS further FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON w.further = f.word)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN w ON f.word = w.word AND w.further IS NULL
+"""

@@ -15,6 +15,12 @@ def open_at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def tasks(df: DataFrame, each: int = 32 << 20) -> int:
+    """How many tasks a shuffle of a table is for: one for ``each`` bytes that Catalyst counts in it, and not under the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
+
+
 def least_by_hash(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
     """The ``n`` rows of each group with the least hash of the key; each of 64 salts keeps ``n`` first, so no task gets a group."""
     h = F.xxhash64(key)
