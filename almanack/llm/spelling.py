@@ -3,10 +3,11 @@
 1. ``words``: tasks count the words of whole texts in a bounded table, so a
    frequent word leaves a task a few times at most; counts are summed.
 2. ``postings``: a word of L letters, padded, has L + q - 1 grams.  One edit touches
-   q of them, so near words share max(L) - 1 at least; in any fixed order of the
-   grams they then share one of their first q + 1.  The order is by rarity, and
-   the index is dealt out by these gram keys and by length: class L has the words
-   of L letters and those of L + 1, which are sought among them.
+   q of them, so near words share max(L) - 1 at least, at places that are the same
+   or one apart.  In any fixed order of the grams (equal ones by place) the first
+   that they share is one of the first q + 1 of both.  The order is by rarity, and
+   the index is dealt out by such a gram, its place, and length: class L has the
+   words of L letters and those of L + 1, which are sought among them.
 3. ``near_in``: a task indexes the words of a key by (gram, place).  For each word,
    the posting lists that its grams may meet (the same place if lengths are the
    same, else the same or the one before) are merged by a heap, shortest first;
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from heapq import merge
@@ -48,8 +48,9 @@ from almanack.llm import shared
 from almanack.llm import textbytes as tb
 
 LENGTH, TIMES, THIN, Q, HOT = 5, 3, 97, 3, 2000
-#: Words and bytes that a task counts before it gives them on; posting lists that are merged, the others being probed.
-HELD, HELD_BYTES, MERGED = 200_000, 32 << 20, 8
+#: Words and bytes that a task counts before it gives them on; how often a word must stand in the
+#: lists that are merged, the others being probed; words of one index.
+HELD, HELD_BYTES, MERGED, PART = 200_000, 32 << 20, 2, 100
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _BASE = 91
 _CODE = np.zeros(256, np.int64)
@@ -127,7 +128,7 @@ def _rows(key: list[int], short: list[int], word: list, n: list) -> pa.RecordBat
 
 
 def postings(vocabulary: DataFrame, length: int) -> DataFrame:
-    """key, short, word, n: each word under its q + 1 rarest grams, in the class of its own length and in the one below."""
+    """key, short, word, n: each word under its q + 1 rarest grams and their places, in the class of its own length and in the one below."""
     rank = vocabulary.sparkSession.sparkContext.broadcast(ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,32 +139,40 @@ def postings(vocabulary: DataFrame, length: int) -> DataFrame:
             rows: list[tuple] = []
             for i, w in enumerate(some):
                 own = code[off[i] : off[i + 1]]
-                first = own[np.argsort(order[own], kind="stable")[: Q + 1]]
-                rows += [(short << 20 | g, short, w, n[i]) for g in set(first.tolist()) for short in (len(w), len(w) - 1) if short >= length]
+                for place in np.argsort(order[own], kind="stable")[: Q + 1].tolist():
+                    g = int(own[place])
+                    rows.append((place << 20 | g, len(w), w, n[i]))
+                    if len(w) > length:  # in the class below, the gram may stand a place before
+                        rows += [(at << 20 | g, len(w) - 1, w, n[i]) for at in (place, place - 1) if at >= 0]
             if rows:
                 yield _rows(*map(list, zip(*rows)))
 
     return vocabulary.select("word", "n").mapInArrow(run, _ROW)
 
 
+def without(data: bytes, short: int, pieces: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """What is before and after each piece of a word of ``short`` letters or one more; the piece of a longer word is a letter longer."""
+    more, k = len(data) - short, min(pieces, short)
+    at = [j * short // k for j in range(k + 1)]
+    return ((j, data[: at[j]], data[at[j + 1] + more :]) for j in range(k))
+
+
 def cut(rows: DataFrame, pieces: int) -> DataFrame:
-    """The words of hot keys under keys of their own: each word without one of its pieces; a longer word is cut as the shorter ones are."""
+    """The words of hot keys under keys of their own: each word without one of its pieces."""
+
+    def name(key: int, piece: int, before: bytes, after: bytes) -> int:
+        h = hashlib.blake2b(b"%d:%d:%d:" % (key, piece, len(before)) + before + after, digest_size=8)
+        return int.from_bytes(h.digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tb.blocks(batches, "word"):
             for key, short, w, n in zip(*(block.column(c).to_pylist() for c in ("key", "short", "word", "n"))):
-                data, more, k = w.encode("latin-1"), len(w) - short, min(pieces, short)
-                at = [j * short // k for j in range(k + 1)]
-                names = [hash_of(key, j, data[: at[j]], data[at[j + 1] + more :]) for j in range(k)]
-                yield _rows(names, [short] * k, [w] * k, [n] * k)
+                names = [name(key, *part) for part in without(w.encode("latin-1"), short, pieces)]
+                yield _rows(names, [short] * len(names), [w] * len(names), [n] * len(names))
 
     return rows.mapInArrow(run, _ROW)
 
 
-def hash_of(key: int, piece: int, before: bytes, after: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"%d:%d:%d:" % (key, piece, len(before)) + before + after, digest_size=8).digest(), "little", signed=True)
-
-
 def one_edit(a: bytes, b: bytes) -> bool:
     """Whether the second word is the first with one letter replaced or inserted."""
     low, high = 0, len(a)
@@ -176,34 +185,47 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a != b and a[low + (len(a) == len(b)) :] == b[low + 1 :]
 
 
-def near_in(some: list[bytes], short: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of one edit, of the words of ``short`` letters and of one more; of the longer ones none with each other."""
-    some_codes, off = grams(some)
-    codes = some_codes.tolist()
-    index: dict[tuple[int, int], list[int]] = {}
-    for i, w in enumerate(some):
-        if len(w) == short:
-            for place, g in enumerate(codes[off[i] : off[i + 1]]):
-                index.setdefault((g, place), []).append(i)
-    found = []
+def near_in(some: list[bytes], short: int, pieces: int = 2) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of one edit, of the words of ``short`` letters and of one more; of the longer ones none with each other. An index of over ``PART`` words is divided by pieces, too."""
+    if len(some) <= PART or pieces // 4 >= short:
+        yield from indexed(some, short)
+        return
+    parts: dict[tuple, list[bytes]] = {}
+    for w in some:
+        for part in without(w, short, pieces):
+            parts.setdefault(part, []).append(w)
+    for part in parts.values():
+        if len(part) > 1:
+            yield from near_in(part, short, pieces * 4)
+
+
+def indexed(some: list[bytes], short: int) -> Iterator[tuple[bytes, bytes]]:
+    """``near_in`` by one index: words of ``short`` letters are sought among those before them, then the longer ones among all of those."""
+    pad = b"\0" * (Q - 1)
+    index: list[dict[bytes, list[int]]] = [{} for _ in range(short + Q)]  # by place, then by gram; the last place stays empty
+    some = sorted(some, key=len)
     for j, w in enumerate(some):
-        places = (0,) if len(w) == short else (0, 1)
-        lists = [[x for back in places if (x := index.get((g, place - back)))] for place, g in enumerate(codes[off[j] : off[j + 1]])]
-        bound = len(w) - 1  # the longer word of a pair asks, or one as long
-        lists = sorted(lists, key=lambda xs: sum(map(len, xs)))
-        merged, probed = lists[:MERGED], lists[MERGED:]
-        for i, same in groupby(merge(*(merge(*xs) for xs in merged))):
-            count = sum(1 for _ in same)
-            if i < j or len(w) > short:
-                missing = len(probed)
-                for xs in probed:
+        padded, size = pad + w + pad, len(w)
+        own = [padded[at : at + Q] for at in range(size + Q - 1)]
+        lists = [x for here, g in zip(index, own) if (x := here.get(g))]
+        if size > short:  # beyond the letter more, grams stand a place before
+            lists += [x for here, g in zip(index, own[1:]) if (x := here.get(g))]
+        bound = size - 1  # as many grams as the longer word of a pair has letters, less one
+        if len(lists) >= bound:
+            lists.sort(key=len)
+            few = len(lists) - bound + MERGED
+            for i, same in groupby(merge(*lists[:few])):
+                count, missing = len(list(same)), len(lists) - few
+                for x in lists[few:]:
                     if count + missing < bound:
                         break
                     missing -= 1
-                    count += any((k := bisect_left(x, i)) < len(x) and x[k] == i for x in xs)
+                    count += i in x
                 if count >= bound and one_edit(some[i], w):
-                    found.append((i, j))
-    return found
+                    yield some[i], w
+        if size == short:
+            for here, g in zip(index, own):
+                here.setdefault(g, []).append(j)
 
 
 def pairs(rows: DataFrame) -> DataFrame:
@@ -215,13 +237,14 @@ def pairs(rows: DataFrame) -> DataFrame:
                 yield from zip(*(block.column(c).to_pylist() for c in ("key", "short", "word", "n")))
 
         for (_, short), group in groupby(members(), key=lambda r: r[:2]):
-            counts = {w.encode("latin-1"): n for _, _, w, n in group}
-            if len(counts) > 1:
-                some = sorted(counts)
-                near = [(some[i], some[j]) for i, j in near_in(some, short)]
-                if near:
-                    a, b = zip(*near)
-                    yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in a]), pa.array([w.decode("latin-1") for w in b]), pa.array([counts[w] for w in a], pa.int64()), pa.array([counts[w] for w in b], pa.int64())], ["a", "b", "n_a", "n_b"])
+            group = list(group)
+            if len(group) == 1 or all(len(r[2]) > short for r in group):
+                continue
+            counts = {w.encode("latin-1"): (w, n) for _, _, w, n in group}
+            near = [(*counts[a], *counts[b]) for a, b in near_in(list(counts), short)]
+            if near:
+                a, n_a, b, n_b = zip(*near)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64())], ["a", "b", "n_a", "n_b"])
 
     dealt = rows.repartition(shared.tasks(rows), "key", "short").sortWithinPartitions("key", "short")
     return dealt.mapInArrow(run, "a string, b string, n_a long, n_b long")
@@ -232,13 +255,13 @@ def near(vocabulary: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFra
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
     rows, pieces, found = shared.table(postings(vocabulary, length), "spelling-postings"), 2, None
     while True:
-        often = shared.table(rows.groupBy("key").count().filter(F.col("count") > hot).select("key"), "spelling-hot")
+        often = shared.table(rows.groupBy("key", "short").count().filter(F.col("count") > hot).select("key", "short"), "spelling-hot")
         last = pieces // 4 >= longest or often.isEmpty()
-        part = shared.table(pairs(rows if last else rows.join(often, "key", "left_anti")), "spelling-pairs")
+        part = shared.table(pairs(rows if last else rows.join(often, ["key", "short"], "left_anti")), "spelling-pairs")
         found = part if found is None else found.unionByName(part)
         if last:
             break
-        rows, pieces = shared.table(cut(rows.join(often, "key", "left_semi"), pieces), "spelling-cut"), pieces * 4
+        rows, pieces = shared.table(cut(rows.join(often, ["key", "short"], "left_semi"), pieces), "spelling-cut"), pieces * 4
     both = found.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("other_n")).unionByName(found.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("other_n")))
     return shared.table(both.distinct(), "spelling-near")
 
