@@ -7,11 +7,10 @@ dart aims at one of ``K`` coordinates, and a coordinate keeps the dart of the
 lowest rank.  Only ranks up to t / weight are thrown, about t darts a document
 whatever its length; where a coordinate is still empty the bound is doubled.
 Two documents agree in a coordinate with the probability of their weighted
-Jaccard similarity.  Elements are runs of five words; their regions are as wide as
-their words are long (in units of ``MASS`` bytes), so coordinates fall on the
-text evenly.  What links two texts is the exact similarity of their sets of runs.
-With ``counted``, weights are the times that runs occur, for the regions and for
-the similarity; one line that is repeated often then makes texts alike.
+Jaccard similarity.  Elements are runs of five words.  One weight decides the
+regions and the links: 1 for each distinct run, so both go by the similarity of
+sets, however long the words are; or, with ``counted``, the times that a run
+occurs (one line that is repeated often then makes texts alike).
 
 Joining: equal texts are one node.  Nodes that agree in all ``ROWS`` coordinates
 of one of ``BANDS`` bands share a bucket.  Each bucket compares all its nodes
@@ -47,7 +46,7 @@ from almanack.llm import textbytes as tb
 from almanack.operators import graph
 
 WORDS, SIMILAR, ROWS, BANDS, BLOCK = 5, 0.8, 5, 28, 500
-K, MASS = ROWS * BANDS, 40
+K = ROWS * BANDS
 _TO_UNIT = 2.0**-53
 
 
@@ -94,22 +93,18 @@ def dart_signatures(element: np.ndarray, weight: np.ndarray, offs: np.ndarray, k
     return out
 
 
-def elements(column: pa.Array, counted: bool = False, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes of runs of ``n`` words, their weights in the similarity, the offsets of the texts in them, and the widths of their regions."""
+def elements(column: pa.Array, counted: bool = False, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of runs of ``n`` words, their weights, and the offsets of the texts in them."""
     words = tb.Words(column)
-    h, offs, at, end = tb.shingles(words.hashes(), words.of, n)
+    h, offs = tb.shingles(words.hashes(), words.of, n)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     offsets = np.searchsorted(doc[first], np.arange(len(offs)))
-    if counted:
-        weight = np.diff(np.append(first, len(h))).astype(float)
-        return h[first], weight, offsets, weight
-    long = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
-    own = order[first]
-    return h[first], np.ones(len(first)), offsets, (long[end[own]] - long[at[own]]) / MASS
+    weight = np.diff(np.append(first, len(h))).astype(float) if counted else np.ones(len(first))
+    return h[first], weight, offsets
 
 
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -128,7 +123,7 @@ def node(text: str = "text"):
 
 
 def buckets(texts: DataFrame, counted: bool) -> DataFrame:
-    """(key, node, size, hub) once each, of keys that more than one node has; hub is the least of them, size the weight of a node's runs. A table."""
+    """(key, node, size, hub, hub_size) once each, of keys that more than one node has; hub is the least of them, size the weight of a node's runs. A table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -141,15 +136,15 @@ def buckets(texts: DataFrame, counted: bool) -> DataFrame:
                     fresh.append(i)
             if len(seen) > 500_000:
                 seen.clear()
-            e, w, offs, width = elements(block.column("text").take(pa.array(fresh, pa.int64())), counted)
+            e, w, offs = elements(block.column("text").take(pa.array(fresh, pa.int64())), counted)
             some = np.flatnonzero(np.diff(offs))
-            keys = band_keys(dart_signatures(e, width, offs))[some]
+            keys = band_keys(dart_signatures(e, w, offs))[some]
             size = np.bincount(np.repeat(np.arange(len(fresh)), np.diff(offs)), w, len(fresh))[some]
             owner = pa.array(np.repeat(np.array(fresh, np.int64)[some], keys.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), block.column("node").take(owner), pa.array(np.repeat(size, keys.shape[1]), pa.float32())], ["key", "node", "size"])
 
     rows = shared.table(texts.mapInArrow(run, "key long, node binary, size float"), "neardup-bands")
-    several = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").drop("top")
+    several = rows.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.max("node").alias("top")).filter("hub.node <> top").select("key", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
     return shared.table(rows.join(several, "key").distinct(), "neardup-buckets")
 
 
@@ -233,7 +228,8 @@ def rooted(docs: DataFrame, counted: bool = False, similar: float = SIMILAR) ->
     texts = docs.select(node().alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bands = buckets(texts, counted)
     some = shared.table(texts.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "neardup-texts")
-    pairs = bands.filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    can_be = F.least("size", "hub_size") >= similar * F.greatest("size", "hub_size") * (1 - 1e-6)  # else the sizes alone rule it out
+    pairs = bands.filter("node > hub").filter(can_be).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(pairs, some, counted, similar)
     of = shared.table(bands.select("key", "node", "size").join(graph.components(links), "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")), "neardup-roots")
     sizes = of.groupBy("key", "root").agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from almanack.llm import neardup as nd
@@ -64,6 +65,38 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert all((r.n_links > 0) == (len({x.node for x in got if x.class_id == r.class_id}) > 1) for r in got)
 
 
+@pytest.mark.parametrize("block", [500, 3])
+def test_words_of_any_length_equal_brute_force(spark, monkeypatch, block):
+    """What differs are words of 3 to 300 letters."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng, rows = random.Random(11), []
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    for i in range(60):
+        base = [word(rng.choice([3, 6, 60, 300])) for _ in range(rng.choice([60, 200]))]
+        rows.append((3 * i, " ".join(base), "en", "k"))
+        for copy in (1, 2):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 8])):
+                w[rng.randrange(len(w))] = word(rng.choice([3, 60, 120, 300]))
+            rows.append((3 * i + copy, " ".join(w), "en", "k"))
+    got = nd.classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("letters", [6, 60, 120, 300])
+def test_pairs_at_the_threshold_are_not_missed(letters):
+    """40 pairs of 400 short words of which 8 differ (a similarity of 0.82) share a band, however long those are."""
+    rng, texts = random.Random(letters), []
+    for _ in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        v = list(w)
+        for k in range(8):
+            v[25 + 50 * k] = "".join(rng.choice("abcdefghij") for _ in range(letters))
+        texts += [" ".join(w), " ".join(v)]
+    keys = nd.band_keys(nd.dart_signatures(*nd.elements(pa.array(texts))))
+    assert all((keys[i] == keys[i + 1]).any() for i in range(0, 80, 2))
+
+
 def test_repeated_lines_do_not_make_texts_alike(spark):
     line = "the same line of words again "
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + " " + line * 60, "en", None) for i in range(2)]
