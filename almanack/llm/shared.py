@@ -16,9 +16,17 @@ def open_at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def tasks(df: DataFrame, each: int = 32 << 20) -> int:
-    """How many tasks a shuffle of a table is for: one for ``each`` bytes that Catalyst counts in it, and not under the session's number."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 20))
+    """How many tasks the rows of a table go to: one for ``each`` bytes that Catalyst counts in it, and not under the session's number."""
+    return _at_least(df.sparkSession, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each)
+
+
+def tasks_of_files(paths: DataFrame) -> int:
+    """A task for each file that a settled table names, and not under the session's number."""
+    return _at_least(paths.sparkSession, paths.count())
+
+
+def _at_least(spark: SparkSession, n: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 1 << 20))
 
 
 def least_by_hash(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:

@@ -12,9 +12,10 @@
    Kasai common prefixes; a window repeats if its suffix shares ``length`` bytes
    with a neighbour.  Keys with over ``HOT`` segments are dealt to blocks, and
    the suffix arrays of each two blocks are merged by binary search.  With over
-   ``BLOCKS`` blocks the segments of a key are cut anew, by the least hash of
-   longer strings (``GRAMS``), which equal windows share, too; the last of them
-   are the windows themselves.  So no key's pairs of blocks grow with the input.
+   ``BLOCKS`` blocks the segments of a key are cut anew, once each, by the least
+   hash of longer strings (``GRAMS``), which equal windows share, too; segments
+   that stand twice are settled.  The last of these strings are the windows
+   themselves, which are counted.  So no key's pairs of blocks grow with the input.
 4. The repeated windows of a segment go back to the documents that have it, by
    its digest, and merge into spans.
 
@@ -376,40 +377,72 @@ def segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_anew(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Segments (key, digest, bytes) cut by the least hash of longer strings: parent_key, parent, key, digest, first, bytes."""
+    """Segments (key, digest, bytes; once each) cut by the least hash of longer strings: parent_key, parent, key, digest, first, bytes; a task gives the bytes of equal ones twice at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for block in tb.blocks(batches, "bytes"):
             data, off = tb.flat(block.column("bytes"))
             doc, first, count, key, _ = runs(data, off, length, gram)
-            begin = off[doc] + first
-            parts = [data[a : a + n + length - 1].tobytes() for a, n in zip(begin.tolist(), count.tolist())]
+            names, parts = [], []
+            for a, n in zip((off[doc] + first).tolist(), count.tolist()):
+                part = data[a : a + n + length - 1].tobytes()
+                name = digest(part)
+                times = seen.get(name, 0)
+                names.append(name)
+                parts.append(part if times < 2 else None)
+                seen[name] = times + 1
+            if len(seen) > 1_000_000:
+                seen.clear()
             at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([block.column("key").take(at), block.column("digest").take(at), pa.array(tb.mix(key + np.uint64(gram)).view(np.int64)), pa.array([digest(x) for x in parts], pa.int64()), pa.array(first), pa.array(parts, pa.binary())], ["parent_key", "parent", "key", "digest", "first", "bytes"])
+            yield pa.RecordBatch.from_arrays([block.column("key").take(at), block.column("digest").take(at), pa.array(tb.mix(key + np.uint64(gram)).view(np.int64)), pa.array(names, pa.int64()), pa.array(first), pa.array(parts, pa.binary())], ["parent_key", "parent", "key", "digest", "first", "bytes"])
 
     return rows.select("key", "digest", "bytes").mapInArrow(run, "parent_key long, parent long, key long, digest long, first long, bytes binary")
 
 
+_SPANS = "array<struct<from:long,to:long>>"
+
+
+def whole(segments: DataFrame, length: int) -> DataFrame:
+    """key, digest, spans of segments (key, digest, bytes) all of whose windows repeat."""
+    return segments.select("key", "digest", F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.octet_length("bytes") - length + 1).cast("long").alias("to"))).alias("spans"))
+
+
 def shard(rows: DataFrame, length: int, gram: int, level: int = 0) -> DataFrame:
     """Repeated windows of each distinct segment: key, digest, runs of (from, to)."""
-    with_bytes = rows.filter("bytes IS NOT NULL").select("key", "digest", "bytes")
+    with_bytes, tasks = rows.filter("bytes IS NOT NULL").select("key", "digest", "bytes"), shared.tasks(rows)
     hot = shared.table(with_bytes.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("blocks")), "substring-hot")
-    if level < len(GRAMS) and not (hottest := hot.filter(F.col("blocks") > BLOCKS)).isEmpty():
-        rest = _solved(with_bytes.join(hottest, "key", "left_anti"), hot.filter(F.col("blocks") <= BLOCKS), length)
-        parts = shared.table(cut_anew(with_bytes.join(hottest, "key", "left_semi"), length, gram + round(GRAMS[level] * (length - gram))), "substring-cut")
-        found = shard(parts, length, gram, level + 1)
-        moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
-        back = parts.select("parent_key", "parent", "key", "digest", "first").distinct().join(found, ["key", "digest"]).select(F.col("parent_key").alias("key"), F.col("parent").alias("digest"), moved.alias("spans"))
-        return rest.unionByName(back)
-    return _solved(with_bytes, hot, length)
+    if (hottest := hot.filter(F.col("blocks") > BLOCKS)).isEmpty():
+        return _solved(with_bytes, hot, length, tasks)
+    rest = _solved(with_bytes.join(hottest, "key", "left_anti"), hot.filter(F.col("blocks") <= BLOCKS), length, tasks)
+    if level == len(GRAMS):
+        return rest.unionByName(_counted(with_bytes.join(hottest, "key", "left_semi"), length))
+    once = shared.table(with_bytes.join(hottest, "key", "left_semi").groupBy("key", "digest", "bytes").agg((F.count("*") > 1).alias("again")), "substring-once")
+    parts = shared.table(cut_anew(once, length, gram + round(GRAMS[level] * (length - gram))), "substring-cut")
+    found = shard(parts, length, gram, level + 1)
+    moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
+    of = once.filter("NOT again").select(F.col("key").alias("parent_key"), F.col("digest").alias("parent"))
+    back = parts.select("parent_key", "parent", "key", "digest", "first").join(of, ["parent_key", "parent"], "left_semi").join(found, ["key", "digest"]).select(F.col("parent_key").alias("key"), F.col("parent").alias("digest"), moved.alias("spans"))
+    return rest.unionByName(whole(once.filter("again"), length)).unionByName(back)
 
 
-def _solved(with_bytes: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """``shard`` of segments that have tasks of their own, or a few blocks."""
-    dealt = with_bytes.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod("digest", F.col("blocks"))).cast("int"))
+def _counted(segments: DataFrame, length: int) -> DataFrame:
+    """``shard`` at the last level, where the windows of a segment are all alike: they repeat if their bytes are met twice, in one segment or more."""
+    dealt = segments.groupBy("key", "digest", "bytes").agg(F.sum(F.octet_length("bytes") - length + 1).alias("n")).withColumn("head", F.substring("bytes", 1, length))
+    often = dealt.groupBy("key", "head").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
+    return whole(dealt.join(often, ["key", "head"], "left_semi"), length)
+
+
+def dealt(with_bytes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Segments by what is to be compared: (key, 0, 0), or the pairs of blocks of a hot key, of which a segment's block meets each."""
+    placed = with_bytes.join(hot, "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod("digest", F.col("blocks"))).cast("int"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = dealt.withColumn("other", F.explode(pairs)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "bytes")
-    parts = int(with_bytes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.withColumn("other", F.explode(pairs)).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "bytes")
+
+
+def _solved(with_bytes: DataFrame, hot: DataFrame, length: int, tasks: int) -> DataFrame:
+    """``shard`` of segments that have tasks of their own, or a few blocks."""
+    placed = dealt(with_bytes, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -477,7 +510,7 @@ def _solved(with_bytes: DataFrame, hot: DataFrame, length: int) -> DataFrame:
         if found:
             yield out()
 
-    return placed.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "key long, digest long, spans array<struct<from:long,to:long>>")
+    return placed.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"key long, digest long, spans {_SPANS}")
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -50,6 +50,29 @@ def test_equals_brute_force(spark, monkeypatch, hot, blocks, split):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 50)
 
 
+def test_rows_of_a_hot_key_grow_with_the_texts(spark, monkeypatch):
+    """A passage in 100, 200 and 400 texts, with keys that are hot from 8 segments on: all rows that are written or dealt to tasks."""
+    monkeypatch.setattr(sub, "HOT", 8)
+    monkeypatch.setattr(sub, "BLOCKS", 2)
+    counted, table, dealt = [], sub.shared.table, sub.dealt
+
+    def noted(df):
+        counted[-1] += df.count()
+        return df
+
+    monkeypatch.setattr(sub.shared, "table", lambda df, name: noted(table(df, name)))
+    monkeypatch.setattr(sub, "dealt", lambda *args: noted(dealt(*args)))
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    texts = ["".join(rng.choice("stuvwxyz ") for _ in range(40)) + passage + "".join(rng.choice("stuvwxyz ") for _ in range(40)) for _ in range(400)]
+    for n in (100, 200, 400):
+        counted.append(0)
+        rows = [(i, t, "en") for i, t in enumerate(texts[:n])]
+        got = sub.digests(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, 200)
+    assert counted[2] < 2.3 * counted[1] < 2.3 * 2.3 * counted[0] and counted[2] < 400 * 200
+
+
 def test_long_runs_take_seconds(spark):
     """Whole texts of a megabyte and more: one letter, blanks in a text, a counter."""
     lines = "".join(f"line {i:07d} of a long list of lines that differ by their number only\n" for i in range(9000))
