@@ -155,7 +155,7 @@ def groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     content = normalised()
     rows = docs.select(F.xxhash64(content).alias("h"), F.encode(content, "utf-8").alias("content"), F.lit(1).cast("long").alias("n"), F.col("doc_id").cast("long").alias("top"), F.lit(1).cast("long").alias("n_top"))
     local = rows.mapInArrow(_combine(budget), rows.schema)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shared.tasks(docs)
     return local.repartition(parts, "h").mapInArrow(_finish(budget), "text_sha256 string, keep_id long, group_size long, n_top long")
 
 

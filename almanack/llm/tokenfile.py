@@ -214,9 +214,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         got = [shard.ids(int(p), int(s)).astype("<u4").tobytes() for p, s in zip(place[a:b], size[a:b])]
                         yield pa.RecordBatch.from_arrays([pa.array(shard.key[a:b], mask=~shard.valid[a:b]), pa.array(place[a:b] + row["base"]), pa.array(size[a:b]), pa.array(got, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    spark = manifest.sparkSession
-    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(files, "part", "sub").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.repartition(shared.tasks_of_files(manifest), "part", "sub").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digests(rows: DataFrame) -> DataFrame:

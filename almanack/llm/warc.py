@@ -141,7 +141,7 @@ def read(paths: DataFrame, payloads: bool = True) -> DataFrame:
                 if part:
                     yield pa.RecordBatch.from_pylist(part, kinds)
 
-    files = max(1, int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    files = shared.tasks_of_files(paths)
     return paths.repartition(files, "path").mapInArrow(run, RECORD)
 
 
