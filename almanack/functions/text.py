@@ -58,7 +58,7 @@ def _original(w: Column) -> Column:
 
 def _handle(word: Column) -> Column:
     """A scan reads the @ of a venue's handle as a capital letter."""
-    endings = F.array(*map(F.lit, rules.VENUE_ENDINGS))
+    endings = F.array(*map(F.lit, rules.PLACE_WORDS))
     return F.when(word.rlike("^[GCOQ][a-z]{6,}$") & F.exists(endings, lambda e: F.endswith(word, e)), F.concat(F.lit("@"), F.substring(word, 2, 100))).otherwise(word)
 
 
@@ -74,7 +74,7 @@ def _name(w: Column) -> Column:
 
     def cut(at: Column) -> Column:
         head = F.regexp_replace(F.array_join(F.slice(w, 1, F.greatest(at, F.lit(0))), " "), ":$", "")
-        goes_on = F.lower(_at(w, at + 1)).isin([o + "," for o in rules.CAPTION_OPENERS]) | (F.lower(_at(w, at + 1)).isin("on", "this") & _is_day(_at(w, at + 2)))
+        goes_on = F.lower(_at(w, at + 1)).isin([o + "," for o in rules.NOW_WORDS]) | (F.lower(_at(w, at + 1)).isin("on", "this") & _is_day(_at(w, at + 2)))
         return F.when((at > 0) & (F.length(F.array_join(w, " ")) > 30) & (F.length(head) >= 8) & goes_on, head).otherwise(F.array_join(w, " "))
 
     return let(colon, cut)

@@ -41,46 +41,103 @@ def similarity(a_cats: Column, b_cats: Column, a_hoods: Column, b_hoods: Column,
     return part(a_cats, b_cats, 500) + part(a_hoods, b_hoods, 200) + F.when(a_cadence == b_cadence, 150).otherwise(0)
 
 
+#: Steps of the bound, in thousandths, from which on all pairs are known; the last has every pair with anything in common.
+LEVELS = (750, 600, 450, 300, 1)
+_MOST = {"cats": 500, "hoods": 200, "cadence": 150}
+
+
+def _rarest(sets: DataFrame, of: str) -> DataFrame:
+    """``sets`` (c and arrays) with the array ``of`` in the order of rarity among all classes; empty arrays stay."""
+    one = sets.select("c", F.explode(of).alias("v"))
+    often = one.groupBy("v").agg(F.count("*").alias("n"))
+    ranked = one.join(often, "v").groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias(f"__{of}"))
+    return sets.join(ranked, "c", "left").withColumn(of, F.coalesce(f"__{of}", F.array().cast("array<string>"))).drop(f"__{of}")
+
+
+def _first(of: str, least: float) -> Column:
+    """The rarest values of which two sets with a Jaccard similarity of ``least`` share one."""
+    n = F.size(of)
+    return F.slice(F.col(of), 1, n - F.greatest(F.ceil(n * F.lit(least) - 1e-9).cast("int"), F.lit(1)) + 1)
+
+
+def _tagged(tag: str | Column, values: Column) -> Column:
+    return F.transform(values, lambda x: F.concat_ws("\x01", F.lit(tag) if isinstance(tag, str) else tag, x))
+
+
+def _crossed(x: Column, y: Column) -> Column:
+    return F.flatten(F.transform(x, lambda v: F.transform(y, lambda w: F.concat_ws("\x01", v, w))))
+
+
+def _keys(bound: int) -> Column:
+    """Keys of which two classes share one if their similarity reaches ``bound``: rare values of either set or of both, with and without the cadence."""
+    keys = []
+    for points, tag in ((_MOST["cadence"], F.concat(F.lit("="), "cadence")), (0, F.lit("*"))):
+        least = bound - points  # what the sets must bring
+        cats, hoods = (least - _MOST["hoods"]) / _MOST["cats"], (least - _MOST["cats"]) / _MOST["hoods"]
+        either = max(least, 1) / (_MOST["cats"] + _MOST["hoods"])
+        if cats > 1 or hoods > 1:
+            continue
+        if hoods > 0:
+            found = _tagged("b", _crossed(_first("cats", cats), _first("hoods", hoods)))
+        elif cats > 0:
+            found = _tagged("c", _first("cats", cats))
+        else:
+            found = F.concat(_tagged("c", _first("cats", either)), _tagged("h", _first("hoods", either)))
+        keys.append(_tagged(tag, found))
+    return F.array_distinct(F.concat(*keys))
+
+
 def most_similar(profiles: DataFrame, key: str, k: int = 6) -> DataFrame:
     """a, b, similarity, rank: the ``k`` most similar others of each, among all that have anything in common.
 
-    Communities with one profile are a class.  Classes meet through what they share: categories are counted over an
-    equi-join, which gives the number in common without comparing sets; hoods and cadence likewise over the few sets
-    of those.  Of a class only its first k + 1 members can be among anyone's k, and of classes without a common
-    category only the first k + 1 members of all with the same hoods and cadence; so no group of communities is paired
-    with itself.
+    A threshold algorithm over inverted lists.  Communities with one profile are a
+    class, named by its least member; of a class, only the first k + 1 members can
+    be among anyone's k, and of all classes only the k + 1 best.  Lists are kept by
+    rare values: at each of ``LEVELS`` a class that is still open meets those with
+    which it shares a key, which finds every pair that reaches the level.  Once its
+    k + 1 best reach the level, no unseen one can be better, and it is closed; so
+    the long lists of frequent values are read by few.  Who has only a cadence in
+    common ties with all others of it, so there the first k + 1 members suffice.
     """
-    many = k + 1
-    none = F.array().cast("array<string>")
-    sets = [F.array_sort(F.array_distinct(F.coalesce(F.transform(c, lambda x: x.cast("string")), none))) for c in ("categories", "hoods")]
+    many, none = k + 1, F.array().cast("array<string>")
+    sets = [F.array_sort(F.array_distinct(F.coalesce(F.filter(F.transform(c, lambda x: x.cast("string")), lambda x: x.isNotNull()), none))) for c in ("categories", "hoods")]
     p = profiles.select(F.col(key).alias("m"), sets[0].alias("cats"), sets[1].alias("hoods"), F.coalesce("cadence", F.lit("")).alias("cadence"))
-    classes = tables.settle(p.groupBy("cats", "hoods", "cadence").agg(F.min("m").alias("c")), "classes")
-    member = tables.settle(p.join(classes, ["cats", "hoods", "cadence"]).select("c", "m", "hoods", "cadence"), "members")
-    first = relational.top_by(member.select("c", "m"), ["c"], ["m"], many, "__n").select(F.col("c").alias("cb"), F.col("m").alias("b"))
-    places = classes.groupBy("hoods", "cadence").agg(F.min("c").alias("place"))
-    classes = tables.settle(classes.join(places, ["hoods", "cadence"]), "placed-classes")
-    around = relational.top_by(member.join(places, ["hoods", "cadence"]).select("place", "m"), ["place"], ["m"], many, "__n").select("place", F.col("m").alias("b"))
-
-    def meet(rows: DataFrame, name: str, what: str) -> DataFrame:
-        """Pairs (ca, cb) of rows whose arrays share a value, and how many."""
-        one = rows.select(F.col(name).alias("id"), F.explode(what).alias("v"))
-        return one.select(F.col("id").alias("ca"), "v").join(one.select(F.col("id").alias("cb"), "v"), "v").groupBy("ca", "cb").agg(F.count("*").alias("both"))
-
-    a, b = (classes.select(F.col("c").alias(f"c{x}"), F.size("cats").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("hoods").alias(f"h{x}"), F.col("cadence").alias(f"w{x}")) for x in "ab")
-    hood_points = F.coalesce(F.floor(F.try_divide(F.size(F.array_intersect("ha", "hb")) * 200, F.size(F.array_union("ha", "hb")))), F.lit(0))
-    cadence_points = F.when((F.col("wa") == F.col("wb")) & (F.col("wa") != ""), 150).otherwise(0)
-    alike = meet(classes, "c", "cats").join(a, "ca").join(b, "cb").withColumn("similarity", F.floor(F.col("both") * 500 / (F.col("na") + F.col("nb") - F.col("both"))) + hood_points + cadence_points)
-    near = alike.select("ca", "cb", "similarity").join(first, "cb").select("ca", "b", "similarity")
-    places = places.withColumnRenamed("place", "c")
-    pa, pb = (places.select(F.col("c").alias(f"c{x}"), F.col("hoods").alias(f"h{x}"), F.col("cadence").alias(f"w{x}")) for x in "ab")
-    met = meet(places, "c", "hoods").select("ca", "cb").union(pa.filter("wa <> ''").join(pb, F.col("wa") == F.col("wb")).select("ca", "cb")).distinct()
-    beside = met.join(pa, "ca").join(pb, "cb").withColumn("similarity", hood_points + cadence_points).filter("similarity > 0")
-    beside = beside.join(around.withColumnRenamed("place", "cb"), "cb").select(F.col("ca").alias("place"), "b", "similarity")
-    beside = relational.top_by(beside, ["place"], [F.desc("similarity"), "b"], many * many, "__n").drop("__n")
-    best = near.unionByName(classes.select(F.col("c").alias("ca"), "place").join(beside, "place").select("ca", "b", "similarity")).groupBy("ca", "b").agg(F.max("similarity").alias("similarity"))
-    best = relational.top_by(best, ["ca"], [F.desc("similarity"), "b"], many, "__n").drop("__n")
-    mine = member.select(F.col("c").alias("ca"), F.col("m").alias("a")).join(best, "ca").filter("a <> b")
-    return relational.top_by(mine.filter("similarity > 0"), ["a"], [F.desc("similarity"), "b"], k).select("a", "b", "similarity", "rank")
+    classes = tables.settle(p.groupBy("cats", "hoods", "cadence").agg(F.min("m").alias("c"), F.count("*").alias("members")), "classes")
+    member = tables.settle(p.join(classes, ["cats", "hoods", "cadence"]).select("c", "m"), "members")
+    first = relational.top_by(member, ["c"], ["m"], many, "__n").select(F.col("c").alias("cb"), F.col("m").alias("b"))
+    classes = tables.settle(_rarest(_rarest(classes, "cats"), "hoods"), "rarest")
+
+    open_, best = classes, None
+    for bound in LEVELS:
+        met = tables.settle(_meet(open_, classes, bound, many), "similar-met")
+        best = met if best is None else tables.settle(best.join(open_.select(F.col("c").alias("ca")), "ca", "left_anti").unionByName(met), "similar-best")
+        reached = met.filter(F.col("similarity") >= bound).groupBy(F.col("ca").alias("c")).agg(F.sum("members").alias("n")).filter(F.col("n") >= many)
+        open_ = tables.settle(open_.join(reached, "c", "left_anti"), "similar-open")
+        if open_.isEmpty():
+            break
+    near = relational.top_by(best.select("ca", "cb", "similarity").join(first, "cb").select("ca", "b", "similarity"), ["ca"], [F.desc("similarity"), "b"], many, "__n").drop("__n")
+    mine = member.select(F.col("c").alias("ca"), F.col("m").alias("a")).join(near, "ca").filter("a <> b")
+    return relational.top_by(mine, ["a"], [F.desc("similarity"), "b"], k).select("a", "b", "similarity", "rank")
+
+
+def _candidates(open_: DataFrame, classes: DataFrame, bound: int, many: int) -> DataFrame:
+    """(ca, cb): every class of ``open_`` with itself and with those that may reach the bound."""
+    left, right = (df.select(F.col("c").alias(f"c{x}"), F.explode(_keys(bound)).alias("key")) for x, df in (("a", open_), ("b", classes)))
+    pairs = left.join(right, "key").select("ca", "cb").unionByName(open_.select(F.col("c").alias("ca"), F.col("c").alias("cb")))
+    if bound <= _MOST["cadence"]:
+        some = relational.top_by(classes.filter("cadence <> ''").select("cadence", F.col("c").alias("cb")), ["cadence"], ["cb"], many, "__n").drop("__n")
+        pairs = pairs.unionByName(open_.select(F.col("c").alias("ca"), "cadence").join(some, "cadence").select("ca", "cb"))
+    return pairs.distinct()
+
+
+def _meet(open_: DataFrame, classes: DataFrame, bound: int, many: int) -> DataFrame:
+    """ca, cb, similarity, members (``many`` at most): the best ``many`` candidates of each."""
+    side = lambda x: classes.select(F.col("c").alias(f"c{x}"), F.col("cats").alias(f"s{x}"), F.col("hoods").alias(f"h{x}"), F.col("cadence").alias(f"w{x}"), F.least("members", F.lit(many)).alias(f"m{x}"))
+    a, b = side("a").drop("ma"), side("b")
+    cadence = lambda x: F.nullif(F.col(x), F.lit(""))
+    points = similarity(F.col("sa"), F.col("sb"), F.col("ha"), F.col("hb"), cadence("wa"), cadence("wb"))
+    scored = _candidates(open_, classes, bound, many).join(a, "ca").join(b, "cb").select("ca", "cb", points.alias("similarity"), F.col("mb").alias("members")).filter("similarity > 0")
+    return relational.top_by(scored, ["ca"], [F.desc("similarity"), "cb"], many, "__n").drop("__n")
 
 
 def observe(history: DataFrame, seen: DataFrame, today: Column, days: int = 365) -> DataFrame:

@@ -39,7 +39,7 @@ def both(cases: list[tuple]) -> list[list]:
 
 _TITLES = both([
     ("Copy of Book &amp; Wine", "Book & Wine"), ("🎉 Party Time #fun #nyc", "Party Time"), ("Show with Ann on FRI, JUL 10", "Show with Ann"), ("Great Reading Series Night: Tonight, we gather", "Great Reading Series Night"),
-    ("BERTHA: Grateful Drag", "BERTHA: Grateful Drag"), ("Gbrooklynmuseum opening", "@brooklynmuseum opening"), ("a   b", "a b"), ("Talk @one @two @three", "Talk"), ("Fire 🔥🔥🔥🔥 Night", "Fire 🔥 Night"), ("Reading by one #tag", "Reading by one #tag"), ("Copy of", "Copy of"),
+    ("TIDES: Songs of the Sea", "TIDES: Songs of the Sea"), ("Charbormuseum opening", "@harbormuseum opening"), ("a   b", "a b"), ("Talk @one @two @three", "Talk"), ("Fire 🔥🔥🔥🔥 Night", "Fire 🔥 Night"), ("Reading by one #tag", "Reading by one #tag"), ("Copy of", "Copy of"),
 ])
 
 
