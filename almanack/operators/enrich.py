@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions import rules, text
-from almanack.operators import relational
+from almanack.operators import phrases, relational
 
 
 def categories(content: Column, table: dict[str, list[str]], short: int = 5) -> Column:
@@ -29,10 +29,14 @@ def neighborhood(explicit: Column, venue: Column, content: Column, venues: list[
 
 
 def longest_match(df: DataFrame, key: str, content: str, table: DataFrame, needle: str, value: str) -> DataFrame:
-    """key and the value of the longest needle in the text (ties: first by name); rows without one are absent. The needles, a hand-kept list, go to all rows as one array."""
-    bag = relational.hand_kept(table).agg(F.sort_array(F.collect_list(F.struct((-F.length(needle)).alias("o"), F.col(needle).alias("n"), F.col(value).alias("v")))).alias("bag"))
-    hit = F.try_element_at(F.filter("bag", lambda r: F.contains(F.col(content), r["n"])), F.lit(1))
-    return df.crossJoin(F.broadcast(bag)).select(key, hit["v"].alias(value), hit["n"].alias(needle)).filter(F.col(value).isNotNull())  # one row on the right
+    """key and the value of the longest needle in the text (ties: first by name); rows without one are absent. Few needles go to all rows as one array, more are joined."""
+    if relational.few(table):
+        bag = table.agg(F.sort_array(F.collect_list(F.struct((-F.length(needle)).alias("o"), F.col(needle).alias("n"), F.col(value).alias("v")))).alias("bag"))
+        hit = F.try_element_at(F.filter("bag", lambda r: F.contains(F.col(content), r["n"])), F.lit(1))
+        return df.crossJoin(F.broadcast(bag)).select(key, hit["v"].alias(value), hit["n"].alias(needle)).filter(F.col(value).isNotNull())  # one row on the right
+    met = phrases.found_needles(df, key, content, table, needle).join(table, needle)
+    best = met.groupBy(key).agg(F.min(F.struct((-F.length(needle)).alias("o"), F.col(needle).alias("n"), F.col(value).alias("v"))).alias("x"))
+    return best.select(key, F.col("x.v").alias(value), F.col("x.n").alias(needle)).filter(F.col(value).isNotNull())
 
 
 def provenance(df: DataFrame, key: str, candidates: list[tuple[int, str]], follows: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanack.operators import phrases
+
 #: A side is broadcast only if Catalyst's own size estimate is at most this.
 BROADCAST_BYTES = 32 << 20
-#: Hand-kept rules that are sent to all rows at most.
+#: Rules that are sent to all rows at most; more are joined.
 RULES = 20_000
 
 
@@ -17,11 +19,9 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= limit else df
 
 
-def hand_kept(rules: DataFrame) -> DataFrame:
-    """``rules``, if they are few enough to go to all rows; more are refused, never cut off."""
-    if rules.limit(RULES + 1).count() > RULES:
-        raise ValueError(f"over {RULES} rules: use an equi-join on extracted tokens")
-    return rules
+def few(rules: DataFrame) -> bool:
+    """Whether ``rules`` may go to all rows as one array; a larger table is joined (``phrases``), with the same result."""
+    return rules.limit(RULES + 1).count() <= RULES
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -38,12 +38,16 @@ def top_by(df: DataFrame, keys: list, order: list, k: int, name: str = "rank") -
 def contains_max(df: DataFrame, key: str, text: str, rules: DataFrame, needle: str, weight: str, name: str) -> DataFrame:
     """``df`` and the largest weight of the rules whose needle its text has (0 if none).
 
-    The rules, a hand-kept list, go to the rows as one array, so no pair of rows
-    and rules is ever made; more than ``RULES`` of them are refused.
+    Up to ``RULES`` rules go to the rows as one array; more of them meet the rows
+    by runs of characters.  Rows of one key have one text.
     """
-    bag = hand_kept(rules).agg(F.collect_list(F.struct(F.col(needle).alias("n"), F.col(weight).alias("w"))).alias("__rules"))
-    hits = F.aggregate("__rules", F.lit(0).cast("long"), lambda acc, r: F.when(F.contains(F.col(text), r["n"]), F.greatest(acc, r["w"].cast("long"))).otherwise(acc))
-    return df.crossJoin(F.broadcast(bag)).withColumn(name, hits).drop("__rules")  # one row on the right
+    if few(rules):
+        bag = rules.agg(F.collect_list(F.struct(F.col(needle).alias("n"), F.col(weight).alias("w"))).alias("__rules"))
+        hits = F.aggregate("__rules", F.lit(0).cast("long"), lambda acc, r: F.when(F.contains(F.col(text), r["n"]), F.greatest(acc, r["w"].cast("long"))).otherwise(acc))
+        return df.crossJoin(F.broadcast(bag)).withColumn(name, hits).drop("__rules")  # one row on the right
+    heaviest = rules.groupBy(F.col(needle).alias("__n")).agg(F.max(F.col(weight).cast("long")).alias("__w"))
+    found = phrases.found_needles(df, key, text, heaviest, "__n").join(heaviest, "__n").groupBy(key).agg(F.max("__w").alias("__w"))
+    return df.join(found, key, "left").withColumn(name, F.greatest(F.coalesce("__w", F.lit(0)), F.lit(0)).cast("long")).drop("__w")
 
 
 def as_of(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -75,7 +79,3 @@ def hydrate(df: DataFrame, details: DataFrame, on: str) -> DataFrame:
     d = details.select(F.col(on), *(F.col(c).alias(f"__{c}") for c in details.columns if c != on))
     new = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if f"__{c}" in d.columns else F.col(c) for c in df.columns]
     return df.join(d, on, "left").select(*new)
-
-
-def nulls_first(*columns: str) -> list[Column]:
-    return [F.asc_nulls_first(c) for c in columns]

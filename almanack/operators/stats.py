@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanack.operators import relational
+from almanack.operators import phrases, relational
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -40,10 +40,15 @@ def ranked_feed(top: DataFrame, personal: Column, topic: str, source: str, serie
 
 
 def must_surface(rows: DataFrame, fields: list[str], rules: DataFrame) -> DataFrame:
-    """name, hits, ok for each rule (name, needle, least): how many rows have its needle in the fields together. ``rules`` is a hand-kept list."""
-    bag = relational.hand_kept(rules).agg(F.collect_list(F.struct("name", "needle")).alias("bag"))
-    met = F.filter("bag", lambda r: F.contains("t", r["needle"]))
-    counted = rows.select(F.lower(F.concat_ws(" ", *fields)).alias("t")).crossJoin(F.broadcast(bag)).select(F.explode(met).alias("r")).groupBy("r.name").agg(F.count("*").alias("hits"))  # one row on the right
+    """name, hits, ok for each rule (name, needle, least): how many rows have its needle in the fields together."""
+    texts = rows.select(F.lower(F.concat_ws(" ", *fields)).alias("t"))
+    if relational.few(rules):
+        bag = rules.agg(F.collect_list(F.struct("name", "needle")).alias("bag"))
+        met = F.filter("bag", lambda r: F.contains("t", r["needle"]))
+        counted = texts.crossJoin(F.broadcast(bag)).select(F.explode(met).alias("r")).groupBy("r.name").agg(F.count("*").alias("hits"))  # one row on the right
+    else:
+        once = texts.groupBy("t").agg(F.count("*").alias("n"))
+        counted = phrases.found_needles(once, "t", "t", rules, "needle").join(once, "t").join(rules, "needle").groupBy("name").agg(F.sum("n").alias("hits"))
     return rules.join(counted, "name", "left").select("name", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) >= F.col("least")).alias("ok"))
 
 

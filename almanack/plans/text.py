@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates, scores
 from almanack.functions import text as tx
-from almanack.operators import admission, enrich, resolve, stats, taste
+from almanack.operators import admission, enrich, phrases, resolve, stats, taste
 from almanack.plans.registry import query
+from almanack.sources import tables
 from almanack.sources.tables import load
 
 TOPICS = {"legal": ["license", "licensed", "copyright"], "contact": ["email", "@", "phone", "call"], "money": ["price", "$", "free"], "tech": ["http", "code", "api"], "shout": ["!!"]}
@@ -197,3 +198,23 @@ def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.when(n >= 1000, tx.display_count(F.floor(F.abs("c_acctbal") / 100) * 100)).otherwise(n.cast("string"))
     fit = scores.clamp(F.when(F.col("c_mktsegment") == "BUILDING", 40).otherwise(0) + F.when(F.col("c_acctbal") > 5000, 30).otherwise(0), -50, 60)
     return load(spark, sf_dir, "customer").select("c_custkey", fit.cast("int").alias("fit"), shown.alias("shown"))
+
+
+_RUNS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+
+@query(f"""
+WITH t AS (SELECT {_RUNS} AS w FROM conversations),
+r AS (SELECT phrase, count(*) AS weight FROM (SELECT unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS phrase FROM t, (VALUES (2), (3), (6)) AS s(n)) GROUP BY phrase),
+d AS (SELECT doc_id, {_RUNS} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS phrase FROM d, (VALUES (2), (3), (6)) AS s(n))
+SELECT doc_id, count(*) AS n_rules, max(weight) AS weight, min_by(phrase, (-weight, phrase)) AS phrase FROM g JOIN r USING (phrase) GROUP BY doc_id
+""")
+def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for every run of two, three and six words that the conversations have (over 100,000 at the smallest scale), found in all documents: how many a document has, and the heaviest."""
+    said = load(spark, sf_dir, "conversations").select(phrases.words(F.col("text")).alias("w"))
+    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
+    rules = tables.settle(said.select(F.explode(F.concat(*map(runs, (2, 3, 6)))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("weight")), "rules")
+    found = phrases.found_phrases(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase").join(rules, "phrase")
+    best = found.groupBy("doc_id").agg(F.count("*").alias("n_rules"), F.min(F.struct((-F.col("weight")).alias("o"), "phrase")).alias("x"))
+    return best.select("doc_id", "n_rules", (-F.col("x.o")).alias("weight"), "x.phrase")
