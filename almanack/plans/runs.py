@@ -9,7 +9,7 @@ from almanack.operators import state
 from almanack.plans.registry import query
 from almanack.sources import tables
 from almanack.sources.tables import load
-from almanack.streaming import stateful, windows
+from almanack.streaming import lifecycle, stateful, windows
 
 
 @query("""
@@ -114,3 +114,30 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five thousand rows of a log (the feature: retention)."""
     return tables.keep_last(load(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 5000)
+
+
+@query("""
+WITH l AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS ok FROM events WHERE event_type <> 'error'),
+u AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAY AS w FROM l),
+r AS (SELECT l.*, w, sum(CAST(ok AS INT)) OVER o AS run, lag(ts) OVER o AS last, lead(ts) OVER o AS next FROM l, u WHERE ts <= w WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS BIGINT) AS n FROM r),
+p AS (SELECT *, ts + INTERVAL 2 DAY AS due, coalesce(lag(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3, false) AS was FROM n),
+t AS (SELECT user_id, ts AS happened_at, 'dead' AS status, n AS strikes FROM p WHERE NOT ok AND n >= 3 AND (NOT was OR last + INTERVAL 2 DAY <= ts)
+      UNION ALL SELECT user_id, due, 'retest', n FROM p WHERE NOT ok AND n >= 3 AND due <= w AND (next IS NULL OR next >= due)
+      UNION ALL SELECT user_id, ts, 'alive', CAST(0 AS BIGINT) FROM p WHERE ok AND was)
+SELECT * FROM t WHERE happened_at > TIMESTAMP '2024-01-06'
+""")
+def strike_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When accounts die, are retested and come back, by state kept over a stream whose rows come up to two days late; it starts from what the log until 6 January left.
+
+    Retests are due after two days, as the log has a month only (the default is 21 days). The last two days are still open.
+    """
+    kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "timeout").otherwise("gone")
+    log = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("outcome"))
+    cut, rules = F.lit("2024-01-06").cast("timestamp_ntz"), {"key": "user_id", "outcome": "outcome", "seq": "event_id", "transient": ["timeout"], "cool_days": 2}
+    before = lifecycle.standing(log, upto=cut, **rules)
+    late = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.pmod(F.hash("event_id"), F.lit(172_000))  # arrival, up to two days after
+    since = F.unix_timestamp(F.lit("2024-01-06").cast("timestamp"))
+    rows = windows.replay(log.filter(F.col("ts") > cut), F.least(F.floor((late - since) / (5 * 86_400)), F.lit(5)).cast("int"), 6, "late-log")
+    out = windows.drain(lifecycle.health(rows, delay="2 days", before=before, **rules), "lifecycle")
+    return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("happened_at"), "status", "strikes")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanack.sources import tables
@@ -22,6 +22,16 @@ def stream(spark: SparkSession, path: str, time: str = "ts", files_per_trigger:
     return rows.withColumn(time, F.col(time).cast("timestamp"))
 
 
+def replay(df: DataFrame, part: Column, parts: int, name: str, time: str = "ts") -> DataFrame:
+    """A table as a stream of ``parts`` micro-batches, one after the other: rows come with the part (0 and up) that ``part`` says, whatever their time."""
+    spark = df.sparkSession
+    path = tables.place(spark, name)
+    dealt = df.withColumn("__part", part)
+    for i in range(parts):
+        dealt.filter(F.col("__part") == i).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+
+
 def tumbling(df: DataFrame, by: list[str], width: str, delay: str = "1 hour") -> DataFrame:
     w = df.withWatermark("ts", delay) if df.isStreaming else df
     return w.groupBy(F.window("ts", width), *by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")).select(F.col("window.start").alias("window_start"), *by, "n", "total")
