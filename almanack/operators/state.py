@@ -57,8 +57,21 @@ def learn(actions: DataFrame, key: str, sign: str, weight: str, hide_at: int = 3
     return out.unionByName(good.select(key, F.lit("curated").alias("verdict"), F.col("likes").alias("total")))
 
 
-def since_cursor(posts: DataFrame, cursors: DataFrame, key: str, order: str, refresh: int) -> DataFrame:
-    """Posts newer than the key's cursor, and its ``refresh`` newest others again."""
-    joined = posts.join(cursors.select(key, F.col("cursor")), key, "left")
+def refetch_depth(seen: Column, emitted: Column) -> Column:
+    """How many of an account's newest posts are read again whatever its cursor: three, or by the events that a post has brought, once ten are known."""
+    share = emitted / F.greatest(seen, F.lit(1))
+    by_yield = F.when(share >= 1, 8).when(share >= 0.5, 5).when(share < 0.1, 1).otherwise(3)
+    return F.when(seen >= 10, by_yield).otherwise(3)
+
+
+def since_cursor(posts: DataFrame, cursors: DataFrame, key: str, order: str, refresh: int | Column = 3) -> DataFrame:
+    """Posts newer than the key's cursor, and its ``refresh`` newest others again; ``refresh`` may be a column of ``cursors``."""
+    known = cursors.select(F.col(key), "cursor", (F.lit(refresh) if isinstance(refresh, int) else refresh).alias("__depth"))
+    joined = posts.join(known, key, "left")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return joined.withColumn("__rn", rank).filter(F.col("cursor").isNull() | (F.col(order) > F.col("cursor")) | (F.col("__rn") <= refresh)).drop("__rn", "cursor")
+    return joined.withColumn("__rn", rank).filter(F.col("cursor").isNull() | (F.col(order) > F.col("cursor")) | (F.col("__rn") <= F.col("__depth"))).drop("__rn", "cursor", "__depth")
+
+
+def stale(newest: Column, now: Column, days: int = 60) -> Column:
+    """Whether an account has posted nothing for so long that it isn't read any more."""
+    return newest.isNull() | (F.datediff(now, newest) > days)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanack.operators import state
 from almanack.plans.registry import query
-from almanack.sources import tables
+from almanack.sources import connectors, tables
 from almanack.sources.tables import load
 from almanack.streaming import lifecycle, stateful, windows
 
@@ -50,14 +50,15 @@ def engagement_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id FROM (SELECT e.*, c.cursor, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS rn FROM events e
-  LEFT JOIN (SELECT user_id, max(event_id) AS cursor FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1) c USING (user_id)) WHERE cursor IS NULL OR event_id > cursor OR rn <= 3
+WITH c AS (SELECT user_id, max(event_id) AS cursor, count(*) AS seen, count(*) FILTER (event_type IN ('purchase', 'signup')) AS found FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1),
+d AS (SELECT *, CASE WHEN seen < 10 THEN 3 WHEN found >= seen THEN 8 WHEN 2 * found >= seen THEN 5 WHEN 10 * found < seen THEN 1 ELSE 3 END AS depth FROM c)
+SELECT event_id, user_id FROM (SELECT e.*, cursor, depth, row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) AS rn FROM events e LEFT JOIN d USING (user_id)) WHERE cursor IS NULL OR event_id > cursor OR rn <= depth
 """)
 def cursor_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows after each key's cursor, and its three newest again."""
+    """Rows after each key's cursor, and one to eight of its newest again, by what its rows brought."""
     e = load(spark, sf_dir, "events")
-    cursors = e.filter("ts < timestamp_ntz'2024-01-25'").groupBy("user_id").agg(F.max("event_id").alias("cursor"))
-    return state.since_cursor(e, cursors, "user_id", "event_id", 3).select("event_id", "user_id")
+    known = e.filter("ts < timestamp_ntz'2024-01-25'").groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.count("*").alias("seen"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("found"))
+    return state.since_cursor(e, known, "user_id", "event_id", state.refetch_depth(F.col("seen"), F.col("found"))).select("event_id", "user_id")
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,4))) AS total FROM events GROUP BY 1, 2""")
@@ -141,3 +142,17 @@ def strike_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows.replay(log.filter(F.col("ts") > cut), F.least(F.floor((late - since) / (5 * 86_400)), F.lit(5)).cast("int"), 6, "late-log")
     out = windows.drain(lifecycle.health(rows, delay="2 days", before=before, **rules), "lifecycle")
     return out.select("user_id", F.col("at").cast("timestamp_ntz").alias("happened_at"), "status", "strikes")
+
+
+@query("""SELECT event_id, user_id, value, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS run FROM events""")
+def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in three runs of a source whose offsets are cursors: a query that is stopped and started again after each run reads every row once."""
+    connectors.register(spark)
+    e = load(spark, sf_dir, "events")
+    run = F.when(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"), 1).when(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"), 2).otherwise(3)
+    rows, path, out = e.select("event_id", "user_id", "value", run.alias("run")), tables.place(spark, "posts"), tables.place(spark, "read")
+    for i in (1, 2, 3):
+        connectors.append_run(rows.filter(F.col("run") == i), path, i)
+        read = spark.readStream.format("post_log").schema(rows.schema).option("path", path).load()
+        read.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
