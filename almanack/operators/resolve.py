@@ -144,11 +144,13 @@ def sign_hash(vector: Column) -> Column:
 
 
 def collapse_spam(df: DataFrame, title: str, url: str, day: str, order: str, least: int = 4, recurring: Column | None = None) -> DataFrame:
-    """Of ``least`` or more rows with one title (80 characters) and url the earliest stays, unless they recur."""
-    keys = [F.substring(F.lower(title), 1, 80), F.coalesce(F.substring_index(url, "?", 1), F.lit(""))]
-    group = Window.partitionBy(*keys)
-    spam = (F.count("*").over(group) >= least) & ~(F.coalesce(F.bool_or(recurring).over(group), F.lit(False)) if recurring is not None else F.lit(False))
-    return df.withColumn("__spam", spam).withColumn("__n", F.row_number().over(group.orderBy(day, order))).filter("NOT __spam OR __n = 1").drop("__spam", "__n")
+    """Of ``least`` or more rows with one title (80 characters) and url the earliest stays, unless they recur; ``order`` tells rows of a day apart. Groups are counted by aggregates, so a frequent title is never sorted in a task."""
+    named = df.withColumn("__title", F.substring(F.lower(title), 1, 80)).withColumn("__url", F.coalesce(F.substring_index(url, "?", 1), F.lit(""))).withColumn("__at", F.struct(F.col(day).alias("day"), F.col(order).alias("order")))
+    recurs = F.lit(False) if recurring is None else F.coalesce(F.bool_or(recurring), F.lit(False))
+    groups = named.groupBy("__title", "__url").agg(F.count("*").alias("__n"), recurs.alias("__recurs"), F.min("__at").alias("__first"))
+    spam = groups.filter((F.col("__n") >= least) & ~F.col("__recurs")).select(F.col("__title").alias("__t"), F.col("__url").alias("__u"), "__first")
+    met = named.join(spam, F.col("__title").eqNullSafe(F.col("__t")) & (F.col("__url") == F.col("__u")), "left")
+    return met.filter(F.col("__first").isNull() | (F.col("__at") == F.col("__first"))).select(*df.columns)
 
 
 def same_series(day_a: Column, day_b: Column, a: Column, b: Column) -> Column:

@@ -150,11 +150,11 @@ def title_spam_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT event_id, CAST(CAST(ts AS DATE) + CAST(7 * i AS INT) AS DATE) AS day, i AS nth
-FROM events, unnest(range(0, 3)) AS r(i) WHERE event_type = 'signup'
+FROM events, unnest(range(0, 3)) AS r(i)
 """)
 def recurrence_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weekly event becomes its dates within three weeks."""
-    rows = _events(spark, sf_dir).filter("event_type = 'signup'")
+    rows = _events(spark, sf_dir)
     return rows.select("event_id", F.posexplode(dates.occurrences(F.col("day"), F.weekday("day"), 3)).alias("p", "day")).select("event_id", "day", F.col("p").cast("long").alias("nth"))
 
 

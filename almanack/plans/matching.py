@@ -140,11 +140,11 @@ def handle_priority_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, coalesce(s.name, p_name) AS p_name, p_brand FROM part LEFT JOIN (SELECT l_partkey, 'sold ' || count(*) AS name FROM lineitem WHERE l_quantity > 49 GROUP BY 1) s ON l_partkey = p_partkey
+SELECT p_partkey, coalesce(s.name, p_name) AS p_name, p_brand FROM part LEFT JOIN (SELECT l_partkey, 'sold ' || count(*) AS name FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey
 """)
 def hydrate_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing rows with the detail rows' values where there are any."""
-    d = load(spark, sf_dir, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.concat(F.lit("sold "), F.count("*")).alias("p_name"))
+    d = load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.concat(F.lit("sold "), F.count("*")).alias("p_name"))
     return relational.hydrate(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), d, "p_partkey")
 
 

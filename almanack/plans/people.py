@@ -43,12 +43,12 @@ def account_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT event_id, user_id AS by_account, 'a' || (event_id % 40) AS account FROM events WHERE event_type = 'signup')
+WITH m AS (SELECT event_id, user_id AS by_account, 'a' || (event_id % 40) AS account FROM events)
 SELECT account, count(DISTINCT by_account) AS n, CASE WHEN count(DISTINCT by_account) >= 5 THEN 100 WHEN count(DISTINCT by_account) >= 3 THEN 70 WHEN count(DISTINCT by_account) = 2 THEN 50 ELSE 30 END AS points FROM m GROUP BY 1
 """)
 def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how many others an account is mentioned, and the points for it."""
-    rows = _events(spark, sf_dir).filter("event_type = 'signup'").select(F.concat(F.lit("b"), "user_id").alias("account"), F.concat(F.lit("with @A"), F.pmod("event_id", F.lit(40)), F.lit("!")).alias("caption"))
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("b"), "user_id").alias("account"), F.concat(F.lit("with @A"), F.pmod("event_id", F.lit(40)), F.lit("!")).alias("caption"))
     return accounts.co_mentions(rows, "account", "caption")
 
 
@@ -219,12 +219,12 @@ def community_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT 'h' || (user_id % 30) AS alias, CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS DATE) AS date FROM events WHERE ts < TIMESTAMP '2024-01-05'), c AS (SELECT s_suppkey, unnest(['h' || s_suppkey, 'x' || s_suppkey, 'h' || (s_suppkey + 1)]) AS alias FROM supplier)
+WITH h AS (SELECT 'h' || (user_id % 30) AS alias, CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS DATE) AS date FROM events), c AS (SELECT s_suppkey, unnest(['h' || s_suppkey, 'x' || s_suppkey, 'h' || (s_suppkey + 1)]) AS alias FROM supplier)
 SELECT s_suppkey AS community_id, count(DISTINCT event_id) AS events, max(date) AS latest FROM c JOIN h USING (alias) GROUP BY 1
 """)
 def community_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities with the history kept under any of their aliases."""
-    h = _events(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-05'").select(F.concat(F.lit("h"), F.pmod("user_id", F.lit(30))).alias("community_id"), F.col("event_id").cast("string").alias("event_id"), F.col("day").alias("date"))
+    h = _events(spark, sf_dir).select(F.concat(F.lit("h"), F.pmod("user_id", F.lit(30))).alias("community_id"), F.col("event_id").cast("string").alias("event_id"), F.col("day").alias("date"))
     c = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("community_id"), F.array(F.concat(F.lit("h"), "s_suppkey"), F.concat(F.lit("x"), "s_suppkey"), F.concat(F.lit("h"), F.col("s_suppkey") + 1)).alias("aliases"))
     found = communities.with_history(c, h)
     return found.groupBy("community_id").agg(F.count_distinct("event_id").alias("events"), F.max("date").alias("latest"))
@@ -316,12 +316,12 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT user_id % 60 AS a, (user_id * 7 + event_id) % 60 AS b FROM events WHERE event_id % 40 = 0), s AS (SELECT b AS node, CAST(least(1000, 350 + 5 * b) AS INT) AS score FROM e GROUP BY 1)
+WITH e AS (SELECT DISTINCT user_id AS a, (user_id * 7 + event_id) % 100003 AS b FROM events), s AS (SELECT b AS node, CAST(350 + b % 700 AS INT) AS score FROM e GROUP BY 1)
 SELECT node, score FROM s WHERE node IN (SELECT b FROM e WHERE a < 2) AND node >= 2 AND score >= 400 ORDER BY score DESC, node LIMIT 10
 """)
 def discovered_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown neighbours of known accounts that look like hosts, the best ten (the feature: so many a run)."""
-    e = load(spark, sf_dir, "events").filter("event_id % 40 = 0").select(F.pmod("user_id", F.lit(60)).alias("a"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(60)).alias("b")).distinct()
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("a"), F.pmod(F.col("user_id") * 7 + F.col("event_id"), F.lit(100_003)).alias("b")).distinct()
     known = spark.range(2).select(F.col("id").alias("node"))
-    found = graph.reach(e, known, 1).filter("depth = 1").withColumn("score", F.least(F.lit(1000), 350 + 5 * F.col("node")).cast("int"))
+    found = graph.reach(e, known, 1).filter("depth = 1").withColumn("score", (350 + F.pmod("node", F.lit(700))).cast("int"))
     return accounts.worthy(found, "node", "score", 400, 10).select("node", "score")

@@ -101,14 +101,14 @@ def stateful_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH old AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1), new AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
+WITH old AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY 1), new AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY 1)
 SELECT user_id, event_id FROM new UNION ALL SELECT user_id, event_id FROM old WHERE user_id NOT IN (SELECT user_id FROM new)
 """)
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed table after an upsert."""
     e = load(spark, sf_dir, "events")
     last = lambda where: e.filter(where).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    return tables.upsert(last("ts < timestamp_ntz'2024-01-20'"), last("ts >= timestamp_ntz'2024-01-29'"), ["user_id"])
+    return tables.upsert(last("ts < timestamp_ntz'2024-01-29'"), last("ts >= timestamp_ntz'2024-01-29'"), ["user_id"])
 
 
 @query("""SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000""")
