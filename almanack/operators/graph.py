@@ -33,6 +33,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return own.join(e.withColumnRenamed("u", "node").withColumnRenamed("v", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def extend(known: DataFrame, edges: DataFrame, rank: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the components of the last run (``known``: node, root) with new edges, each named by its member of the least rank.
+
+    Only new edges are walked, between the roots that their ends had; components
+    that no new edge touches keep their rows.  ``rank`` (node, rank; one row a node,
+    no two alike) says who stands for a component, by default the node itself.  A
+    root is the best of its component, so the best of the roots that meet is the
+    best of all their nodes; the result of several runs is that of one over all edges.
+    """
+    ends = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
+    at = tables.settle(ends.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "ends")
+    of = lambda end: at.select(F.col("node").alias(end), F.col("root").alias(f"__{end}"))
+    met = edges.select(a, b).join(of(a), a).join(of(b), b).select(F.col(f"__{a}").alias("a"), F.col(f"__{b}").alias("b")).filter("a <> b").distinct()
+    groups = tables.settle(components(tables.settle(met, "met")), "groups")
+    ranked = groups.withColumn("rank", F.col("node")) if rank is None else groups.join(rank.select("node", "rank"), "node", "left")
+    best = ranked.groupBy("root").agg(F.min_by("node", F.struct(F.col("rank").isNull(), "rank", "node")).alias("best"))
+    moved = groups.join(best, "root").select(F.col("node").alias("root"), "best")
+    whole = known.select("node", "root").unionByName(at.join(known, "node", "left_anti").select("node", "root"))
+    return whole.join(moved, "root", "left").select("node", F.coalesce("best", "root").alias("root"))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, a: str = "a", b: str = "b") -> DataFrame:
     """(node, depth): nodes within ``depth`` steps of the seeds, each at its first step; the frontier is joined, the visited are anti-joined."""
     seen = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0))

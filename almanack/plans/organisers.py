@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from almanack.functions import scores
 from almanack.operators import communities, graph, relational
 from almanack.plans.registry import query
+from almanack.sources import tables
 from almanack.sources.tables import load
 
 _EDGES = """edges AS (SELECT DISTINCT a, l_suppkey AS b FROM lineitem JOIN (SELECT l_orderkey AS k, min(l_suppkey) AS a FROM lineitem GROUP BY 1) ON k = l_orderkey WHERE l_suppkey > a)"""
@@ -148,3 +149,24 @@ def more_from_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = relational.top_by(s, ["s_nationkey"], [F.desc("s_acctbal"), "s_suppkey"], 5).select("s_nationkey", F.col("s_suppkey").alias("other"), "s_acctbal")
     met = s.select("s_nationkey", F.col("s_suppkey").alias("item")).join(best, "s_nationkey").filter("item <> other")
     return relational.top_by(met, ["item"], [F.desc("s_acctbal"), "other"], 4, "place").select("item", "other", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS x, min(event_id) OVER (PARTITION BY event_type, date_trunc('minute', ts)) AS y FROM events),
+e AS (SELECT event_id AS a, x AS b FROM k UNION SELECT event_id, y FROM k), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT a AS node, a AS met FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.met)
+SELECT node, arg_min(met, (-value, met)) AS root FROM r JOIN events ON event_id = met GROUP BY node
+""")
+def incremental_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events linked by user and hour or type and minute, in three runs that each add the edges of ten days; the event of the largest value stands for its component."""
+    e = load(spark, sf_dir, "events")
+    link = lambda *by: e.join(e.groupBy(*by).agg(F.min("event_id").alias("b")), list(by)).select(F.col("event_id").alias("a"), "b", "ts")
+    e = e.withColumn("hour", F.date_trunc("hour", "ts")).withColumn("minute", F.date_trunc("minute", "ts"))
+    edges = link("user_id", "hour").unionByName(link("event_type", "minute")).filter("a <> b")
+    run = F.when(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"), 1).when(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"), 2).otherwise(3)
+    edges = tables.settle(edges.select("a", "b", run.alias("run")), "links")
+    rank = e.select(F.col("event_id").alias("node"), F.struct((-F.col("value")).alias("v"), "event_id").alias("rank"))
+    known = spark.createDataFrame([], "node long, root long")
+    for i in (1, 2, 3):
+        known = tables.settle(graph.extend(known, edges.filter(F.col("run") == i), rank), "components")
+    return known

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanack.operators import state
+from almanack.operators import sketches, state
 from almanack.plans.registry import query
 from almanack.sources import connectors, tables
 from almanack.sources.tables import load
@@ -156,3 +156,30 @@ def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = spark.readStream.format("post_log").schema(rows.schema).option("path", path).load()
         read.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query("""SELECT a.event_id, b.event_id AS then_event_id, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 90 MINUTE""")
+def followed_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and the purchases of the same user within 90 minutes, as a join of two streams; rows come up to a day late, as the watermarks allow."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    late = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.pmod(F.hash("event_id"), F.lit(86_000))
+    part = F.least(F.greatest(F.floor((late - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / (8 * 86_400)), F.lit(0)), F.lit(3)).cast("int")
+    rows = windows.replay(e, part, 4, "late-pairs")
+    side = lambda kind: rows.filter(F.col("event_type") == kind).drop("event_type")
+    return windows.drain(windows.followed(side("view"), side("purchase"), "user_id", 90, "1 day").select("event_id", "then_event_id", "user_id"), "followed")
+
+
+@query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS middle_near, true AS hitters_met FROM events GROUP BY event_type""")
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users, the middle value and the most frequent users of each type, from sketches that were kept by day and merged; whether they are as near to the exact ones as promised."""
+    e = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    kept = tables.settle(sketches.sketched(e, ["event_type", "day"], "user_id", "value"), "sketches")
+    months = tables.settle(sketches.merged(kept, ["event_type"]), "merged")
+    top = sketches.frequent(months, ["event_type"], 1)
+    read = months.select("event_type", F.col("n").alias("kept"), sketches.distinct().alias("near_users"), sketches.quantile(0.5).alias("middle"))
+    exact = e.join(read, "event_type").groupBy("event_type", "kept", "near_users").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("middle")).cast("int")).alias("share"))
+    most = e.groupBy("event_type", "user_id").agg(F.count("*").alias("c")).groupBy("event_type").agg(F.max("c").alias("most"))
+    joined = exact.join(most, "event_type").join(top.select("event_type", F.col("top")[0]["count"].alias("met")), "event_type")
+    near = F.abs(F.col("near_users") - F.col("users")) <= sketches.ERROR * F.col("users")
+    hit = (F.abs(F.col("met") - F.col("most")) <= F.col("n") / sketches.ITEMS) & (F.col("kept") == F.col("n"))
+    return joined.select("event_type", "n", "users", near.alias("users_near"), (F.abs(F.col("share") - 0.5) <= sketches.ERROR).alias("middle_near"), hit.alias("hitters_met"))

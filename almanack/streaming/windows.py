@@ -52,6 +52,18 @@ def distinct(df: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame
     return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def followed(first: DataFrame, then: DataFrame, key: str, minutes: int, delay: str = "1 hour") -> DataFrame:
+    """Rows of ``first`` with the rows of ``then`` of the same key that come after them, within so many minutes; for streams both sides are kept no longer than that and the delay, and rows later than the delay are left out.
+
+    The columns of ``then`` come as ``then_...``.
+    """
+    if first.isStreaming:
+        first, then = first.withWatermark("ts", delay), then.withWatermark("ts", delay)
+    named = then.select(*(F.col(c).alias(f"then_{c}") for c in then.columns))
+    near = (F.col(key) == F.col(f"then_{key}")) & (F.col("then_ts") > F.col("ts")) & (F.col("then_ts") <= F.col("ts") + F.expr(f"INTERVAL {minutes} MINUTES"))
+    return first.join(named, near).drop(f"then_{key}")
+
+
 def drain(df: DataFrame, name: str) -> DataFrame:
     """All that the stream appends until its input is read."""
     spark = df.sparkSession
