@@ -40,7 +40,8 @@ def distinct(sketch: str = "distinct") -> Column:
 
 
 def quantile(share: float, sketch: str = "ranks") -> Column:
-    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share))
+    """Null of no values."""
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(share)))
 
 
 def frequent(kept: DataFrame, by: list[str], k: int) -> DataFrame:
