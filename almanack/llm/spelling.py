@@ -51,7 +51,6 @@ LENGTH, TIMES, THIN, Q, HOT = 5, 3, 97, 3, 2000
 #: Words and bytes that a task counts before it gives them on; how often a word must stand in the
 #: lists that are merged, the others being probed; words of one index.
 HELD, HELD_BYTES, MERGED, PART = 200_000, 32 << 20, 2, 100
-_RUN = re.compile("[a-zÀ-ÿ]+")
 _BASE = 91
 _CODE = np.zeros(256, np.int64)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -61,6 +60,8 @@ _CODE[0xC0:0x100] = np.arange(27, 91)
 def words(docs: DataFrame, length: int = LENGTH, thin: int = THIN) -> DataFrame:
     """word, n: runs of letters of the whole texts, A-Z lower-cased; where ``thin`` divides the crc32 of ``<doc_id>:<run>``, one letter is left out."""
 
+    runs = re.compile(f"[a-zÀ-ÿ]{{{length},}}")  # shorter ones can't become words
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
         held = 0
@@ -72,9 +73,7 @@ def words(docs: DataFrame, length: int = LENGTH, thin: int = THIN) -> DataFrame:
             texts = pc.fill_null(block.column("text").cast(pa.large_binary()), b"")
             for name, text in zip(block.column("doc_id").to_pylist(), texts):
                 begin = crc32(f"{'' if name is None else name}:".encode())
-                for w, n in Counter(_RUN.findall(text.as_py().lower().decode())).items():  # bytes.lower() knows A-Z only
-                    if len(w) < length:
-                        continue
+                for w, n in Counter(runs.findall(text.as_py().lower().decode())).items():  # bytes.lower() knows A-Z only
                     h = crc32(w.encode(), begin)
                     if h % thin == 0:
                         w = w[: h % len(w)] + w[h % len(w) + 1 :]
