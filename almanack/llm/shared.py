@@ -16,8 +16,9 @@ def open_at(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def tasks(df: DataFrame, each: int = 32 << 20) -> int:
-    """How many tasks the rows of a table go to: one for ``each`` bytes that Catalyst counts in it, and not under the session's number."""
-    return _at_least(df.sparkSession, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each)
+    """How many tasks the rows of a table go to: one for ``each`` bytes that Catalyst counts in it, and not under the session's number, which also holds where Catalyst knows no size (rows that are no file's)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return _at_least(df.sparkSession, size // each if size < 1 << 50 else 1)
 
 
 def tasks_of_files(paths: DataFrame) -> int:
@@ -26,7 +27,7 @@ def tasks_of_files(paths: DataFrame) -> int:
 
 
 def _at_least(spark: SparkSession, n: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 1 << 20))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, 1 << 17))
 
 
 def least_by_hash(df: DataFrame, by: str, key: str, n: int, salts: int = 64) -> DataFrame:
