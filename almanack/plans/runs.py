@@ -178,8 +178,9 @@ def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = sketches.frequent(months, ["event_type"], 1)
     read = months.select("event_type", F.col("n").alias("kept"), sketches.distinct().alias("near_users"), sketches.quantile(0.5).alias("middle"))
     exact = e.join(read, "event_type").groupBy("event_type", "kept", "near_users").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("middle")).cast("int")).alias("share"))
-    most = e.groupBy("event_type", "user_id").agg(F.count("*").alias("c")).groupBy("event_type").agg(F.max("c").alias("most"))
-    joined = exact.join(most, "event_type").join(top.select("event_type", F.col("top")[0]["count"].alias("met")), "event_type")
+    most = e.filter("user_id IS NOT NULL").groupBy("event_type", "user_id").agg(F.count("*").alias("c")).groupBy("event_type").agg(F.max("c").alias("most"))
+    met = F.coalesce(F.get("top", 0)["count"], F.lit(0))  # none where no user is sure to have 1/ITEMS of the rows
+    joined = exact.join(most, "event_type", "left").join(top.select("event_type", met.alias("met")), "event_type")
     near = F.abs(F.col("near_users") - F.col("users")) <= sketches.ERROR * F.col("users")
-    hit = (F.abs(F.col("met") - F.col("most")) <= F.col("n") / sketches.ITEMS) & (F.col("kept") == F.col("n"))
+    hit = (F.abs(F.col("met") - F.coalesce("most", F.lit(0))) <= F.col("n") / sketches.ITEMS) & (F.col("kept") == F.col("n"))
     return joined.select("event_type", "n", "users", near.alias("users_near"), (F.abs(F.col("share") - 0.5) <= sketches.ERROR).alias("middle_near"), hit.alias("hitters_met"))

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from almanack.operators import graph, sketches
+from almanack.plans import registry
 from almanack.streaming import windows
 
 
@@ -73,3 +74,15 @@ def test_followed_in_a_batch(spark):
     want = sorted((x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and x[2] and y[2] and x[2] < y[2] <= x[2] + dt.timedelta(minutes=30))
     left, right = (spark.createDataFrame(r, "id long, k long, ts timestamp") for r in (a, b))
     assert sorted((r.id, r.then_id) for r in windows.followed(left, right, "k", 30).collect()) == want and want
+
+
+def test_stored_sketches_where_nobody_is_frequent(spark, tmp_path):
+    """As many users as rows: none is sure to be frequent, and none needs to be. Beside them, a user just above 1/ITEMS of many is found."""
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 9), i, "even", float(i % 50), None) for i in range(12000)]
+    rows += [(i, dt.datetime(2024, 1, 1 + i % 9), None if i % 7 == 0 else -1 if i % 400 == 1 else i, "one", float(i % 50), None) for i in range(12000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r) for r in registry.QUERIES["stored_sketches"](spark, str(tmp_path)).collect()}
+    assert got == {("even", 12000, 12000, True, True, True), ("one", 12000, len({r[2] for r in rows[12000:]} - {None}), True, True, True)}
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    tops = {r.event_type: r.top for r in sketches.frequent(sketches.sketched(df, ["event_type"], "user_id", "value"), ["event_type"], 1).collect()}
+    assert [t["item"] for t in tops["one"]] == [-1]
