@@ -136,6 +136,17 @@ def hamming_pairs(df: DataFrame, key: str, block: list[str], hashes: str, most:
     return copies.unionByName(met.filter(F.col("distance") <= most).distinct())
 
 
+def hamming_members(df: DataFrame, key: str, block: list[str], hashes: str, most: int = 5) -> DataFrame:
+    """All pairs of rows (a < b) of a block whose hashes differ in at most ``most`` bits, copies too: classes of equal hashes are compared once, then both sides' rows stand for them."""
+    rows = df.select(F.col(key).alias("k"), *block, F.struct(*block, F.col(hashes).alias("h")).alias("c")).dropna(subset=block).filter("c.h IS NOT NULL")
+    classes = rows.select("c", *block, F.col("c.h").alias("h")).distinct()
+    near = hamming_pairs(classes, "c", block, "h", most)
+    met = near.unionByName(classes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(0).alias("distance")))
+    of = lambda c, k: rows.select(F.col("c").alias(c), F.col("k").alias(k))
+    both = met.join(of("a", "x"), "a").join(of("b", "y"), "b").filter((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("a") != F.col("b"))))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
 def sign_hash(vector: Column) -> Column:
     """A 64-bit hash with a bit for each of 64 values: 1 if it is above the mean of them (an average hash)."""
     mean = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double")) / F.size(vector)

@@ -53,9 +53,9 @@ h AS (SELECT vec_id, label, array_to_string(list_transform(e, lambda x: CASE WHE
 SELECT x.vec_id AS a, y.vec_id AS b, hamming(x.b, y.b) AS distance FROM h x JOIN h y ON x.label = y.label AND x.vec_id < y.vec_id AND hamming(x.b, y.b) <= 18
 """)
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of a label whose average-hash bits differ in at most eighteen places, by bands."""
+    """Vectors of a label whose average-hash bits differ in at most eighteen places, by bands; every pair, copies of a vector too."""
     rows = load(spark, sf_dir, "embeddings").select("vec_id", "label", resolve.sign_hash(F.col("embedding")).alias("h"))
-    return resolve.hamming_pairs(rows, "vec_id", ["label"], "h", 18).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    return resolve.hamming_members(rows, "vec_id", ["label"], "h", 18).select("a", "b", F.col("distance").cast("long").alias("distance"))
 
 
 @query("""

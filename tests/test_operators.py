@@ -73,6 +73,15 @@ def test_hamming_pairs(spark):
     assert got == {(1, 2, 5), (2, 3, 1), (1, 6, 0), (1, 7, 0)}
 
 
+def test_hamming_members_are_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("bc"), rng.choice([0, 1, 3, 255, -1, 1 << 63 - 1, None])) for i in range(60)] + [(60, None, 0), (61, None, 0), (5, "b", 1), (5, "b", 3)]
+    got = [tuple(r) for r in resolve.hamming_members(spark.createDataFrame(rows, "k long, v string, h long"), "k", ["v"], "h", 2).collect()]
+    full = [r for r in rows if r[1] is not None and r[2] is not None]
+    far = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
+    assert sorted(got) == sorted((x[0], y[0], far(x[2], y[2])) for x in full for y in full if x[1] == y[1] and x[0] < y[0] and far(x[2], y[2]) <= 2)
+
+
 def naive_diversity(rows, floor):
     out = {}
     for by in (1, 2):
