@@ -52,3 +52,16 @@ def test_tables_of_rules_of_both_sizes_agree(spark, monkeypatch):
     few = results()
     monkeypatch.setattr(relational, "RULES", 3)
     assert results() == few and any(h for _, h in few[0]) and few[1]
+
+
+def test_most_parts_that_no_rule_has_are_held_back_before_the_shuffle(spark):
+    rules = [(f"w{i} w{i + 1}" + " tail of manymany words" * (i % 2), i) for i in range(1000)]
+    parts = spark.createDataFrame([(k, f"w{i} w{i + 1 + k}") for k in range(5) for i in range(1000)], "k long, anchor string")
+    anchors = spark.createDataFrame([(r[0],) for r in rules if r[1] % 2 == 0], "anchor string")
+    got = [tuple(r) for r in phrases._sieved(parts, anchors, 500).collect()]
+    assert {a for k, a in got if k == 0} >= {r[0] for r in rules if r[1] % 2 == 0} and 500 <= len(got) < 1500
+    texts = spark.createDataFrame([(i, f"W{i}, w{i + 1}; tail of manymany words") for i in range(1, 1000, 10)], "k long, t string")
+    found = phrases.found_phrases(texts, "k", "t", spark.createDataFrame(rules, "rule string, w int"), "rule", carry=("w",)).collect()
+    assert sorted(tuple(r) for r in found) == [(i, *rules[i]) for i in range(1, 1000, 10)]
+    anchors = {r.name: r.anchor for r in phrases._long_anchors(spark.createDataFrame([(r[0],) for r in rules if r[1] % 2], "name string")).collect()}
+    assert len(set(anchors.values())) == 500  # the longest part is common to all: others stand for the names
