@@ -32,7 +32,7 @@ def linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.array(offer).alias("offers"), s(F.concat(F.lit("https://org.example/"), "user_id").alias("url")).alias("organizer"), F.array(F.concat(F.lit("i"), "event_id")).alias("image"))
     shape = F.pmod("event_id", F.lit(3))
     body = F.when(shape == 0, F.to_json(core)).when(shape == 1, F.to_json(s(F.array(core).alias("@graph")))).otherwise(F.to_json(s(F.lit("ItemList").alias("@type"), F.array(s(core.alias("item"))).alias("itemListElement"))))
-    pages = e.select("event_id", F.explode(jsonld.payloads(_page(body))).alias("payload"))
+    pages = e.select("event_id", F.explode_outer(jsonld.payloads(_page(body))).alias("payload"))
     return jsonld.events(pages, "event_id", "payload").select("event_id", "title", "date", "start_time", F.col("location.name").alias("venue"), "price", "organizer_url", "image_url")
 
 

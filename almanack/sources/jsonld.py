@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from almanack.functions import dates, text
 from almanack.sources import tables
 
 TYPES = ["Event", "MusicEvent", "ComedyEvent", "DanceEvent", "Festival", "FoodEvent", "LiteraryEvent", "SocialEvent", "SportsEvent", "TheaterEvent", "VisualArtsEvent", "ExhibitionEvent", "EducationEvent", "ScreeningEvent", "ChildrensEvent", "BusinessEvent", "CourseInstance", "EventSeries"]
+LEVELS = 16  # opened in one round
 
 
 def payloads(html: Column) -> Column:
@@ -26,23 +29,45 @@ def parsed(body: Column) -> Column:
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.regexp_replace(F.trim(body), r";+\s*$", "")))
 
 
-def nodes(df: DataFrame, key: str, variant: str) -> DataFrame:
-    """(key, node): every object within a payload, at any depth: each round opens the lists and objects of the last, until there are none."""
-    container = "v IS NOT NULL AND schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'"
-    level = tables.settle(df.select(key, F.col(variant).alias("v")).filter(container), "nodes")
-    out = level
+def _within(v: Column) -> Column:
+    """The values of a list or an object; null of others."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
+
+
+def nodes(df: DataFrame, key: str, variant: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, node): every object within a payload, at any depth, that is ``wanted`` (default: all).
+
+    A row opens ``LEVELS`` levels of its payload in one expression; what is deeper is a row of the next round, until there is none.
+    """
+    none = F.array().cast("array<variant>")
+    is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    fits = (lambda v: is_object(v)) if wanted is None else (lambda v: is_object(v) & wanted(v))
+    step = lambda acc, _: F.struct(F.flatten(F.filter(F.transform(acc["front"], _within), lambda x: x.isNotNull())).alias("front"), F.concat(acc["found"], F.filter(acc["front"], fits)).alias("found"))
+    level, out = df.select(key, F.col(variant).alias("v")), None
     while True:
-        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode_outer(F.col("v").outer())).select(key, F.col("value").alias("v")).filter(container)
-        level = tables.settle(inner, "nodes")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.struct(F.array("v").alias("front"), none.alias("found")), step)
+        flagged = lambda vs, is_open: F.transform(vs, lambda v: F.struct(v.alias("v"), F.lit(is_open).alias("open")))
+        both = text.let(walked, lambda w: F.concat(flagged(w["found"], False), flagged(F.filter(w["front"], lambda v: _within(v).isNotNull()), True)))
+        round_ = tables.settle(level.select(key, F.explode_outer(both).alias("x")).filter("x IS NOT NULL").select(key, "x.v", "x.open"), "nodes")  # outer: else the walk is repeated in a filter on its size
+        done = round_.filter("NOT open").select(key, F.col("v").alias("node"))
+        out = done if out is None else out.unionByName(done)
+        level = round_.filter("open").select(key, "v")
         if level.isEmpty():
-            return out.filter("schema_of_variant(v) LIKE 'OBJECT%'").withColumnRenamed("v", "node")
-        out = out.unionByName(level)
+            return out
 
 
 def _text(path: str) -> Column:
     return F.try_variant_get("node", path, "string")
 
 
+def _kinds(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
+
+
+def _is_event(v: Column) -> Column:
+    return F.arrays_overlap(_kinds(v), F.array(*map(F.lit, TYPES))) & F.try_variant_get(v, "$.name", "string").isNotNull()
+
+
 def offers_price(offers: Column) -> Column:
     """free, $N of the first price that isn't 0, or unknown; one offer or a list, price or lowPrice."""
     listed = F.coalesce(F.try_variant_get(offers, "$", "array<variant>"), F.array(offers))
@@ -57,9 +82,7 @@ def offers_price(offers: Column) -> Column:
 
 def events(df: DataFrame, key: str, payload: str) -> DataFrame:
     """Rows of the event schema's core from payloads of text: lists, graphs, item lists and sub-events are walked."""
-    found = nodes(df.withColumn("__v", parsed(F.col(payload))), key, "__v")
-    kinds = F.coalesce(F.try_variant_get("node", "$['@type']", "array<string>"), F.array(_text("$['@type']")))
-    wanted = found.filter(F.arrays_overlap(kinds, F.array(*map(F.lit, TYPES))) & _text("$.name").isNotNull())
+    wanted = nodes(df.withColumn("__v", parsed(F.col(payload))), key, "__v", _is_event)
     start = dates.local_date_time(_text("$.startDate"))
     return wanted.select(
         key,
@@ -81,8 +104,9 @@ def events(df: DataFrame, key: str, payload: str) -> DataFrame:
 
 def tokens(df: DataFrame, key: str, variant: str, names: list[str]) -> DataFrame:
     """(key, token): the strings under any of the field names, anywhere in the payload."""
-    found = nodes(df, key, variant)
-    each = F.array_compact(F.array(*(F.try_variant_get("node", f"$['{n}']", "string") for n in names)))
+    under = lambda v: F.array_compact(F.array(*(F.try_variant_get(v, f"$['{n}']", "string") for n in names)))
+    found = nodes(df, key, variant, lambda v: F.size(under(v)) > 0)
+    each = under(F.col("node"))
     return found.select(key, F.explode(each).alias("token")).distinct()
 
 

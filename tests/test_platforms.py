@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from almanack.operators import profile
-from almanack.sources import platforms
+from almanack.sources import jsonld, platforms
 
 D = dt.date
 
@@ -53,3 +53,13 @@ def test_profiles(spark):
     assert got == 210
     com = spark.createDataFrame([("A", "s", ["music"], ["x"], ["4-evening"], 2), ("B", "s", ["art"], ["x"], ["5-night"], 0)], "name string, summary string, categories array<string>, hoods array<string>, slots array<string>, event_count int")
     assert [r.name for r in profile.directory(com, hoods=["x"]).collect()] == ["A", "B"] and profile.directory(com, categories=["art"], active=True).count() == 0
+
+
+def test_payloads_are_walked_sixteen_levels_a_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(jsonld.tables, "settle", lambda df, name, settle=jsonld.tables.settle: written.append(name) or settle(df, name))
+    bodies = [(1, '{"a":[{"k":"x"},{"b":{"k":5,"c":[[{"k":"y"}]]}}]}'), (2, "[1,2]"), (3, "null"), (4, None), (5, '"s"'), (6, '{"k":null}'), (8, "{}"), (9, '{"a":' * 13 + '{"k":"z"}' + "}" * 13)]
+    walked = lambda rows: spark.createDataFrame(rows, "i long, t string").select("i", F.try_parse_json("t").alias("v"))
+    assert sorted(map(tuple, jsonld.tokens(walked(bodies), "i", "v", ["k"]).collect())) == [(1, "5"), (1, "x"), (1, "y"), (9, "z")] and len(written) == 1
+    deep = walked([*bodies, (7, '{"a":' * 40 + '{"k":"deep"}' + "}" * 40)])
+    assert {(r.i, r["count"]) for r in jsonld.nodes(deep, "i", "v").groupBy("i").count().collect()} == {(1, 5), (6, 1), (7, 41), (8, 1), (9, 14)} and len(written) == 4
