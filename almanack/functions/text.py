@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanack.functions import rules
@@ -28,6 +28,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``select`` whose columns are computed once a row: filters on them are not moved before it, which would compute them a second time."""
+    return df.select(F.explode_outer(F.array(F.struct(*columns))).alias("__x")).select("__x.*")
+
+
 def _words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
 

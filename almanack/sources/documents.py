@@ -99,7 +99,7 @@ def roundup(df: DataFrame, key: str, caption: str, anchor: Column, least: int =
     """Events of captions: a row for each dated section if there are ``least`` of them, else one row: key, part, title, date, start_time, venue."""
     s = F.filter(F.transform(text.split_caption(F.col(caption)), lambda x: F.struct(x.alias("t"), dates.parse_date(x, anchor).alias("d"))), lambda x: x["d"].isNotNull())
     one = F.filter(F.array(F.struct(F.col(caption).alias("t"), dates.parse_date(F.col(caption), anchor).alias("d"))), lambda x: x["d"].isNotNull())
-    parts = df.withColumn("__s", s).select(key, F.posexplode(F.when(F.size("__s") >= least, F.col("__s")).otherwise(one)).alias("part", "x"))
+    parts = text.once(df, *df.columns, s.alias("__s")).select(key, F.posexplode_outer(F.when(F.size("__s") >= least, F.col("__s")).otherwise(one)).alias("part", "x")).filter("x IS NOT NULL")
     t = F.col("x.t")
     return parts.select(key, "part", text.clean_title(text.first_line(t)).alias("title"), F.col("x.d").alias("date"), F.coalesce(dates.time_from_text(F.lit(""), t), dates.parse_time(t)).alias("start_time"), text.location_of(t).alias("venue"))
 
@@ -145,8 +145,9 @@ def disabled(url: Column, hosts: list[str]) -> Column:
 def open_graph(df: DataFrame, key: str, html: str, anchor: Column) -> DataFrame:
     """At most one event of a page by its meta tags: title, description, image_url, source_url, date (named in the title or the description)."""
     h = F.col(html)
-    rows = df.select(key, page_title(h).alias("title"), F.coalesce(meta(h, "og:description"), meta(h, "twitter:description"), meta(h, "description")).alias("description"), F.coalesce(meta(h, "og:image"), meta(h, "twitter:image")).alias("image_url"), meta(h, "og:url").alias("source_url"))
-    return rows.withColumn("date", F.coalesce(dates.parse_date(F.col("title"), anchor), dates.parse_date(F.col("description"), anchor))).filter("title IS NOT NULL AND date IS NOT NULL")
+    rows = text.once(df, key, page_title(h).alias("title"), F.coalesce(meta(h, "og:description"), meta(h, "twitter:description"), meta(h, "description")).alias("description"), F.coalesce(meta(h, "og:image"), meta(h, "twitter:image")).alias("image_url"), meta(h, "og:url").alias("source_url"))
+    day = F.coalesce(dates.parse_date(F.col("title"), anchor), dates.parse_date(F.col("description"), anchor))
+    return text.once(rows, *rows.columns, day.alias("date")).filter("title IS NOT NULL AND date IS NOT NULL")
 
 
 def cards(df: DataFrame, key: str, html: str, block: str, fields: dict[str, str], anchor: Column, reject: str = "(?!)") -> DataFrame:
@@ -157,9 +158,9 @@ def cards(df: DataFrame, key: str, html: str, block: str, fields: dict[str, str]
     """
     found = F.regexp_extract_all(F.col(html), F.lit(block), F.lit(0))
     part = lambda name: text.squeeze(F.regexp_replace(F.regexp_extract("block", fields[name], 1), "<[^>]+>", " ")) if name in fields else F.lit("")
-    rows = df.select(key, F.posexplode(found).alias("pos", "block")).select(key, "pos", *(F.nullif(part(c), F.lit("")).alias(c) for c in ("title", "date", "time", "venue", "href")))
+    rows = text.once(df.select(key, F.posexplode_outer(found).alias("pos", "block")).filter("block IS NOT NULL"), key, "pos", *(F.nullif(part(c), F.lit("")).alias(c) for c in ("title", "date", "time", "venue", "href")))
     day = F.coalesce(dates.parse_date(F.regexp_replace("date", r"^.*?(\d{4})/(\d{2})/(\d{2}).*$", "$1-$2-$3"), anchor), dates.parse_date(F.col("date"), anchor))
-    rows = rows.withColumns({"title": text.clean_title(F.col("title")), "date": day, "start_time": dates.parse_time(F.coalesce("time", F.lit("")))})
+    rows = text.once(rows, key, "pos", text.clean_title(F.col("title")).alias("title"), day.alias("date"), dates.parse_time(F.coalesce("time", F.lit(""))).alias("start_time"), "venue", "href")
     return rows.filter(F.col("title").isNotNull() & F.col("date").isNotNull() & ~F.col("title").rlike(reject)).select(key, "pos", "title", "date", "start_time", "venue", "href")
 
 

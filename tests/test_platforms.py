@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from almanack.operators import profile
-from almanack.sources import jsonld, platforms
+from almanack.sources import documents, jsonld, platforms
 
 D = dt.date
 
@@ -63,3 +63,12 @@ def test_payloads_are_walked_sixteen_levels_a_round(spark, monkeypatch):
     assert sorted(map(tuple, jsonld.tokens(walked(bodies), "i", "v", ["k"]).collect())) == [(1, "5"), (1, "x"), (1, "y"), (9, "z")] and len(written) == 1
     deep = walked([*bodies, (7, '{"a":' * 40 + '{"k":"deep"}' + "}" * 40)])
     assert {(r.i, r["count"]) for r in jsonld.nodes(deep, "i", "v").groupBy("i").count().collect()} == {(1, 5), (6, 1), (7, 41), (8, 1), (9, 14)} and len(written) == 4
+
+
+def test_dates_of_pages_and_cards_are_read_once_a_row(spark):
+    df = spark.createDataFrame([(1, '<meta property="og:title" content="Gala, May 5, 2024">'), (2, '<li class="event"><a>Gala</a><time>May 5, 2024</time></li>')], "i long, html string")
+    meta = documents.open_graph(df, "i", "html", F.lit(D(2024, 1, 1)))
+    cards = documents.cards(df, "i", "html", *platforms.CARDS["items"], F.lit(D(2024, 1, 1)))
+    for found, i in ((meta, 1), (cards, 2)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MMMM d, yyyy") == 2  # of two texts, and not again in a filter
+        assert [(r.i, r.date) for r in found.collect()] == [(i, D(2024, 5, 5))]
