@@ -47,16 +47,14 @@ class Health(StatefulProcessor):
             self.wake(initialState.since + self.cool)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        due = set()
-        for r in rows:
-            self.waiting.appendValue((r.at, r.seq, r.outcome))
-            due.add(r.at)
-        for at in due:
-            self.wake(at)
+        """All rows of a batch at once, and one timer for the oldest: each call of state is a message to the JVM."""
+        new = [(r.at, r.seq, r.outcome) for r in rows]
+        self.waiting.appendList(new)
+        self.wake(min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        """All that is due by now, at the first timer that fires; later ones find nothing."""
+        """All that is due by now, at the first timer that fires; the oldest row that is left has the next."""
         now = timerValues.getCurrentWatermarkInMs() * 1000
         strikes, since = self.health.get() if self.health.exists() else (0, None)
         rows = [tuple(r) for r in self.waiting.get()]
@@ -86,6 +84,7 @@ class Health(StatefulProcessor):
             self.waiting.clear()
             if left := [r for r in rows if r[0] > now]:
                 self.waiting.put(left)
+                self.wake(min(left)[0])
         self.health.update((strikes, since))
         return iter([Row(key=key[0], at=at, status=status, strikes=n) for at, status, n in out])
 
