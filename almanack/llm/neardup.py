@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, texts: DataFrame, counted: bool, similar: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in tb.blocks(batches, "text_a"):
-            for block in tb.blocks(iter([big]), "text_b"):
+            for block in tb.slices(big, "text_b"):
                 x, y = elements(block.column("text_a"), counted), elements(block.column("text_b"), counted)
                 keep = []
                 for i in range(block.num_rows):
@@ -186,7 +186,7 @@ def meet(mixed: DataFrame, texts: DataFrame, counted: bool, similar: float) -> D
 
     def cell(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        parts = [elements(b.column("text"), counted) for b in tb.blocks(iter(table.combine_chunks().to_batches()))]
+        parts = [elements(b.column("text"), counted) for batch in table.combine_chunks().to_batches() for b in tb.slices(batch)]
         h, w = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         size = np.concatenate([np.diff(p[2]) for p in parts])
         offs = np.concatenate([[0], np.cumsum(size)])

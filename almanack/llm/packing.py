@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = 1024, end_id: int = 0
             doc, start, ids, n, sequence, offset = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(doc, schema), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for block in tb.blocks(batches, limit=4 << 20):
+        for block in tb.blocks(batches, limit=1 << 20):
             schema = block.schema.field("doc_id").type
             ids, off = coder.encode(block.column("text"), end_id)
             ids = ids.astype("<u4", copy=False)

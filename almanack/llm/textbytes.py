@@ -2,10 +2,13 @@
 
 Texts are processed in blocks of a few megabytes, so memory does not follow the
 batch size; a single longer text makes a block of its own.  Nulls are empty.
+A Python worker lives on after a task, so what the task has freed goes back to
+the system at its end and before the next.
 """
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -33,15 +36,31 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system; glibc alone has ``malloc_trim``."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have about ``limit`` bytes."""
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // limit)) + 1
+    for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts have about ``limit`` bytes."""
+    """The slices of all batches of a task."""
+    release()
+    batch = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes.astype(np.int64)) // limit)) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield batch.slice(a, b - a)
+        yield from slices(batch, column, limit)
+    del batch
+    release()
 
 
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
