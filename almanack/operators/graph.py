@@ -36,21 +36,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def extend(known: DataFrame, edges: DataFrame, rank: DataFrame | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the components of the last run (``known``: node, root) with new edges, each named by its member of the least rank.
 
-    Only new edges are walked, between the roots that their ends had; components
-    that no new edge touches keep their rows.  ``rank`` (node, rank; one row a node,
-    no two alike) says who stands for a component, by default the node itself.  A
-    root is the best of its component, so the best of the roots that meet is the
-    best of all their nodes; the result of several runs is that of one over all edges.
+    Only new edges are walked.  A node that has some goes to the least of itself and
+    its neighbours by them, which contracts stars in one aggregate; what is left is
+    walked between those and the roots that nodes had.  Components that no new edge
+    touches keep their rows.  ``rank`` (node, rank; one row a node, no two alike)
+    says who stands for a component, by default the node itself.  A root is the best
+    of its component, so the best of the roots and new nodes that meet is the best
+    of all; the result of several runs is that of one over all edges.
     """
-    ends = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
-    at = tables.settle(ends.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "ends")
-    of = lambda end: at.select(F.col("node").alias(end), F.col("root").alias(f"__{end}"))
-    met = edges.select(a, b).join(of(a), a).join(of(b), b).select(F.col(f"__{a}").alias("a"), F.col(f"__{b}").alias("b")).filter("a <> b").distinct()
-    groups = tables.settle(components(tables.settle(met, "met")), "groups")
-    ranked = groups.withColumn("rank", F.col("node")) if rank is None else groups.join(rank.select("node", "rank"), "node", "left")
-    best = ranked.groupBy("root").agg(F.min_by("node", F.struct(F.col("rank").isNull(), "rank", "node")).alias("best"))
-    moved = groups.join(best, "root").select(F.col("node").alias("root"), "best")
-    whole = known.select("node", "root").unionByName(at.join(known, "node", "left_anti").select("node", "root"))
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("near")).union(edges.select(b, a))
+    up = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.when(F.col("node").isNotNull(), F.least("node", "near")).alias("up"))
+    up = tables.settle(up.join(known.select("node", "root"), "node", "left"), "ends")
+    of = lambda end: up.select(F.col("node").alias(end), F.col("up").alias(f"__{end}"))
+    met = edges.select(a, b).join(of(a), a).join(of(b), b).select(F.col(f"__{a}").alias("a"), F.col(f"__{b}").alias("b"))
+    held, fresh = up.filter("root IS NOT NULL").select("up", "root").distinct(), up.filter("root IS NULL").select("node", "up")
+    met = tables.settle(met.union(held).distinct(), "met")  # (x, x) too, so that every ``up`` has a group
+    groups = tables.settle(components(met), "groups")
+    some = fresh.select("up", "node").union(held)
+    ranked = some.withColumn("rank", F.col("node")) if rank is None else some.join(rank.select("node", "rank"), "node", "left")
+    first = ranked.groupBy("up").agg(F.min(F.struct(F.col("rank").isNull(), "rank", "node")).alias("best"))
+    best = first.join(groups.withColumnRenamed("node", "up"), "up").groupBy("root").agg(F.min("best").alias("best"))
+    moved = tables.settle(groups.join(best, "root").select(F.col("node").alias("root"), F.col("best.node").alias("best")), "moved")
+    whole = known.select("node", "root").union(fresh)
     return whole.join(moved, "root", "left").select("node", F.coalesce("best", "root").alias("root"))
 
 

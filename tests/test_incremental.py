@@ -86,3 +86,19 @@ def test_stored_sketches_where_nobody_is_frequent(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     tops = {r.event_type: r.top for r in sketches.frequent(sketches.sketched(df, ["event_type"], "user_id", "value"), ["event_type"], 1).collect()}
     assert [t["item"] for t in tops["one"]] == [-1]
+
+
+def test_stars_are_contracted_before_the_walk(spark, monkeypatch):
+    """Of 4,000 edges to 20 hubs, two runs walk some of each hub and of each root that they meet; a node with a null neighbour stays alone."""
+    from almanack.sources import tables
+
+    walked, settle = [], tables.settle
+    monkeypatch.setattr(tables, "settle", lambda df, name: (out := settle(df, name), name == "met" and walked.append(out.count()))[0])
+    edges = [(100 + i, i % 20) for i in range(4000)] + [(20 + i, i % 7) for i in range(20)]
+    rank = {x: -x for x in range(4100)}
+    ranks = spark.createDataFrame(list(rank.items()), "node long, rank long")
+    known = spark.createDataFrame([], "node long, root long")
+    for part in (edges[:2000], edges[2000:] + [(5000, None)]):
+        known = spark.createDataFrame(graph.extend(known, spark.createDataFrame(part, "a long, b long"), ranks).filter("node IS NOT NULL").collect(), "node long, root long")
+    assert {r.node: r.root for r in known.collect()} == brute(edges, rank) | {5000: 5000}
+    assert len(walked) == 2 and max(walked) <= 100
