@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates, scores
 from almanack.functions import text as tx
-from almanack.operators import admission, enrich, phrases, resolve, stats, taste
+from almanack.operators import admission, enrich, phraseblocks, phrases, resolve, stats, taste
 from almanack.plans.registry import query
 from almanack.sources.tables import load
 
@@ -214,6 +214,4 @@ def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = load(spark, sf_dir, "conversations").select(phrases.words(F.col("text")).alias("w"))
     runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
     rules = said.select(F.explode(F.concat(*map(runs, (2, 3, 6)))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("weight"))
-    found = phrases.found_phrases(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase", carry=("weight",))
-    best = found.groupBy("doc_id").agg(F.count("*").alias("n_rules"), F.min(F.struct((-F.col("weight")).alias("o"), "phrase")).alias("x"))
-    return best.select("doc_id", "n_rules", (-F.col("x.o")).alias("weight"), "x.phrase")
+    return phraseblocks.counted(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase", "weight")

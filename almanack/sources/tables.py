@@ -28,15 +28,27 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which ends its lineage: a lost executor costs one task."""
     path = place(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of whatever runs within are dropped as soon as it ends; else they stay until the driver happens to collect its garbage."""
+    drops = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(drops, None)
+    spark.conf.set(drops, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(drops) if before is None else spark.conf.set(drops, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a folder that is no longer read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
