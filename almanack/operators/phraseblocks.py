@@ -25,9 +25,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from almanack.sources import tables
 
-#: Bytes of text of a block; rules, and bytes of text, that are one bucket's; bits of a sieve at most, as a power of two.
-BLOCK, RULES, TEXT, SIEVE = 12 << 20, 400_000, 8 << 20, 28
-_FLUSH, _SLICE, _BITS = 1 << 20, 16, 8
+#: Bytes of text of a block, and of those whose runs are counted at once; rules, and bytes of text, that are one bucket's; bits of a sieve at most, as a power of two.
+BLOCK, CHUNK, RULES, TEXT, SIEVE = 12 << 20, 2 << 20, 400_000, 8 << 20, 28
+_FLUSH, _SLICE, _BITS = 1 << 18, 16, 8
 _ODD, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -60,10 +60,10 @@ class _Words:
     def __init__(self, texts: pa.StringArray) -> None:
         split = pc.split_pattern(texts, " ")
         coded = pc.dictionary_encode(split.flatten())
-        self.distinct, self.ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.distinct, self.ids = coded.dictionary, coded.indices.to_numpy()
         offsets = split.offsets.to_numpy()
         self.starts, self.sizes = offsets[:-1].astype(np.int64) - offsets[0], np.diff(offsets)
-        self.ends = np.repeat(self.starts + self.sizes, self.sizes)
+        self.ends = np.repeat((self.starts + self.sizes).astype(np.int32), self.sizes)
         self.hashes = _word_hashes(self.distinct)[self.ids]
 
     def gram(self, at: np.ndarray, n: int) -> np.ndarray:
@@ -73,6 +73,19 @@ class _Words:
             h = _mix(h * _NEXT + self.hashes[at + j])
         return h
 
+    def pairs(self) -> np.ndarray:
+        """The hash of each word and the next, whatever text that is in."""
+        return _mix(self.hashes[:-1] * _NEXT + self.hashes[1:])
+
+    def same(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Numbers of the ``n`` words from each place that are equal where all the words are."""
+        same = self.ids[at].astype(np.int64)
+        for j in range(1, n):
+            if j > 1:
+                same = np.unique(same, return_inverse=True)[1]
+            same = (same << 32) | self.ids[at + j]
+        return same
+
     def spell(self, at: np.ndarray, n: int) -> pa.StringArray:
         parts = [self.distinct.take(pa.array(self.ids[at + j])) for j in range(n)]
         return pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
@@ -96,15 +109,13 @@ class _Runs:
 
     def __init__(self, texts: pa.StringArray, sieves: list[np.ndarray], sizes: list[int]) -> None:
         self.words = w = _Words(texts)
-        doc = np.repeat(np.arange(len(texts)), w.sizes)
-        all_ = np.arange(len(w.ids))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), w.sizes)
         inner = np.zeros(len(w.ids), bool)
         if max(sizes) > 1:
-            pair = all_[all_ + 1 < w.ends]
-            inner[pair] = _set(sieves[0], w.gram(pair, 2))
+            inner[:-1] = _set(sieves[0], w.pairs())
         hashes, first, length, texts_, runs, n_runs = [], [], [], [], [], 0
         for n in sizes:
-            at = all_[_set(sieves[0], w.hashes)] if n == 1 else np.flatnonzero(inner)
+            at = np.flatnonzero(_set(sieves[0], w.hashes)) if n == 1 else np.flatnonzero(inner)
             if n > 1:
                 at = at[at + n <= w.ends[at]]
                 for j in range(1, n - 1):
@@ -113,12 +124,7 @@ class _Runs:
             if n > 2:
                 passed = _set(sieves[1], h)
                 at, h = at[passed], h[passed]
-            same = w.ids[at]  # numbers of equal runs, exactly
-            for j in range(1, n):
-                if j > 1:
-                    same = np.unique(same, return_inverse=True)[1]
-                same = (same << 32) | w.ids[at + j]
-            _, one, which = np.unique(same, return_index=True, return_inverse=True)
+            _, one, which = np.unique(w.same(at, n), return_index=True, return_inverse=True)
             hashes.append(h[one])
             first.append(at[one])
             length.append(np.full(len(one), n))
@@ -210,14 +216,14 @@ def _only(column: pa.ChunkedArray) -> pa.Array:
 
 def _sieves(rules: DataFrame, counts: dict[int, int]) -> list[np.ndarray]:
     """Bits of the single words and pairs that rules have, and of whole rules of three words or more; 2^``SIEVE`` of each at most."""
-    bits = [min(SIEVE, max(_SLICE, (_BITS * n - 1).bit_length())) for n in (sum(counts.values()), sum(c for n, c in counts.items() if n > 2))]
+    long = sum(c for n, c in counts.items() if n > 2)
+    bits = [min(SIEVE, max(_SLICE, (_BITS * n - 1).bit_length())) for n in (2 * max(sum(counts.values()) - long, long // 4), long)]
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered(batches):
             w = _Words(_only(table["name"]))
-            pair = np.arange(len(w.ids) - 1)
-            pair = pair[pair + 1 < w.ends[pair]]
-            for k, h in enumerate((np.concatenate([w.hashes[w.starts[w.sizes == 1]], w.gram(pair, 2)]), w.whole()[w.sizes > 2])):
+            pairs = w.pairs()[np.arange(1, len(w.ids)) < w.ends[:-1]]
+            for k, h in enumerate((np.concatenate([w.hashes[w.starts[w.sizes == 1]], pairs]), w.whole()[w.sizes > 2])):
                 at = np.unique(h & np.uint64((1 << bits[k]) - 1))
                 slices, first = np.unique(at >> np.uint64(_SLICE), return_index=True)
                 low = (at & np.uint64((1 << _SLICE) - 1)).astype("<u2")
@@ -238,27 +244,72 @@ def _sieves(rules: DataFrame, counts: dict[int, int]) -> list[np.ndarray]:
     return out
 
 
+def _buckets(hashes: np.ndarray, names: pa.StringArray, weights: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Names and weights by bucket, packed."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    names, weights = names.take(pa.array(order)), weights[order].astype("<i8")
+    buckets, first = np.unique(bucket[order], return_index=True)
+    cuts = list(zip(first, [*first[1:], len(order)], strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([_pack_names(names[a:b]) for a, b in cuts], pa.binary()), pa.array([_pack(weights[a:b].tobytes()) for a, b in cuts], pa.binary())], ["bucket", "names", "weights"])
+
+
+def _weighed(table: pa.Table) -> tuple[pa.StringArray, np.ndarray]:
+    """The names and weights of a bucket."""
+    return pa.concat_arrays([_unpack_names(x.as_py()) for x in table["names"]]), np.concatenate([np.frombuffer(_unpack(x.as_py()), "<i8") for x in table["weights"]])
+
+
 def _dealt(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rules by bucket, packed."""
+        """Rules by bucket."""
         for table in _gathered(batches):
             names = _only(table["name"])
-            bucket = (_Words(names).whole() >> np.uint64(64 - bits)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            names, weights = names.take(pa.array(order)), table["weight"].to_numpy()[order].astype("<i8")
-            buckets, first = np.unique(bucket[order], return_index=True)
-            ends = [*first[1:], len(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([_pack_names(names[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()), pa.array([_pack(weights[a:b].tobytes()) for a, b in zip(first, ends, strict=True)], pa.binary())], ["bucket", "names", "weights"])
+            yield _buckets(_Words(names).whole(), names, table["weight"].to_numpy(), bits)
 
     return run
 
 
+def _said(bits: int, sizes: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of texts and how often there are, by bucket."""
+        for batch in batches:
+            texts = batch["text"]
+            cuts = np.searchsorted(np.cumsum(pc.binary_length(texts).to_numpy()), np.arange(1, texts.nbytes // CHUNK + 1) * CHUNK)
+            for low, high in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                if low == high:
+                    continue
+                w = _Words(texts[low:high])
+                for n in sizes:
+                    at = np.flatnonzero(np.arange(n, len(w.ids) + n) <= w.ends)
+                    _, one, often = np.unique(w.same(at, n), return_index=True, return_counts=True)
+                    at = at[one]
+                    if len(at):
+                        yield _buckets(w.gram(at, n), w.spell(at, n), often, bits)
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    names, weights = _weighed(table)
+    sums = pa.table([names, pa.array(weights)], ["phrase", "weight"]).group_by("phrase").aggregate([("weight", "sum")])
+    return pa.table([sums["phrase"], sums["weight_sum"]], ["phrase", "weight"])
+
+
+def said(df: DataFrame, text: str, sizes: tuple[int, ...]) -> DataFrame:
+    """(phrase, weight): each run of so many words that the texts have, and how often."""
+    tables.ship(df.sparkSession)
+    with tables.passing(df.sparkSession):
+        total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = max(1, (total * len(sizes) // (6 * RULES)).bit_length())
+    rows = df.select(spelled(F.col(text)).alias("text")).filter("text <> ''")
+    return rows.mapInArrow(_said(bits, sizes), "bucket int, names binary, weights binary").groupBy("bucket").applyInArrow(_summed, "phrase string, weight long")
+
+
 def _met(rules: pa.Table, runs: pa.Table) -> pa.Table:
     """For each block's runs of a bucket that has some rule: which are rules, and the weights of those."""
     out: list[tuple[int, int, bytes]] = []
     if len(rules) and len(runs):
-        names = pa.concat_arrays([_unpack_names(x.as_py()) for x in rules["names"]])
-        weights = np.concatenate([np.frombuffer(_unpack(x.as_py()), "<i8") for x in rules["weights"]])
+        names, weights = _weighed(rules)
         own = [_unpack_names(x.as_py()) for x in runs["names"]]
         at = pc.index_in(pa.concat_arrays(own), value_set=names)
         at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates, scores
 from almanack.functions import text as tx
-from almanack.operators import admission, enrich, phraseblocks, phrases, resolve, stats, taste
+from almanack.operators import admission, enrich, phraseblocks, resolve, stats, taste
 from almanack.plans.registry import query
 from almanack.sources.tables import load
 
@@ -211,7 +211,5 @@ SELECT doc_id, count(*) AS n_rules, max(weight) AS weight, min_by(phrase, (-weig
 """)
 def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for every run of two, three and six words that the conversations have (over 100,000 at the smallest scale), found in all documents: how many a document has, and the heaviest."""
-    said = load(spark, sf_dir, "conversations").select(phrases.words(F.col("text")).alias("w"))
-    runs = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, n), " "))
-    rules = said.select(F.explode(F.concat(*map(runs, (2, 3, 6)))).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("weight"))
+    rules = phraseblocks.said(load(spark, sf_dir, "conversations"), "text", (2, 3, 6))
     return phraseblocks.counted(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase", "weight")

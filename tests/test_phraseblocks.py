@@ -26,6 +26,17 @@ def brute(texts, rules):
     return sorted((k, len(rs), max(rules[r] for r in rs), min((-rules[r], r.encode()) for r in rs)[1].decode()) for k, rs in found.items() if rs)
 
 
+def runs_of(texts, sizes):
+    out = {}
+    for _, t in texts:
+        w = words(t)
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                run = " ".join(w[i : i + n])
+                out[run] = out.get(run, 0) + 1
+    return out
+
+
 def some(seed, n=120):
     rng = random.Random(seed)
     texts = [(i, "".join(rng.choice(SPELL) + rng.choice([" ", ", ", "-", "! ", "\n"]) for _ in range(rng.randint(0, 25)))) for i in range(n)]
@@ -91,3 +102,18 @@ def test_rows_shuffled_by_phrase_rules_do_not_grow_with_copies_of_texts(spark, t
         spark.createDataFrame([(i + 50 * k, d) for k in range(n) for i, d in enumerate(docs)], "doc_id long, text string").write.parquet(str(tmp_path / f"{n}/documents.parquet"))
     (n1, one), (n20, twenty) = (shuffled(spark, lambda n=n: registry.QUERIES["phrase_rules"](spark, str(tmp_path / str(n)))) for n in (1, 20))
     assert n20 == 20 * n1 > 0 and twenty < 1.2 * one + 100
+
+
+@pytest.mark.parametrize("n", [0, 1, 120])
+def test_runs_said_equal_brute_force(spark, n):
+    texts = some(7, n)[0] if n > 1 else [(1, "ab")] * n
+    got = pb.said(spark.createDataFrame(texts, "k long, t string"), "t", (1, 2, 3, 6)).collect()
+    assert {r.phrase: r.weight for r in got} == runs_of(texts, (1, 2, 3, 6)) and len(got) == len({r.phrase for r in got})
+
+
+def test_runs_said_in_several_chunks(monkeypatch):
+    monkeypatch.setattr(pb, "CHUNK", 100)
+    texts = [t for t in (" ".join(words(t)) for _, t in some(8)[0]) if t]
+    batches = pa.table([pa.array(texts)], ["text"]).to_batches(max_chunksize=50)
+    got = pb._summed(pa.Table.from_batches(list(pb._said(2, (1, 2, 6))(batches)))).to_pydict()
+    assert dict(zip(got["phrase"], got["weight"], strict=True)) == runs_of([(0, t) for t in texts], (1, 2, 6))
