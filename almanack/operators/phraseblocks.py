@@ -372,7 +372,7 @@ def _result(sieves: Broadcast, sizes: list[int], bits: int, schema: pa.Schema):
     return run
 
 
-def counted(df: DataFrame, key: str, text: str, rules: DataFrame, phrase: str, weight: str) -> DataFrame:
+def counted(df: DataFrame, key: str, text: str, rules: DataFrame, phrase: str, weight: str, clean: bool = False) -> DataFrame:
     """(key, n_rules, weight, phrase) for each key whose texts have any of the rules: how many, and the heaviest, of equals the first by its bytes.
 
     ``rules`` has each phrase once, as ``spelled`` spells it; others, and rules without
@@ -382,7 +382,9 @@ def counted(df: DataFrame, key: str, text: str, rules: DataFrame, phrase: str, w
     spark = df.sparkSession
     tables.ship(spark)
     with tables.passing(spark):
-        kept = tables.settle(rules.select(F.col(phrase).alias("name"), F.col(weight).cast("long").alias("weight")).filter((F.col("name") != "") & (F.col("name") == spelled(F.col("name")))), "rules", compression="zstd")
+        named = rules.select(F.col(phrase).alias("name"), F.col(weight).cast("long").alias("weight"))
+        own = named if clean else named.filter((F.col("name") != "") & (F.col("name") == spelled(F.col("name"))))
+        kept = tables.settle(own, "rules", compression="zstd")
         words = F.length("name") - F.length(F.translate("name", " ", "")) + 1
         counts = {r["size"]: r["count"] for r in kept.groupBy(words.alias("size")).count().collect()}
         total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -212,4 +212,4 @@ SELECT doc_id, count(*) AS n_rules, max(weight) AS weight, min_by(phrase, (-weig
 def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule for every run of two, three and six words that the conversations have (over 100,000 at the smallest scale), found in all documents: how many a document has, and the heaviest."""
     rules = phraseblocks.said(load(spark, sf_dir, "conversations"), "text", (2, 3, 6))
-    return phraseblocks.counted(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase", "weight")
+    return phraseblocks.counted(load(spark, sf_dir, "documents"), "doc_id", "text", rules, "phrase", "weight", clean=True)
